@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.arrow import matrix
 from lectern.operators.gradients import Adam, clipped, total_gradient, warm_up_then_decay
+from lectern.schemas import VECTOR
 from lectern.sources.storage import shared_dir
 
 
@@ -19,7 +20,7 @@ def apply_adapter(df: DataFrame, col: str, weights: np.ndarray, bias: np.ndarray
     """`weights @ vector + bias` for each vector of `col`; NULL stays NULL."""
     shared = df.sparkSession.sparkContext.broadcast((np.asarray(weights, float), np.asarray(bias, float)))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(VECTOR)
     def adapted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, b = shared.value
         for series in batches:

@@ -20,19 +20,14 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, missing
 
 
-def vectors(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
-    """Rows of a matrix as a list<float> column."""
-    flat = pa.array(np.ascontiguousarray(values, dtype=np.float32).ravel(), type=pa.float32())
-    rows, dim = values.shape
-    listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * dim, type=pa.int32()), flat)
-    if missing is None or not missing.any():
-        return listed
-    return pa.array([None if gone else row for gone, row in zip(missing, listed.to_pylist())], type=pa.list_(pa.float32()))
-
-
 def chunks(df: DataFrame, rows: int) -> Iterator[list[Row]]:
     """The rows of `df`, at most `rows` at a time, so that a broadcast of a chunk is bounded."""
-    stream = df.toLocalIterator()
+    first = df.limit(rows + 1).collect()
+    if len(first) <= rows:
+        if first:
+            yield first
+        return
+    stream = df.toLocalIterator(prefetchPartitions=True)
     while chunk := list(islice(stream, rows)):
         yield chunk
 

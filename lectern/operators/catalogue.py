@@ -89,13 +89,14 @@ def new_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame
 
 
 def transform_new(
-    source: DataFrame, target: DataFrame, descriptions: DataFrame, encoder: Encoder = hashing_encoder()
+    source: DataFrame, target: DataFrame, descriptions: DataFrame, encoder: Encoder | None = None
 ) -> DataFrame:
     """Only the new books, with cleaned summary and both vectors.
 
     `descriptions` has (id, description); a book without one gets the missing-text mark. The anti join comes
     first, so the encoder never sees a book that is already stored.
     """
+    encoder = encoder or hashing_encoder()
     fresh = new_rows(source, target, ["id"]).drop("summary")
     described = fresh.join(descriptions.select("id", "description"), "id", "left")
     cleaned = described.withColumn("summary", clean_description(F.col("description"))).drop("description")

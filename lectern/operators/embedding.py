@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokens
+from lectern.schemas import VECTOR
 
 Encoder = Callable[[Column], Column]
 
@@ -20,7 +21,7 @@ def batch_encoder(encode: Callable[[list[str]], np.ndarray], batch: int = 64) ->
     The function is called with at most `batch` texts; vectors are scaled to length 1.
     """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(VECTOR)
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             values = series.fillna("").tolist()
@@ -48,7 +49,7 @@ def hashing_encoder(dim: int = 768) -> Encoder:
     Words are split and hashed by Spark; Python only adds up signs per vector slot, a whole batch at a time.
     """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(VECTOR)
     def add_up(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in hashes:
             sizes = np.fromiter((len(h) for h in series), dtype=np.int64, count=len(series))

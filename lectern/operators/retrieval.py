@@ -219,14 +219,14 @@ def score_candidates(
     )
     worded = candidates.join(asked, "query_id", "left").withColumn(
         "_words", tokens(doc_text(F.col("title"), F.col("summary")))
-    )
+    ).withColumn("_average", average)
 
     def add(total: Column, term: Column) -> Column:
         tf = F.size(F.filter("_words", lambda word: word == term["term"]))
-        return total + term["times"] * term["idf"] * _saturated(tf, F.size("_words"), average, k1, b)
+        return total + term["times"] * term["idf"] * _saturated(tf, F.size("_words"), F.col("_average"), k1, b)
 
     score = F.aggregate("_asked", F.lit(0.0).cast("double"), add)
-    return worded.withColumn("bm25_score", F.coalesce(score, F.lit(0.0))).drop("_asked", "_words")
+    return worded.withColumn("bm25_score", F.coalesce(score, F.lit(0.0))).drop("_asked", "_words", "_average")
 
 
 # --- fusion -----------------------------------------------------------------------------------------------

@@ -65,7 +65,10 @@ def in_cells(history: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     keyed = history.withColumn("_sid", F.coalesce("sid", F.lit(NO_SESSION))).withColumn(
         "_at", F.coalesce("timestamp", F.lit(LAST))
     )
-    busy, quiet = split_hot(keyed, hot_keys(keyed, ["_sid"], cell_rows), ["_sid"])
+    hot = hot_keys(keyed, ["_sid"], cell_rows)
+    if hot is None:
+        return _one_cell(keyed)
+    busy, quiet = split_hot(keyed, hot, ["_sid"])
     earlier = Window.partitionBy("_sid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     seconds = (
         busy.groupBy("_sid", "_at")
@@ -75,8 +78,11 @@ def in_cells(history: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
         .withColumn("_start", F.min("_before").over(Window.partitionBy("_sid", "_cell")))
         .select("_sid", "_at", "_cell", "_start")
     )
-    alone = quiet.withColumn("_cell", F.lit(-1).cast("long")).withColumn("_start", F.lit(0).cast("long"))
-    return alone.unionByName(busy.join(seconds, ["_sid", "_at"]))
+    return _one_cell(quiet).unionByName(busy.join(seconds, ["_sid", "_at"]))
+
+
+def _one_cell(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("_cell", F.lit(-1).cast("long")).withColumn("_start", F.lit(0).cast("long"))
 
 
 def _order(tie: tuple[str, ...]) -> list[Column]:

@@ -13,18 +13,21 @@ SMALL_ROWS = 1_000_000
 
 
 def fits(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether `df` has at most `max_rows` rows; a plain count, which a parquet table answers from its footers."""
+    return df.count() <= max_rows
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys with more than `min_rows` rows, NULL counting as a key.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The most frequent keys with more than `min_rows` rows, NULL counting as a key; None when there are none.
 
-    At most HOT_KEYS rows, so it can always be broadcast. The list only decides how work is spread: a key
-    that is not on it is computed in the ordinary way.
+    Counted now, so that a plan without hot keys stays a plain one. At most HOT_KEYS rows come back, which
+    can always be broadcast. The list only decides how work is spread: a key that is not on it is computed in the
+    ordinary way.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(HOT_KEYS).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > min_rows)
+    top = counts.orderBy(F.desc("_rows")).limit(HOT_KEYS).select(*keys)
+    rows = top.collect()
+    return df.sparkSession.createDataFrame(rows, top.schema) if rows else None
 
 
 def split_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +44,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, min_row
     match; the other rows take the ordinary join.
     """
     hot = hot_keys(left, on, min_rows)
+    if hot is None:
+        return left.join(right, on, how)
     busy, quiet = split_hot(left, hot, on)
     right_hot = right.join(F.broadcast(hot), on, "left_semi")
     return busy.join(F.broadcast(right_hot), on, how).unionByName(quiet.join(right, on, how))

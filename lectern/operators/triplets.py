@@ -20,20 +20,18 @@ def _nearest_in_block(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     """For each of `mine` the nearest of `others` that is not itself; equal distances go by the lower id."""
     if mine.empty or others.empty:
         return pd.DataFrame({"id": [], "neg_id": [], "distance": []}, dtype="float64")
-    others = others.sort_values("id")
-    a = np.stack(mine["tag_embed"].to_numpy()).astype(np.float64)
-    b = np.stack(others["tag_embed"].to_numpy()).astype(np.float64)
+    ids, other_ids = mine["id"].to_numpy(), others["neg_id"].to_numpy()
+    a = np.stack(mine["vector"].to_numpy()).astype(np.float64)
+    b = np.stack(others["neg_vector"].to_numpy()).astype(np.float64)
     squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    squared[mine["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = np.inf
+    squared[ids[:, None] == other_ids[None, :]] = np.inf
     # The expanded form above loses digits for close vectors; candidates near the minimum are measured again.
     least = squared.min(1)
     close = squared <= (least + 1e-6 * (1 + (a * a).sum(1)))[:, None]
     close &= np.isfinite(squared)
     row, column = np.nonzero(close)
     exact = np.sqrt(((a[row] - b[column]) ** 2).sum(1))
-    found = pd.DataFrame(
-        {"id": mine["id"].to_numpy()[row], "neg_id": others["id"].to_numpy()[column], "distance": exact}
-    )
+    found = pd.DataFrame({"id": ids[row], "neg_id": other_ids[column], "distance": exact})
     return found.sort_values(["id", "distance", "neg_id"]).drop_duplicates("id")
 
 
@@ -43,15 +41,17 @@ def nearest_other(tags: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     Every pair of tags has to be measured. Tags are cut into blocks; each task measures one block against another
     and returns one row per tag, whose minimum is then taken. No pair is ever a row.
     """
-    known = tags.where(F.col("tag_embed").isNotNull()).select("id", "tag_embed")
+    known = tags.where(F.col("tag_embed").isNotNull())
     blocks = max(1, -(-known.count() // block_rows))
-    numbered = known.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    mine = numbered.withColumnRenamed("_block", "_mine").withColumn("_other", every)
-    others = numbered.withColumnRenamed("_block", "_other").withColumn("_mine", every)
+    mine = known.select("id", F.col("tag_embed").alias("vector"), block.alias("row"), every.alias("column"))
+    others = known.select(
+        F.col("id").alias("neg_id"), F.col("tag_embed").alias("neg_vector"), block.alias("neg_column"), every.alias("neg_row")
+    )
     measured = (
-        mine.groupBy("_mine", "_other")
-        .cogroup(others.groupBy("_mine", "_other"))
+        mine.groupBy("row", "column")
+        .cogroup(others.groupBy("neg_row", "neg_column"))
         .applyInPandas(_nearest_in_block, "id int, neg_id int, distance double")
     )
     nearest = F.min(F.struct("distance", "neg_id")).alias("_least")

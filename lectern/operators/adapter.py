@@ -24,12 +24,10 @@ def apply_adapter(df: DataFrame, col: str, weights: np.ndarray, bias: np.ndarray
     def adapted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, b = shared.value
         for series in batches:
-            present = series.notna()
-            result = pd.Series([None] * len(series), dtype=object)
-            if present.any():
-                rows = np.stack(series[present].to_numpy()).astype(np.float64)
-                result[present.to_numpy()] = list((rows @ w.T + b).astype(np.float32))
-            yield result
+            present = [vector for vector in series if vector is not None]
+            rows = np.stack(present).astype(np.float64) if present else np.empty((0, w.shape[1]))
+            adapted_rows = iter((rows @ w.T + b).astype(np.float32))
+            yield pd.Series([None if vector is None else next(adapted_rows) for vector in series], dtype=object)
 
     return df.withColumn(out, adapted(F.col(col)))
 

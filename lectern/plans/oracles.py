@@ -340,7 +340,7 @@ _part(
 _part(
     "contexts",
     """SELECT s.query_id, q.query, CAST(to_json(list({'id': s.id, 'title': s.title,
-            'summary': CASE WHEN s.summary = 'NaN' THEN 'No summary available.' ELSE s.summary END} ORDER BY s.rank)) AS VARCHAR) AS context
+            'summary': CASE WHEN s.summary = 'NaN' THEN 'No summary available' ELSE s.summary END} ORDER BY s.rank)) AS VARCHAR) AS context
         FROM suggestions s JOIN questions q USING (query_id) GROUP BY s.query_id, q.query""",
     "suggestions", "questions",
 )

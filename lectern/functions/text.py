@@ -42,7 +42,7 @@ def doc_text(title: Column, summary: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case words in order, repeats kept."""
-    return F.filter(F.split(F.lower(c), f"{SPACES}+"), lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(c), SPACES, " "), " "), "")
 
 
 def xml_description(c: Column) -> Column:

@@ -119,6 +119,8 @@ def dense_top(
 
 
 def documents(books: DataFrame) -> DataFrame:
+    """(id, words) of each book. Read the words out with explode_outer: the filter on the array's size
+    that an inner explode adds would split the text a second time."""
     return books.select("id", tokens(doc_text(F.col("title"), F.col("summary"))).alias("words"))
 
 
@@ -129,7 +131,7 @@ def corpus_stats(books: DataFrame) -> DataFrame:
     """
     terms = documents(books).select(
         F.size("words").alias("length"),
-        F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"),
+        F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"),
     )
     return terms.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),
@@ -155,8 +157,8 @@ def term_weights(stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): the words of each query; a repeated word counts as often as it stands there."""
-    words = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-    return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    words = queries.select("query_id", F.explode_outer(tokens(F.col("query"))).alias("term"))
+    return words.where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def _saturated(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
@@ -179,7 +181,7 @@ def bm25(
     average = corpus_totals(stats).select("avg_length").scalar()
     asked = query_terms(queries).groupBy("term").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
     weights = term_weights(stats, epsilon).select("term", "idf").join(asked, "term")
-    words = documents(books).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    words = documents(books).select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term"))
     counted = (
         join_checked(words, weights.select("term", "idf"), ["term"], sized_by=asked)
         .groupBy("id", "length", "term", "idf")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000  # a key with fewer rows is left to one task
 HOT_KEYS = 1_000      # the k-th most frequent key holds at most 1/k of all rows
 SMALL_ROWS = 1_000_000
+SAMPLE_ROWS = 20_000  # rows of a key that is just hot, expected in the sample it is looked for in
 
 
 def fits(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
@@ -20,11 +21,14 @@ def fits(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
     """The most frequent keys with more than `min_rows` rows, NULL counting as a key; None when there are none.
 
-    Counted now, so that a plan without hot keys stays a plain one. At most HOT_KEYS rows come back, which
-    can always be broadcast. The list only decides how work is spread: a key that is not on it is computed in the
-    ordinary way.
+    Looked for now, so that a plan without hot keys stays a plain one, and in a sample where `min_rows` is large. At
+    most HOT_KEYS rows come back, which can always be broadcast. The list only decides how work is spread: all
+    rows are computed in either way, and a key that is not on it takes the ordinary one.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > min_rows)
+    share = min(1.0, SAMPLE_ROWS / min_rows)
+    looked = df.select(*keys) if share == 1 else df.select(*keys).sample(share, seed=1)
+    enough = min_rows if share == 1 else 0.9 * share * min_rows
+    counts = looked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > enough)
     top = counts.orderBy(F.desc("_rows")).limit(HOT_KEYS).select(*keys)
     rows = top.collect()
     return df.sparkSession.createDataFrame(rows, top.schema) if rows else None

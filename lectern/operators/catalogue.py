@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import clean_description, media_url
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
 from lectern.operators.skew import dense_positions, join_checked
+from lectern.sources.storage import written
 
 # --- extract ----------------------------------------------------------------------------------------------
 
@@ -84,8 +85,11 @@ def deleted_keys(source: DataFrame, target: DataFrame, keys: list[str]) -> DataF
 
 
 def new_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Source rows whose key the target does not have, active or not."""
-    return source.join(target.select(*keys).distinct(), keys, "left_anti")
+    """Source rows whose key the target does not have, active or not.
+
+    Keys are compared on their own and written once; wide rows move only when the new keys are too many to broadcast.
+    """
+    return join_checked(source, written(new_keys(source, target, keys), "new"), keys, "left_semi")
 
 
 def transform_new(
@@ -110,23 +114,26 @@ def apply_diff(
 
     mode 'soft' sets `active` to false and numbers new rows after the largest `idx`; a row that is inactive stays so,
     even when its key comes back. mode 'hard' drops rows. `fresh` are the prepared new rows when they
-    differ from the source rows.
+    differ from the source rows. Only keys are shuffled; target rows stay in place while the changes are few enough to
+    broadcast.
     """
-    known = source.select(*keys).distinct()
-    added = new_rows(source, target, keys) if fresh is None else fresh
+    changes = written(diff_keys(source, target, keys), "changes")
+    gone = changes.where(F.col("change") == "deleted").drop("change")
+    if fresh is None:
+        fresh = join_checked(source, changes.where(F.col("change") == "new").drop("change"), keys, "left_semi")
     if mode == "hard":
-        kept = target.join(known, keys, "left_semi")
-        return kept.unionByName(added.select(*kept.columns))
+        kept = join_checked(target, gone, keys, "left_anti")
+        return kept.unionByName(fresh.select(*kept.columns))
     if mode != "soft":
         raise ValueError(f"mode is 'soft' or 'hard', not {mode!r}")
     kept = (
-        target.join(known.withColumn("_found", F.lit(True)), keys, "left")
-        .withColumn("active", F.when(F.col("_found"), F.col("active")).otherwise(F.lit(False)))
+        join_checked(target, gone.withColumn("_gone", F.lit(True)), keys, "left")
+        .withColumn("active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("active")))
         .select(*target.columns)
     )
     last = target.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last"))
     numbered = (
-        dense_positions(added, keys[0], "_position")
+        dense_positions(fresh, keys[0], "_position")
         .withColumn("idx", (F.col("_position") + 1 + last.scalar()).cast("int"))
         .withColumn("active", F.lit(True))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import doc_text, media_url, no_summary, tokens
 from lectern.functions.vectors import SUMMARY_WEIGHT, TITLE_WEIGHT
 from lectern.operators.arrow import chunks, first_per_group, matrix
-from lectern.operators.skew import join_checked
+from lectern.operators.skew import SMALL_ROWS, join_checked
 from lectern.sources.storage import written
 
 QUERIES_PER_PASS = 2_048      # query vectors broadcast at a time
@@ -175,25 +175,28 @@ def bm25(
 ) -> DataFrame:
     """(query_id, id, bm25_score) of every book that shares a word with the query; any other score is 0.
 
-    Words no query asks for are dropped where they are read, so only asked words are counted and moved.
+    Words no query asks for are dropped where they are read, so only asked words are counted and moved. The words of the
+    queries are broadcast, in as many passes over the counted words as their number needs.
     """
     stats = written(corpus_stats(books), "corpus") if stats is None else stats
     average = corpus_totals(stats).select("avg_length").scalar()
-    asked = query_terms(queries).groupBy("term").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
-    weights = term_weights(stats, epsilon).select("term", "idf").join(asked, "term")
+    asked = query_terms(queries)
+    passes = max(1, -(-asked.count() // SMALL_ROWS))
+    weights = term_weights(stats, epsilon).select("term", "idf").join(asked.select("term").distinct(), "term")
     words = documents(books).select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term"))
     counted = (
-        join_checked(words, weights.select("term", "idf"), ["term"], sized_by=asked)
+        join_checked(words, weights, ["term"], sized_by=asked)
         .groupBy("id", "length", "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     scored = counted.select(
         "id", "term", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), average, k1, b)).alias("score")
     )
-    matched = join_checked(scored, asked, ["term"]).select("id", "score", F.explode("asked").alias("by"))
-    return matched.groupBy(F.col("by.query_id").alias("query_id"), "id").agg(
-        F.sum(F.col("score") * F.col("by.times")).alias("bm25_score")
-    )
+    if passes > 1:
+        scored = written(scored, "scored")
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n) for n in range(passes)]
+    matched = reduce(DataFrame.unionByName, [scored.join(F.broadcast(part), "term") for part in parts])
+    return matched.groupBy("query_id", "id").agg(F.sum(F.col("score") * F.col("times")).alias("bm25_score"))
 
 
 def attach_bm25(candidates: DataFrame, scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000  # a key with fewer rows is left to one task
 HOT_KEYS = 1_000      # the k-th most frequent key holds at most 1/k of all rows
@@ -45,13 +46,15 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, min_row
     """Equi-join (inner, left, left_semi, left_anti) with a right side that has one row per key.
 
     Rows of hot left keys stay where they are and meet a broadcast of the at most HOT_KEYS right rows they can
-    match; the other rows take the ordinary join.
+    match (counted, should keys repeat after all); the other rows take the ordinary join.
     """
     hot = hot_keys(left, on, min_rows)
     if hot is None:
         return left.join(right, on, how)
     busy, quiet = split_hot(left, hot, on)
     right_hot = right.join(F.broadcast(hot), on, "left_semi")
+    if not fits(right_hot):
+        return left.join(right, on, how)
     return busy.join(F.broadcast(right_hot), on, how).unionByName(quiet.join(right, on, how))
 
 
@@ -74,11 +77,13 @@ def join_checked(
 
 
 def dense_positions(df: DataFrame, key: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """0-based position of each row in the order of the unique integer column `key`.
+    """0-based position of each row in the order of the unique 32-bit integer column `key`.
 
-    Rows are numbered inside ranges of `width` keys; only the range sizes (at most 4295 for a 32-bit key) are
-    summed in one task.
+    Rows are numbered inside ranges of `width` keys; only the range sizes, at most 4296 of them for the default
+    width, are summed in one task and broadcast.
     """
+    if df.schema[key].dataType != T.IntegerType():
+        raise TypeError(f"{key} has to be a 32-bit integer, which bounds the number of ranges")
     ranged = df.withColumn("_range", F.floor(F.col(key) / F.lit(width)).cast("int"))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

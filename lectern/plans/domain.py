@@ -115,11 +115,8 @@ def target_books(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions: the first five words of each benchmark text with the vector of the same id."""
-    words = F.slice(F.split(F.col("text"), " "), 1, 5)
-    texts = _table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query")
-    )
+    """Questions: the benchmark texts, each with the vector of the same id."""
+    texts = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     vectors = _table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embed")
     )

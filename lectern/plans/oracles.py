@@ -98,8 +98,7 @@ _part("source_books", "SELECT * FROM books WHERE id % 10 <> 3", "books")
 _part("target_books", "SELECT * FROM books WHERE id % 7 <> 2", "books")
 _part(
     "questions",
-    """SELECT b.item_id AS query_id, array_to_string(list_slice(string_split(b.text, ' '), 1, 5), ' ') AS query,
-        CAST(e.embedding AS DOUBLE[]) AS query_embed
+    """SELECT b.item_id AS query_id, b.text AS query, CAST(e.embedding AS DOUBLE[]) AS query_embed
         FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id""",
 )
 _part(

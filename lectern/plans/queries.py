@@ -621,7 +621,8 @@ def model_metadata(spark, sf):
 
 def _recommended(spark: SparkSession, sf: str) -> DataFrame:
     items = policy.policy_items(domain.books(spark, sf))
-    return policy.recommend(sessions.last_state(_known(spark, sf)), items, policy.initial_params(items))
+    loaded = policy.load_params(items, policy.initial_params(items))
+    return policy.recommend(sessions.last_state(_known(spark, sf)), items, loaded)
 
 
 @query

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("tests", "local[8]", **{"spark.driver.memory": "4g"})
+    session = get_session("tests", "local[8]", **{"spark.driver.memory": "4g", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="lectern-tests-")})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

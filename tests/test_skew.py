@@ -50,3 +50,8 @@ def test_dense_positions(spark):
     df = spark.createDataFrame([(k,) for k in keys], "idx int").repartition(6)
     found = {row["idx"]: row["p"] for row in skew.dense_positions(df, "idx", "p", width=100).collect()}
     assert found == {k: n for n, k in enumerate(sorted(keys))}
+
+
+def test_dense_positions_needs_a_bounded_key(spark):
+    with pytest.raises(TypeError):
+        skew.dense_positions(spark.range(3), "id", "p")

@@ -154,10 +154,14 @@ def books_of(tag_id: int, bridge: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def _tag_lists(bridge: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id of the book, tags): the names of its tags; no longer than the tag table."""
-    pairs = bridge.select(F.col("book_id").alias("id"), "tag_id").distinct()
+    """(id of the book, tags): the names of its tags, in order; no longer than the tag table.
+
+    Repeated pairs are dropped inside the grouping, before rows move.
+    """
+    pairs = bridge.select(F.col("book_id").alias("id"), "tag_id")
     named = join_checked(pairs, tags.select(F.col("id").alias("tag_id"), "name"), ["tag_id"])
-    return named.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias("tags"))
+    listed = F.sort_array(F.collect_set(F.struct("name", "tag_id")))
+    return named.groupBy("id").agg(F.transform(listed, lambda tag: tag["name"]).alias("tags"))
 
 
 def books_with_tags(books: DataFrame, bridge: DataFrame, tags: DataFrame) -> DataFrame:
@@ -229,6 +233,9 @@ def book_cards(books: DataFrame) -> DataFrame:
 
 
 def recommended_books(recommended: DataFrame, books: DataFrame) -> DataFrame:
-    """(uid, rank, bid) with the books they name; unknown books are skipped and ranks are kept."""
-    return recommended.join(books.withColumnRenamed("id", "bid"), "bid")
+    """(uid, rank, bid) with the books they name; unknown books are skipped and ranks are kept.
+
+    A popular book may stand in many lists, so its rows are kept from meeting in one task.
+    """
+    return join_checked(recommended, books.withColumnRenamed("id", "bid"), ["bid"], sized_by=books, max_rows=10_000)
 

@@ -206,7 +206,7 @@ def attach_bm25(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def score_candidates(
+def candidate_scores(
     candidates: DataFrame,
     queries: DataFrame,
     stats: DataFrame,
@@ -214,24 +214,20 @@ def score_candidates(
     b: float = B,
     epsilon: float = EPSILON,
 ) -> DataFrame:
-    """Candidates (with title and summary) with their BM25 score, counting words in the candidates only."""
+    """(query_id, id, bm25_score) of candidates (with title and summary); only their words are counted."""
     average = corpus_totals(stats).select("avg_length").scalar()
-    asked = (
-        query_terms(queries)
-        .join(term_weights(stats, epsilon), "term")
-        .groupBy("query_id")
-        .agg(F.collect_list(F.struct("term", "times", "idf")).alias("_asked"))
+    asked = query_terms(queries)
+    weights = asked.join(term_weights(stats, epsilon).select("term", "idf"), "term")
+    words = candidates.select("query_id", "id", tokens(doc_text(F.col("title"), F.col("summary"))).alias("words")).select(
+        "query_id", "id", F.size("words").alias("length"), F.explode_outer("words").alias("term")
     )
-    worded = candidates.join(asked, "query_id", "left").withColumn(
-        "_words", tokens(doc_text(F.col("title"), F.col("summary")))
-    ).withColumn("_average", average)
-
-    def add(total: Column, term: Column) -> Column:
-        tf = F.size(F.filter("_words", lambda word: word == term["term"]))
-        return total + term["times"] * term["idf"] * _saturated(tf, F.size("_words"), F.col("_average"), k1, b)
-
-    score = F.aggregate("_asked", F.lit(0.0).cast("double"), add)
-    return worded.withColumn("bm25_score", F.coalesce(score, F.lit(0.0))).drop("_asked", "_words", "_average")
+    counted = (
+        join_checked(words, weights, ["query_id", "term"], sized_by=asked)
+        .groupBy("query_id", "id", "length", "term", "times", "idf")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    score = F.col("times") * F.col("idf") * _saturated(F.col("tf"), F.col("length"), average, k1, b)
+    return counted.groupBy("query_id", "id").agg(F.sum(score).alias("bm25_score"))
 
 
 # --- fusion -----------------------------------------------------------------------------------------------
@@ -250,12 +246,19 @@ def _label(c: Column, text: str) -> Column:
     return F.when(c.isNull() | F.isnan(c), F.lit(text))
 
 
+def with_texts(candidates: DataFrame, books: DataFrame, small: bool) -> DataFrame:
+    """Candidates with the other columns of their books; texts stay in place when the candidates are known to be
+    `small`."""
+    texts = books.drop("title_embed", "summary_embed").withColumn("id", F.col("id").cast("int"))
+    return texts.join(F.broadcast(candidates) if small else candidates, "id")
+
+
 def hybrid_search(queries: DataFrame, books: DataFrame, k: int = 10, n: int = 3) -> DataFrame:
     """Ranked suggestions for each query: `k` dense candidates, the best `n` of them by BM25."""
     stats = written(corpus_stats(books), "corpus")
-    texts = books.drop("title_embed", "summary_embed").withColumn("id", F.col("id").cast("int"))
-    candidates = dense_top(queries, books, k).join(texts, "id")
-    ranked = rerank(score_candidates(candidates, queries, stats), n)
+    small = queries.count() * k <= SMALL_ROWS
+    candidates = written(with_texts(dense_top(queries, books, k), books, small), "candidates")
+    ranked = rerank(attach_bm25(candidates, candidate_scores(candidates, queries, stats)), n)
     return (
         ranked.withColumn("summary", no_summary(F.col("summary")))
         .withColumn("image", media_url(F.col("image")))

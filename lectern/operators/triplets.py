@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.arrow import matrix
 from lectern.operators.skew import hot_join, join_checked
+from lectern.sources.storage import written
 
 BLOCK_ROWS = 4_096
 
@@ -62,7 +63,9 @@ def mine_triplets(tags: DataFrame, bridge: DataFrame, books: DataFrame) -> DataF
     """(tag_id, book_id, neg_id, anchor, pos, neg) for each book-tag pair; `neg` is NULL when there is no other tag.
 
     The nearest tag is found once per tag, not per pair. The narrow pairs meet the books first, the tag vectors last.
+    Tags are read many times, so they are written once.
     """
+    tags = written(tags, "tags")
     negatives = nearest_other(tags).select("id", "neg_id")
     vectors = tags.select(F.col("id").alias("neg_id"), F.col("tag_embed").alias("neg"))
     anchors = (

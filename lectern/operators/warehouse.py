@@ -74,14 +74,15 @@ def new_facts(staged: DataFrame, facts: DataFrame, keys: list[str] = FACT_KEYS)
 
 
 def load_facts(
-    history: DataFrame, facts: DataFrame, times: DataFrame, actions: DataFrame | None = None
+    history: DataFrame, facts: DataFrame | None, times: DataFrame, actions: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """New facts and rejects of an incremental load.
+    """New facts and rejects of an incremental load; `facts` is None for the first one.
 
     A row that lacks a session, user, book, action or day cannot be a fact. The whole load would fail on it in a
     database; here it is handed back as a reject.
     """
-    fresh = new_facts(lookup_dims(history, times, actions), facts)
+    staged = lookup_dims(history, times, actions)
+    fresh = staged if facts is None else new_facts(staged, facts)
     needed = [c for c in fresh.columns if c != "created_at"]
     complete = F.lit(True)
     for name in needed:

@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern import schemas
 from lectern.functions import actions as act
 from lectern.functions import text as txt
 from lectern.functions import vectors as vec
@@ -47,26 +46,20 @@ def _entries(c: str, *fields: str) -> Column:
 # --- warehouse --------------------------------------------------------------------------------------------
 
 
-def _empty(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def _loads(spark: SparkSession, history: DataFrame, schema, actions: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _loads(history: DataFrame, actions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts of two incremental loads (the first weeks, then everything), and the rejects of the second."""
-    times = warehouse.dim_time(spark)
-    first, _ = warehouse.load_facts(
-        history.where(F.col("timestamp") < BATCH_END), _empty(spark, schema), times, actions
-    )
+    times = warehouse.dim_time(history.sparkSession)
+    first, _ = warehouse.load_facts(history.where(F.col("timestamp") < BATCH_END), None, times, actions)
     second, rejects = warehouse.load_facts(history, first, times, actions)
     return first.unionByName(second), rejects
 
 
 def _ui_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return _loads(spark, domain.ui_history(spark, sf), schemas.FACT_USER_INTERACTION, warehouse.dim_action(spark))[0]
+    return _loads(domain.ui_history(spark, sf), warehouse.dim_action(spark))[0]
 
 
 def _rec_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return _loads(spark, domain.rec_history(spark, sf), schemas.FACT_RECOMMENDATION, None)[0]
+    return _loads(domain.rec_history(spark, sf))[0]
 
 
 def _outcome(spark: SparkSession, sf: str, ordered: bool = False) -> DataFrame:
@@ -123,8 +116,7 @@ def fact_recommendation_load(spark, sf):
 
 @query
 def fact_rejects(spark, sf):
-    history = domain.ui_history(spark, sf)
-    return _epoch(_loads(spark, history, schemas.FACT_USER_INTERACTION, warehouse.dim_action(spark))[1])
+    return _epoch(_loads(domain.ui_history(spark, sf), warehouse.dim_action(spark))[1])
 
 
 @query

@@ -114,7 +114,7 @@ def test_bm25(books, questions, monkeypatch, small_rows):
 def test_candidate_scores_equal_all_scores(books, questions):
     stats = retrieval.corpus_stats(books)
     candidates = retrieval.dense_top(questions, books).join(books.select("id", "title", "summary"), "id")
-    scored = retrieval.score_candidates(candidates, questions, stats).collect()
+    scored = retrieval.attach_bm25(candidates, retrieval.candidate_scores(candidates, questions, stats)).collect()
     assert len(scored) == 50
     for row in scored:
         query = next(q for i, q, _ in QUESTIONS if i == row["query_id"])

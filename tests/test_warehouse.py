@@ -15,8 +15,7 @@ def dims(spark):
 
 
 def load(spark, dims, rows, facts=None):
-    empty = spark.createDataFrame([], schemas.FACT_USER_INTERACTION)
-    return warehouse.load_facts(spark.createDataFrame(rows, UI), empty if facts is None else facts, *dims)
+    return warehouse.load_facts(spark.createDataFrame(rows, UI), facts, *dims)
 
 
 def test_dim_time(dims):

@@ -24,6 +24,12 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MODEL).parquet(path)
 
 
+def latest_payload(model: DataFrame, kind: str) -> object | None:
+    """The newest artefact of a type, None when there is none."""
+    row = latest_model(model.where(F.col("type") == kind)).first()
+    return None if row is None else json.loads(row["weights"])
+
+
 def latest_model(model: DataFrame) -> DataFrame:
     """The newest row of each type, the larger id winning a tie; reduced where it is read."""
     newest = F.max_by(F.struct("id", "weights", "timestamp"), F.struct("timestamp", "id")).alias("_row")

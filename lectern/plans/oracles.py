@@ -491,6 +491,15 @@ ORACLES: dict[str, str] = {
         FROM source_books b LEFT JOIN pages p ON p.page_id = b.id WHERE b.id NOT IN (SELECT id FROM target_books)""",
         "source_books", "target_books",
     ),
+    "catalogue_etl": f"""WITH extracted AS (SELECT CAST(p_partkey AS INTEGER) AS id, p_name AS title, author,
+            {_clean('html')} AS summary, {_asset('/cover.jpg')} AS image
+            FROM part JOIN {_AUTHORED} ON l_partkey = p_partkey LEFT JOIN pages ON page_id = p_partkey),
+        kept AS (SELECT *, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS idx FROM extracted WHERE id % 7 <> 2)
+        SELECT id, idx, title, author, summary, image, id % 10 <> 3 AS active, 768 AS dim FROM kept
+        UNION ALL
+        SELECT id, CAST((SELECT max(idx) FROM kept) + row_number() OVER (ORDER BY id) AS INTEGER), title, author, summary,
+            image, true, 768
+        FROM extracted WHERE id % 7 = 2 AND id % 10 <> 3""",
     "item_positions": _sql("SELECT * FROM items", "items"),
     "books_with_tags": _sql(f"SELECT {_BOOK}, {_TAG_LIST} AS tags FROM books b", "books", "bridge", "tags"),
     "tags_with_books": _sql(
@@ -602,6 +611,7 @@ ORACLES: dict[str, str] = {
     ),
     "stream_reward": _sql("SELECT event_id, sid, bid, reward FROM known", "known"),
     "stream_raw_log": _sql("SELECT event_id, sid, uid, bid, action FROM ui", "ui"),
+    "stream_drain": _sql("SELECT sid, uid, bid, action, timestamp FROM ui", "ui"),
     "stream_last5": _sql("SELECT * FROM last5", "last5"),
     "stream_recommend": _sql(
         """SELECT uid, string_agg(bid, ',' ORDER BY rank) AS bids FROM recommended

@@ -9,15 +9,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import schemas
 from lectern.functions import actions as act
 from lectern.functions import text as txt
 from lectern.functions import vectors as vec
 from lectern.operators import catalogue, policy, registry, retrieval, sessions, triplets, warehouse
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import embed, hashing_encoder
-from lectern.plans import domain
+from lectern.plans import domain, jobs
 from lectern.plans.dashboard import dashboard_frames, dashboard_points
 from lectern.session import streaming_session
+from lectern.sources.sinks import current_version
 from lectern.sources.storage import shared_dir
 from lectern.sources.tables import read_table
 from lectern.streaming import interactions as stream
@@ -229,6 +231,22 @@ def transform_new(spark, sf):
     )
 
 
+@query
+def catalogue_etl(spark, sf):
+    """The stored catalogue after two snapshots, with the page of the same number as sidecar."""
+    source = domain.source_catalogue(spark, sf)
+    pages = read_table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("description"))
+    sidecars = (
+        catalogue.asset_paths(source["books"]).join(pages, "id").select(F.col("sidecar").alias("path"), "description")
+    )
+    lake = shared_dir(spark, "lake")
+    jobs.init_lake(spark, lake)
+    for kept in (F.col("id") % 7 != 2, F.col("id") % 10 != 3):
+        jobs.catalogue_etl(spark, {**source, "books": source["books"].where(kept)}, sidecars, lake)
+    books, _ = current_version(spark, f"{lake}/books")
+    return books.select("id", "idx", "title", "author", "summary", "image", "active", F.size("summary_embed").alias("dim"))
+
+
 @query
 def item_positions(spark, sf):
     return sessions.item_index(domain.books(spark, sf, vectors=False))
@@ -679,6 +697,16 @@ def stream_raw_log(spark, sf):
     return logged.select("event_id", "sid", "uid", "bid", "action")
 
 
+@query
+def stream_drain(spark, sf):
+    """The raw log drained into the history table."""
+    events = _event_stream(spark, sf)
+    session, folder = events.sparkSession, shared_dir(spark, "stream-drain")
+    stream.raw_log(events, f"{folder}/raw", f"{folder}/checkpoint").awaitTermination()
+    stream.drain_log(session, f"{folder}/raw", f"{folder}/history", f"{folder}/drained")
+    return session.read.schema(schemas.UI_HISTORY).parquet(f"{folder}/history")
+
+
 @query
 def stream_last5(spark, sf):
     _, in_session = stream.route(_event_stream(spark, sf))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import to_json_vector
@@ -22,12 +22,25 @@ def append_facts(facts: DataFrame, path: str) -> None:
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a whole table as a new version next to the one being read; returns its folder."""
-    path = f"{root.rstrip('/')}/version={version}"
+    """Write a whole table as a new version next to the one being read; returns its folder.
+
+    The version counts once it is listed, which happens after all of its files are there.
+    """
+    root = root.rstrip("/")
+    path = f"{root}/version={version}"
     df.write.mode("overwrite").parquet(path)
+    listed = df.sparkSession.createDataFrame([(version,)], "version int")
+    listed.write.mode("append").parquet(f"{root}-versions")
     return path
 
 
+def current_version(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """The newest listed version of a table, and its number."""
+    root = root.rstrip("/")
+    newest = spark.read.schema("version int").parquet(f"{root}-versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root}/version={newest}"), newest
+
+
 def event_messages(events: DataFrame) -> DataFrame:
     """Key (session) and JSON value of each event, as a topic takes them."""
     fields = ["sid", "uid", "bid", "action", "timestamp"]

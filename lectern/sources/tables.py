@@ -46,9 +46,13 @@ def read_triplets_csv(spark: SparkSession, path: str) -> DataFrame:
     return text.select(*[parse_vector(F.col(c)).alias(c) for c in ("anchor", "pos", "neg")])
 
 
-def read_sidecars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per catalogue sidecar file with its cleaned description."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), xml_description(F.col("value")).alias("description")
+def read_sidecars(spark: SparkSession, base: str) -> DataFrame:
+    """One row per catalogue sidecar below `base`: (path, description, summary), the path relative to it."""
+    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.opf")
+    # File paths come URL-encoded, where a plus sign stands for itself.
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    located = files.select(
+        F.substring_index(decoded, f"{base.rstrip('/')}/", -1).alias("path"),
+        xml_description(F.col("value")).alias("description"),
     )
-    return files.withColumn("summary", clean_description(F.col("description")))
+    return located.withColumn("summary", clean_description(F.col("description")))

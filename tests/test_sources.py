@@ -19,15 +19,16 @@ def test_log_round_trip(spark, tmp_path):
 
 def test_sidecars(spark, tmp_path):
     def write(name, body):
-        (tmp_path / name).write_text(body)
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "metadata.opf").write_text(body)
 
     head = '<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>'
-    write("a.opf", head + "<dc:description>&lt;p&gt;One\n two&lt;/p&gt;</dc:description></metadata></package>")
-    write("b.opf", head)
-    write("c.opf", head + "</metadata></package>")
-    found = {r["path"][-5:]: (r["description"], r["summary"]) for r in tables.read_sidecars(spark, str(tmp_path / "*.opf")).collect()}
-    assert found["a.opf"][1] == "One two"
-    assert found["b.opf"] == ("NaN", "NaN") and found["c.opf"] == (None, "NaN")
+    write("Ann B+/It's 1", head + "<dc:description>&lt;p&gt;One\n two&lt;/p&gt;</dc:description></metadata></package>")
+    write("b", head)
+    write("c", head + "</metadata></package>")
+    found = {r["path"]: (r["description"], r["summary"]) for r in tables.read_sidecars(spark, str(tmp_path)).collect()}
+    assert found["Ann B+/It's 1/metadata.opf"][1] == "One two"
+    assert found["b/metadata.opf"] == ("NaN", "NaN") and found["c/metadata.opf"] == (None, "NaN")
 
 
 def test_triplet_csv(spark, tmp_path):
@@ -56,9 +57,12 @@ def test_facts_are_laid_out_by_month(spark, tmp_path):
 
 
 def test_versions_do_not_touch_the_one_being_read(spark, tmp_path):
-    first = sinks.write_version(spark.range(3), str(tmp_path), 0)
-    second = sinks.write_version(spark.read.parquet(first).where("id > 0"), str(tmp_path), 1)
+    root = str(tmp_path / "t")
+    first = sinks.write_version(spark.range(3), root, 0)
+    second = sinks.write_version(spark.read.parquet(first).where("id > 0"), root, 1)
     assert spark.read.parquet(first).count() == 3 and spark.read.parquet(second).count() == 2
+    current, version = sinks.current_version(spark, root)
+    assert version == 1 and current.count() == 2
 
 
 def test_written_is_stored_in_the_shared_folder(spark):

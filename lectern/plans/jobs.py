@@ -11,6 +11,7 @@ from lectern.operators import catalogue, policy, registry, sessions, triplets, w
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
 from lectern.sources.sinks import append, append_facts, current_version, write_version
+from lectern.sources.storage import written
 
 BOOK_COLUMNS = [field.name for field in schemas.BOOKS.fields]
 
@@ -36,11 +37,12 @@ def catalogue_etl(
 ) -> None:
     """One snapshot of the external catalogue into the next version of books, tags and books_tags.
 
-    Only new books and tags are cleaned and embedded. A book without a readable sidecar gets the missing-text mark.
+    Only new books and tags are cleaned and embedded. A book without a readable sidecar gets the missing-text mark. The
+    snapshot is read from its source once and staged.
     """
     encoder = encoder or hashing_encoder()
     books, tags, pairs = catalogue.extract_catalogue(source)
-    books = books.withColumn("id", F.col("id").cast("int"))
+    books = written(books.withColumn("id", F.col("id").cast("int")), "snapshot")
     target, version = current_version(spark, f"{lake}/books")
     fresh = catalogue.transform_new(books, target, sidecar_descriptions(books, sidecars), encoder)
     stamped = fresh.withColumn("modified_date", F.current_timestamp()).select(

@@ -82,6 +82,19 @@ def test_policy_loss_by_hand():
     assert loss == pytest.approx(-2 * math.log(0.75) - 0.01 * entropy / 4)
 
 
+@pytest.mark.parametrize("few, slot", [(16, 131_072), (1, 131_072), (1, 3)])
+def test_total_gradient(spark, monkeypatch, few, slot):
+    monkeypatch.setattr(gradients, "FEW", few)
+    monkeypatch.setattr(gradients, "SLOT", slot)
+
+    def add(batch):
+        ids = np.array(batch.column("id").to_pylist(), dtype=float)
+        return float(len(ids)), ids.sum() * np.arange(8.0)
+
+    loss, gradient = gradients.total_gradient(spark.range(0, 1000, numPartitions=9), add, 8)
+    assert loss == 1000 and gradient.tolist() == [499500.0 * n for n in range(8)]
+
+
 def test_schedule_and_clip():
     assert [gradients.warm_up_then_decay(s, 4, 8) for s in (0, 2, 4, 6, 8)] == [0, 0.5, 1, 0.5, 0]
     assert np.linalg.norm(gradients.clipped(np.array([3.0, 4.0]), 1.0)) == pytest.approx(1.0)

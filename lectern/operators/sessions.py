@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.actions import known_reward, reward
 from lectern.operators.skew import dense_positions, hot_keys, join_checked, split_hot
@@ -56,11 +57,14 @@ def history_items(history: DataFrame, books: DataFrame) -> DataFrame:
 # --- order ------------------------------------------------------------------------------------------------
 
 
-def in_cells(history: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def in_cells(
+    history: DataFrame, tie: tuple[str, ...] = TIE_BREAK, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Rows with `_cell` and `_start`, the number of session rows before the cell.
 
     Ordinary sessions are one cell numbered -1. In a long session a cell is a run of whole seconds that
-    starts in the same stretch of `cell_rows` rows.
+    starts in the same stretch of `cell_rows` rows; a second with more rows than that is cut by its first tie-break
+    column, when that is an integer.
     """
     keyed = history.withColumn("_sid", F.coalesce("sid", F.lit(NO_SESSION))).withColumn(
         "_at", F.coalesce("timestamp", F.lit(LAST))
@@ -69,16 +73,29 @@ def in_cells(history: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     if hot is None:
         return _one_cell(keyed)
     busy, quiet = split_hot(keyed, hot, ["_sid"])
-    earlier = Window.partitionBy("_sid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    seconds = (
-        busy.groupBy("_sid", "_at")
+    busy = _cut_seconds(busy, tie, cell_rows)
+    earlier = Window.partitionBy("_sid").orderBy("_at", "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        busy.groupBy("_sid", "_at", "_cut")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .withColumn("_cell", F.floor(F.col("_before") / F.lit(cell_rows)).cast("long"))
         .withColumn("_start", F.min("_before").over(Window.partitionBy("_sid", "_cell")))
-        .select("_sid", "_at", "_cell", "_start")
+        .select("_sid", "_at", "_cut", "_cell", "_start")
     )
-    return _one_cell(quiet).unionByName(busy.join(seconds, ["_sid", "_at"]))
+    return _one_cell(quiet).unionByName(busy.join(runs, ["_sid", "_at", "_cut"]).drop("_cut"))
+
+
+def _cut_seconds(busy: DataFrame, tie: tuple[str, ...], cell_rows: int) -> DataFrame:
+    """Rows with `_cut`, which rises with the order inside a second that is too long for one cell."""
+    whole = F.lit(0).cast("long")
+    sortable = bool(tie) and isinstance(busy.schema[tie[0]].dataType, T.IntegralType)
+    crowded = hot_keys(busy, ["_sid", "_at"], cell_rows) if sortable else None
+    if crowded is None:
+        return busy.withColumn("_cut", whole)
+    long_seconds, others = split_hot(busy, crowded, ["_sid", "_at"])
+    cut = F.coalesce(F.floor(F.col(tie[0]) / F.lit(cell_rows)).cast("long"), F.lit(LAST))
+    return others.withColumn("_cut", whole).unionByName(long_seconds.withColumn("_cut", cut))
 
 
 def _one_cell(keyed: DataFrame) -> DataFrame:
@@ -94,7 +111,7 @@ def session_steps(
 ) -> DataFrame:
     """Rows with their 0-based `step` in the session, by time and then by the tie-break columns."""
     inside = Window.partitionBy(*GROUP).orderBy(*_order(tie))
-    return in_cells(history, cell_rows).withColumn("_row", F.row_number().over(inside) - 1).withColumn(
+    return in_cells(history, tie, cell_rows).withColumn("_row", F.row_number().over(inside) - 1).withColumn(
         "step", F.col("_start") + F.col("_row")
     )
 

@@ -161,18 +161,18 @@ _part(
 )
 _part(
     "outcome",
-    """SELECT CAST(t.date AS VARCHAR) AS recommendation_date, a.actionname AS action_type,
-        count(CASE WHEN a.actionname = 'skip' THEN u.bookid END) AS total_skipped,
-        count(CASE WHEN a.actionname = 'click' THEN u.bookid END) AS total_clicked,
-        count(CASE WHEN a.actionname = 'read' THEN u.bookid END) AS total_read,
-        count(CASE WHEN u.bookid IS NULL THEN r.bookid END) AS total_no_interaction,
-        count(DISTINCT r.bookid) AS total_recommended_books,
+    """SELECT CAST(date AS VARCHAR) AS recommendation_date, actionname AS action_type,
+        count(*) FILTER (actionname = 'skip') AS total_skipped,
+        count(*) FILTER (actionname = 'click') AS total_clicked,
+        count(*) FILTER (actionname = 'read') AS total_read,
+        count(*) FILTER (acted IS NULL) AS total_no_interaction,
+        count(DISTINCT bookid) AS total_recommended_books,
         count(*) AS total_recommendations
-        FROM fact_rec r
-        LEFT JOIN fact_ui u ON r.userid = u.userid AND r.bookid = u.bookid AND r.timeid = u.timeid
-        LEFT JOIN actions a ON a.actionid = u.actionid
-        JOIN days t ON t.timeid = r.timeid
-        GROUP BY t.date, a.actionname""",
+        FROM fact_rec
+        LEFT JOIN (SELECT userid, bookid, timeid, actionid, true AS acted FROM fact_ui) USING (userid, bookid, timeid)
+        LEFT JOIN actions USING (actionid)
+        JOIN days USING (timeid)
+        GROUP BY ALL""",
     "fact_rec", "fact_ui", "actions", "days",
 )
 _part(

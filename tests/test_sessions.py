@@ -56,11 +56,23 @@ def test_order(history, expected, cell_rows):
 
 
 def test_long_sessions_are_cut(history):
-    cells = sessions.in_cells(history, 10).groupBy("_sid", "_cell").count().collect()
+    cells = sessions.in_cells(history, cell_rows=10).groupBy("_sid", "_cell").count().collect()
     assert sum(row["_sid"] == "hot" for row in cells) > 10
     assert max(row["count"] for row in cells) < 60
 
 
+def test_a_second_with_many_rows_is_cut(spark):
+    """One session without any time stamp: order comes from the tie-break column alone."""
+    rows = [("s", 1, n, "click", None, n, n, 1) for n in range(300)]
+    history = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    cells = sessions.in_cells(history, cell_rows=20).groupBy("_cell").count().collect()
+    assert len(cells) == 15 and max(row["count"] for row in cells) == 20
+    found = sessions.sliding_state(history, cell_rows=20).collect()
+    assert {r["step"]: [e["item"] for e in r["state"]] for r in found} == {
+        n: list(range(max(0, n - 5), n)) for n in range(300)
+    }
+
+
 @pytest.mark.parametrize("cell_rows", CELLS)
 def test_sliding_state(history, expected, cell_rows):
     found = {

@@ -26,7 +26,7 @@ HEADLINES = [
     "tags_with_books",
     "clean_html",
     "tokenize",
-    "embed_text",
+    "embed_default",
     "session_sequence",
     "training_steps",
     "last5_serving",

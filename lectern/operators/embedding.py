@@ -43,10 +43,11 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
-def hashing_encoder(dim: int = 768) -> Encoder:
+def hashing_encoder(dim: int = 768, hashed: Callable[[Column], Column] = F.xxhash64) -> Encoder:
     """Signed feature hashing of words: the default when no model is plugged in.
 
-    Words are split and hashed by Spark; Python only adds up signs per vector slot, a whole batch at a time.
+    Words are split and hashed by Spark; Python only adds up signs per vector slot, a whole batch at a time. The slot
+    is the hash modulo `dim`, the sign its bit 32.
     """
 
     @F.pandas_udf(VECTOR)
@@ -55,13 +56,12 @@ def hashing_encoder(dim: int = 768) -> Encoder:
             sizes = np.fromiter((len(h) for h in series), dtype=np.int64, count=len(series))
             flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in series]) if sizes.sum() else np.empty(0, np.int64)
             slots = np.repeat(np.arange(len(series)), sizes) * dim + np.mod(flat, dim)
-            signs = np.where((flat >> 62) & 1, -1.0, 1.0)
+            signs = np.where((flat >> 32) & 1, -1.0, 1.0)
             counts = np.bincount(slots, weights=signs, minlength=len(series) * dim).reshape(len(series), dim)
             yield pd.Series(list(unit_rows(counts).astype(np.float32)), dtype=object)
 
     def encoder(text: Column) -> Column:
-        hashed = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda word: F.xxhash64(word))
-        return add_up(hashed)
+        return add_up(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda word: hashed(word)))
 
     return encoder
 

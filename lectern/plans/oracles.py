@@ -534,6 +534,14 @@ ORACLES: dict[str, str] = {
     ),
     "xml_description": f"""SELECT doc_id, doc_id % 17 <> 0 AND doc_id % 19 = 0 AS absent,
         CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN 'NaN' ELSE {_clean('text')} END AS summary FROM documents""",
+    "embed_text": f"""WITH hashed AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS h
+            FROM (SELECT doc_id, unnest({_split('text')}) AS word FROM documents) WHERE word <> ''),
+        summed AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS place, sum(CASE WHEN (h >> 32) % 2 = 1 THEN -1.0 ELSE 1.0 END) AS x
+            FROM hashed GROUP BY ALL),
+        scaled AS (SELECT doc_id, place, CAST(CAST(x AS DOUBLE) / sqrt(CAST(sum(x * x) OVER (PARTITION BY doc_id) AS DOUBLE)) AS FLOAT) AS value
+            FROM summed)
+        SELECT doc_id, place, {_r('CAST(value AS DOUBLE)')} AS value FROM scaled WHERE value <> 0""",
+    "embed_default": "SELECT doc_id, 256 AS dim, CAST(1 AS DOUBLE) AS length FROM documents",
     "reward_total": _sql(
         f"""SELECT * EXCLUDE (timestamp), CASE reward WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS category
         FROM (SELECT *, {_REWARD.format(a='action')} AS reward FROM history)""",

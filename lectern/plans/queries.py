@@ -371,8 +371,23 @@ def xml_description(spark, sf):
     )
 
 
+def _portable_hash(word: Column) -> Column:
+    """A word hash that other engines have as well: the first 60 bits of its MD5."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 @query
 def embed_text(spark, sf):
+    """The numbers of each document's vector that are not zero."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    embedded = embed(docs, "text", "vector", hashing_encoder(256, _portable_hash))
+    numbers = embedded.select("doc_id", F.posexplode("vector").alias("place", "value")).where(F.col("value") != 0)
+    return numbers.withColumn("value", _r(F.col("value").cast("double")))
+
+
+@query
+def embed_default(spark, sf):
+    """Size and length of each document's vector from the default encoder."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     embedded = embed(docs, "text", "vector", hashing_encoder(256))
     length = F.sqrt(vec.dot(F.col("vector"), F.col("vector")))

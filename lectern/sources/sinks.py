@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.actions import epoch_date
 from lectern.functions.vectors import to_json_vector
 
 
@@ -16,9 +17,12 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def append_facts(facts: DataFrame, path: str) -> None:
-    """Append facts in folders by month of their instant, which dated reads prune."""
-    dated = facts.withColumn("month", F.date_format("created_at", "yyyy-MM"))
-    append(dated.repartition("month", F.pmod(F.xxhash64("sessionid"), F.lit(64))), path, ["month"])
+    """Append facts in folders by month of their instant, which dated reads prune.
+
+    Rows are rebalanced by month: small months share a task, and a large one is split over many.
+    """
+    dated = facts.withColumn("month", F.date_format(epoch_date(F.unix_seconds("created_at")), "yyyy-MM"))
+    append(dated.hint("rebalance", F.col("month")), path, ["month"])
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:

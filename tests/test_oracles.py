@@ -17,7 +17,7 @@ def con(small):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"embed_text", "fit_adapter_losses", "fit_policy_losses"}
+    assert set(QUERIES) - set(ORACLES) == {"fit_adapter_losses", "fit_policy_losses"}
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -32,8 +32,3 @@ def test_fits_improve(spark, small):
     for name in ("fit_adapter_losses", "fit_policy_losses"):
         losses = [row["loss"] for row in QUERIES[name](spark, small).orderBy("epoch").collect()]
         assert losses == sorted(losses, reverse=True), name
-
-
-def test_embeddings_have_length_one(spark, small):
-    rows = QUERIES["embed_text"](spark, small).collect()
-    assert rows and all(row["length"] == 1.0 and row["dim"] == 256 for row in rows)

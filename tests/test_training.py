@@ -97,6 +97,8 @@ def test_total_gradient(spark, monkeypatch, few, slot):
 
 def test_schedule_and_clip():
     assert [gradients.warm_up_then_decay(s, 4, 8) for s in (0, 2, 4, 6, 8)] == [0, 0.5, 1, 0.5, 0]
+    assert [gradients.warm_up_then_decay(s, 0, 4) for s in (0, 1, 4)] == [1, 0.75, 0]
+    assert [gradients.warm_up_then_decay(s, 100, 30) for s in (0, 25)] == [0, 0.25]
     assert np.linalg.norm(gradients.clipped(np.array([3.0, 4.0]), 1.0)) == pytest.approx(1.0)
     assert gradients.clipped(np.array([0.3, 0.4]), 1.0).tolist() == [0.3, 0.4]
 
@@ -194,7 +196,7 @@ def test_hashing_encoder(spark):
         for word in (row["t"] or "").lower().split():
             hashed = xxhash.xxh64_intdigest(word.encode(), seed=42)
             signed = hashed - (1 << 64) if hashed >> 63 else hashed
-            total[signed % 16] += -1.0 if (signed >> 62) & 1 else 1.0
+            total[signed % 16] += -1.0 if (signed >> 32) & 1 else 1.0
         length = np.linalg.norm(total)
         assert row["v"] == pytest.approx((total / length if length else total).tolist(), abs=1e-6)
 

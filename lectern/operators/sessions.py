@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from lectern.functions.actions import known_reward, reward
 from lectern.operators.skew import dense_positions, hot_keys, join_checked, split_hot
+from lectern.sources.storage import written
 
-CELL_ROWS = 1_000_000
+CELL_ROWS = 5_000_000  # below this a session is sorted by one task in well under a minute
 NO_SESSION = "\u0000"  # stands for the NULL session while rows are grouped
 LAST = 2**63 - 1       # stands for a missing time, which sorts last
 TIE_BREAK = ("event_id",)
@@ -83,7 +84,8 @@ def in_cells(
         .withColumn("_start", F.min("_before").over(Window.partitionBy("_sid", "_cell")))
         .select("_sid", "_at", "_cut", "_cell", "_start")
     )
-    return _one_cell(quiet).unionByName(busy.join(runs, ["_sid", "_at", "_cut"]).drop("_cut"))
+    celled = join_checked(busy, written(runs, "runs"), ["_sid", "_at", "_cut"]).drop("_cut")
+    return _one_cell(quiet).unionByName(celled)
 
 
 def _cut_seconds(busy: DataFrame, tie: tuple[str, ...], cell_rows: int) -> DataFrame:

@@ -68,9 +68,14 @@ def lookup_dims(history: DataFrame, times: DataFrame, actions: DataFrame | None
 def new_facts(staged: DataFrame, facts: DataFrame, keys: list[str] = FACT_KEYS) -> DataFrame:
     """Staged rows whose key is not among the facts; a NULL in a key never matches.
 
-    The action is not part of the key, and copies inside the staged rows are all kept.
+    The action is not part of the key, and copies inside the staged rows are all kept. Only facts in the span of the
+    staged instants are read, so a load costs what it brings and not what is stored.
     """
-    return hot_join(staged, facts.select(*keys).distinct(), keys, "left_anti")
+    span = staged.agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    near = facts.where(
+        (F.col("created_at") >= span.select("first").scalar()) & (F.col("created_at") <= span.select("last").scalar())
+    )
+    return hot_join(staged, near.select(*keys).distinct(), keys, "left_anti")
 
 
 def load_facts(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
+from lectern.functions.actions import epoch_date
 from lectern.operators import catalogue, policy, registry, sessions, triplets, warehouse
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
@@ -66,12 +67,22 @@ def warehouse_etl(spark: SparkSession, ui: DataFrame, rec: DataFrame, lake: str,
     times, actions = warehouse.dim_time(spark), warehouse.dim_action(spark)
     for name, history, names in (("fact_user_interaction", ui, actions), ("fact_recommendation", rec, None)):
         path = f"{lake}/{name}"
-        stored = None if first else spark.read.parquet(path).drop("month")
+        stored = None if first else _months_of(history, spark.read.parquet(path)).drop("month")
         facts, rejects = warehouse.load_facts(history, stored, times, names)
         append_facts(facts, path)
         append(rejects, f"{lake}/{name}_rejects")
 
 
+def _months_of(history: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored facts in the month folders that the history touches; no other folder is read."""
+    months = history.agg(
+        *[F.date_format(epoch_date(f(F.col("timestamp"))), "yyyy-MM").alias(f.__name__) for f in (F.min, F.max)]
+    )
+    return stored.where(
+        (F.col("month") >= months.select("min").scalar()) & (F.col("month") <= months.select("max").scalar())
+    )
+
+
 def facts(spark: SparkSession, lake: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{lake}/{name}").drop("month")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_description, media_url
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
-from lectern.operators.skew import dense_positions, join_checked
+from lectern.operators.skew import dense_positions, hot_join, join_checked
 from lectern.sources.storage import written
 
 # --- extract ----------------------------------------------------------------------------------------------
@@ -237,5 +237,5 @@ def recommended_books(recommended: DataFrame, books: DataFrame) -> DataFrame:
 
     A popular book may stand in many lists, so its rows are kept from meeting in one task.
     """
-    return join_checked(recommended, books.withColumnRenamed("id", "bid"), ["bid"], sized_by=books, max_rows=10_000)
+    return hot_join(recommended, books.withColumnRenamed("id", "bid"), ["bid"], "inner")
 

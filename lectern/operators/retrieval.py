@@ -194,7 +194,7 @@ def bm25(
     )
     if passes > 1:
         scored = written(scored, "scored")
-    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n) for n in range(passes)]
+    parts = [asked.where(F.pmod(F.xxhash64("query_id", "term"), F.lit(passes)) == n) for n in range(passes)]
     matched = reduce(DataFrame.unionByName, [scored.join(F.broadcast(part), "term") for part in parts])
     return matched.groupBy("query_id", "id").agg(F.sum(F.col("score") * F.col("times")).alias("bm25_score"))
 

@@ -424,21 +424,25 @@ ORACLES: dict[str, str] = {
         "calendar",
     ),
     "dim_action": _sql(
-        """SELECT h.action, h.interactions, a.actionid, a.description
+        """SELECT h.action, h.interactions, CAST(a.actionid AS VARCHAR) AS actionid, a.description
         FROM (SELECT action, count(*) AS interactions FROM history GROUP BY action) h
         LEFT JOIN actions a ON a.actionname = h.action""",
         "history", "actions",
     ),
     "lookup_dims": _sql(
-        f"""SELECT timeid, actionid, count(*) AS events, min(created_at) AS first_at
+        f"""SELECT timeid, CAST(actionid AS VARCHAR) AS actionid, count(*) AS events, min(created_at) AS first_at
         FROM ({_staged('history', True)}) GROUP BY timeid, actionid""",
         "history", "days", "actions",
     ),
     "fact_interaction_load": _sql("SELECT * FROM fact_ui", "fact_ui"),
     "fact_recommendation_load": _sql("SELECT * FROM fact_rec", "fact_rec"),
-    "fact_rejects": _sql("SELECT * FROM ui_fresh WHERE actionid IS NULL OR timeid IS NULL", "ui_fresh"),
+    "fact_rejects": _sql(
+        "SELECT * REPLACE (CAST(actionid AS VARCHAR) AS actionid) FROM ui_fresh WHERE actionid IS NULL OR timeid IS NULL",
+        "ui_fresh",
+    ),
     "rec_outcomes": _sql(
-        """SELECT userid, bookid, timeid, u.actionid, r.n AS recommended, u.n AS acted, r.n * coalesce(u.n, 1) AS pairs
+        """SELECT userid, bookid, timeid, CAST(u.actionid AS VARCHAR) AS actionid, r.n AS recommended,
+            coalesce(u.n, 0) AS acted, r.n * coalesce(u.n, 1) AS pairs
         FROM (SELECT userid, bookid, timeid, count(*) AS n FROM fact_rec GROUP BY ALL) r
         LEFT JOIN (SELECT userid, bookid, timeid, actionid, count(*) AS n FROM fact_ui GROUP BY ALL) u
         USING (userid, bookid, timeid)""",

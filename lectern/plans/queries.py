@@ -74,6 +74,11 @@ def _analysis(spark: SparkSession, sf: str) -> DataFrame:
     return warehouse.interaction_analysis(_ui_facts(spark, sf), warehouse.dim_time(spark), warehouse.dim_action(spark))
 
 
+def _id_text(df: DataFrame) -> DataFrame:
+    """`actionid`, which may be missing, as text: clients disagree on how to show a missing integer."""
+    return df.withColumn("actionid", F.col("actionid").cast("string"))
+
+
 def _epoch(facts: DataFrame) -> DataFrame:
     return facts.withColumn("created_at", F.unix_seconds("created_at"))
 
@@ -93,13 +98,13 @@ def dim_action(spark, sf):
     """Interactions per action with its id and description, NULL for actions the warehouse does not know."""
     counted = domain.all_history(spark, sf).groupBy("action").agg(F.count(F.lit(1)).alias("interactions"))
     names = warehouse.dim_action(spark).withColumnRenamed("actionname", "action")
-    return counted.join(F.broadcast(names), "action", "left")
+    return _id_text(counted.join(F.broadcast(names), "action", "left"))
 
 
 @query
 def lookup_dims(spark, sf):
-    looked = warehouse.lookup_dims(
-        domain.all_history(spark, sf), warehouse.dim_time(spark), warehouse.dim_action(spark)
+    looked = _id_text(
+        warehouse.lookup_dims(domain.all_history(spark, sf), warehouse.dim_time(spark), warehouse.dim_action(spark))
     )
     return looked.groupBy("timeid", "actionid").agg(
         F.count(F.lit(1)).alias("events"), F.min(F.unix_seconds("created_at")).alias("first_at")
@@ -118,12 +123,13 @@ def fact_recommendation_load(spark, sf):
 
 @query
 def fact_rejects(spark, sf):
-    return _epoch(_loads(domain.ui_history(spark, sf), warehouse.dim_action(spark))[1])
+    return _id_text(_epoch(_loads(domain.ui_history(spark, sf), warehouse.dim_action(spark))[1]))
 
 
 @query
 def rec_outcomes(spark, sf):
-    return warehouse.rec_outcomes(_rec_facts(spark, sf), _ui_facts(spark, sf))
+    outcomes = warehouse.rec_outcomes(_rec_facts(spark, sf), _ui_facts(spark, sf))
+    return _id_text(outcomes).withColumn("acted", F.coalesce("acted", F.lit(0)))
 
 
 @query

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder the cluster names in `spark.checkpoint.dir`."""
+    """A new folder name below the folder the cluster names in `spark.checkpoint.dir`, or else below the warehouse.
+
+    Both are places every executor reaches; a machine-local temporary folder is never used.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="lectern-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -24,3 +24,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder written under `shared_dir` once nothing reads it any more."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chats, exact, mixing, token_files
+from lectern.llm import bpe, chats, exact, jaccard, mixing, token_files
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 def op9_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chats.chats(table(spark, folder, "conversations"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_chats": op9_chats,
     "op10_exact_dedup": op10_exact_dedup,
 }

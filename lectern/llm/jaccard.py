@@ -2,7 +2,8 @@
 
 Equal sets are one vertex. Two linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of each in
 any one order; with frequent shingles last, such a prefix is mostly made of rare ones. Sets that meet at a shingle and
-whose sizes allow a link are tied together, and the tied groups are the candidates. A group is cut, by set size, into
+whose sizes allow a link are tied together: few of them pair by pair, where the bit counts of two bitmaps can still
+rule a link out, more of them to one of their number. The tied groups are the candidates. A group is cut, by set size, into
 tiles of bounded bytes. Tiles whose size bands allow a link meet in pairs: inside, a bitmap of each set (the parity of
 its shingles per hash slot) bounds the overlap from above by a bit count, and what passes is decided by intersecting
 the sorted arrays. A set that is already reached is not compared again, so the pairs that come out are a spanning
@@ -29,8 +30,9 @@ from lectern.sources.storage import written
 WORDS = 4
 PERCENT = 85
 COMMON = 1 << 16        # shingles that are put last, most frequent ones last of all
-SEEN = 4                # times a shingle is met in a stretch of texts to be counted for that
-STRETCH = 1 << 20       # shingles of a stretch
+SEEN = 2                # times a shingle is met in a stretch of prefixes to be counted for that
+STRETCH = 1 << 21       # shingles of a stretch
+FEW = 8                 # sets at a shingle that are tied pair by pair
 TILE_BYTES = 16 << 20   # of arrays in a tile
 BROADCAST_ROWS = 1 << 20
 
@@ -44,8 +46,14 @@ def sets_of(part: pa.RecordBatch, column: int, size: int) -> tuple[list[np.ndarr
     return sets, np.concatenate(sets) if sets else found
 
 
-def common(df: DataFrame, size: int) -> np.ndarray:
-    """Frequent shingles, the least frequent first: the order that keeps prefixes rare. Any order gives the same links."""
+def kept(n: int, percent: int) -> int:
+    """How many shingles of n make the prefix."""
+    return n + (-percent * n // 100) + 1 if n else 0
+
+
+def common(df: DataFrame, size: int, percent: int) -> np.ndarray:
+    """Frequent shingles of prefixes in plain order, the least frequent first. Any order gives the same links; this one
+    keeps shingles that many sets have out of the prefixes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -57,9 +65,9 @@ def common(df: DataFrame, size: int) -> np.ndarray:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                found = sets_of(part, 0, size)[1]
-                held.append(found)
-                n += len(found)
+                found = [own[: kept(len(own), percent)] for own in sets_of(part, 0, size)[0]]
+                held += found
+                n += sum(map(len, found))
                 if n >= STRETCH:
                     yield counted()
                     held, n = [], 0
@@ -72,7 +80,7 @@ def common(df: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(doc_id, n, vertex, prefix) of each text; `vertex` is a digest of its set."""
+    """(doc_id, n, vertex, prefix, bits) of each text; `vertex` is a digest of its set, `bits` its bitmap."""
     spread = df.sparkSession.sparkContext.broadcast(last)  # at most COMMON numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,16 +98,17 @@ def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFr
                     rank = np.zeros(len(flat), np.int64)
                 prefixes = []
                 for own, a, b in zip(sets, (ends - n).tolist(), ends.tolist()):
-                    keep = len(own) + (-percent * len(own) // 100) + 1 if len(own) else 0
-                    order = np.argsort(rank[a:b], kind="stable")[:keep] if rank[a:b].any() else slice(keep)
-                    prefixes.append(own[order])
+                    order = np.argsort(rank[a:b], kind="stable") if rank[a:b].any() else slice(None)
+                    prefixes.append(own[order][: kept(len(own), percent)])
                 sizes = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 values = as_long(np.concatenate(prefixes)) if prefixes else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
-                columns = [part.column(0), pa.array(n), pa.array(as_long(digests(flat, n))), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "vertex", "prefix"])
+                bits = pa.array([bitmap(own, slots(len(own))).tobytes() for own in sets], pa.binary())
+                columns = [part.column(0), pa.array(n), pa.array(as_long(digests(flat, n))), lists, bits]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "vertex", "prefix", "bits"])
 
-    return df.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, vertex long, prefix array<long>")
+    schema = "doc_id long, n long, vertex long, prefix array<long>, bits binary"
+    return df.select("doc_id", "text").mapInArrow(task, schema)
 
 
 def digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -111,40 +120,91 @@ def digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def ties(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that share a prefix shingle, tied to the first of a run of sizes that allow links.
+    """(a, b): sets that share a prefix shingle and may be linked.
 
-    Rows come sorted by (shingle, n, vertex), so only the last row is remembered.
+    Rows come sorted by (shingle, n, vertex); a run is broken where neighbouring sizes allow no link. Up to FEW sets of
+    a run pair up, where sizes and the places of the shingle allow a link, and bitmaps are asked; in a longer run each
+    set is tied to the first.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # shingle, n, first vertex of the run
+        held = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            shingle, n, vertex = (batch.column(i).to_numpy() for i in range(3))
-            if not len(shingle):
+            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            shingle, n, vertex, left = rows
+            if not len(n):
                 continue
-            new = np.ones(len(shingle), bool)
+            new = np.ones(len(n), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < percent * n[1:])
-            if last is not None and last[0] == shingle[0] and 100 * last[1] >= percent * n[0]:
-                new[0] = False
+            starts = np.flatnonzero(new)
+            lengths = np.diff(np.append(starts, len(n)))
+            length, first = np.repeat(lengths, lengths), np.repeat(vertex[starts], lengths)
             run = np.cumsum(new)
-            first = np.concatenate([[last[2] if last is not None else 0], vertex[new]])[run]
-            last = (shingle[-1], n[-1], first[-1])
-            tied = first != vertex
-            yield pa.RecordBatch.from_pydict({"a": pa.array(vertex[tied]), "b": pa.array(first[tied])})
-
-    rows = sets.select(F.explode("prefix").alias("shingle"), "n", "vertex")
+            long = (length > FEW) & (first != vertex)
+            found = [(vertex[long], first[long], np.zeros(int(long.sum()), bool))]
+            for step in range(1, FEW):
+                i = np.flatnonzero((run[:-step] == run[step:]) & (length[:-step] <= FEW)) if step < len(n) else []
+                if len(i):
+                    j = i + step
+                    most, both = np.minimum(left[i], left[j]), n[i] + n[j]
+                    i, j = (k[100 * most >= percent * (both - most)] for k in (i, j))
+                    found.append((vertex[i], vertex[j], np.ones(len(i), bool)))
+            a, b, ask = (np.concatenate(columns) for columns in zip(*found))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), "ask": pa.array(ask)})
+            at, k = int(starts[-1]), int(lengths[-1])  # the run may go on: its first set and its last ones stand for it
+            keep = np.arange(at, at + k) if k <= FEW else np.append(at, np.arange(at + k - FEW, at + k))
+            held = [column[keep] for column in rows]
+
+    rows = sets.select(F.posexplode("prefix").alias("place", "shingle"), "n", "vertex")
+    rows = rows.select("shingle", "n", "vertex", (F.col("n") - F.col("place")).alias("left"))
     ordered = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "vertex")
-    return ordered.mapInArrow(task, "a long, b long").distinct()
+    tied = ordered.mapInArrow(task, "a long, b long, ask boolean").groupBy("a", "b").agg(F.min("ask").alias("ask"))
+    tied = written(tied.where("a <> b"), "ties")
+    return tied.where("not ask").select("a", "b").unionByName(possible(tied.where("ask"), sets, percent))
+
+
+def possible(tied: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps leave enough overlap."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+            columns = (batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            apart = [differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(*columns)]
+            most = (n + m - np.array(apart, np.int64)) // 2
+            ok = 100 * most >= percent * (n + m - most)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+
+    one = sets.select(F.col("vertex").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    two = sets.select(F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    rows = tied.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y")
+    return rows.mapInArrow(task, "a long, b long")
+
+
+def slots(n: int) -> int:
+    """Slots of a bitmap for a set of n: a power of two, n at least."""
+    return max(64, 1 << max(n - 1, 1).bit_length())
+
+
+def bitmap(members: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the members in each slot. Half the slots of a map, laid over the others, make the smaller map."""
+    counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(counts.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Slots in which two bitmaps differ: a lower bound of the members that only one of the sets has."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of bits per set, the parity of its members in each slot; as many slots as the largest set has members."""
-    bits = max(64, 1 << max(int(max(map(len, sets))) - 1, 1).bit_length())
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, own in zip(out, sets):
-        slots = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        row[:] = np.packbits(slots.astype(np.uint8), bitorder="little").view(np.uint64)
-    return out
+    """A bitmap per set, all of the size that suits the largest."""
+    bits = slots(max(map(len, sets)))
+    return np.stack([bitmap(own, bits) for own in sets])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -240,12 +300,12 @@ def links(df: DataFrame, tiled: DataFrame, size: int, percent: int) -> DataFrame
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `df`; ids are whole numbers."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    base = written(prefixed(rows, size, percent, common(rows, size)), "prefixes")
+    base = written(prefixed(rows, size, percent, common(rows, size, percent)), "prefixes")
     full = base.where("n > 0")
-    firsts = [F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("named")]
+    firsts = [*(F.first(c).alias(c) for c in ("n", "prefix", "bits")), F.min("doc_id").alias("named")]
     sets = written(full.groupBy("vertex").agg(*firsts), "sets")
     tied = graph.components(ties(sets, percent))
-    tiled = tiles(tied.join(sets.drop("prefix"), "vertex"), percent)
+    tiled = tiles(tied.join(sets.select("vertex", "n", "named"), "vertex"), percent)
     linked = graph.components(links(rows, tiled, size, percent))
     smallest = linked.join(sets.select("vertex", "named"), "vertex").groupBy("component").agg(F.min("named").alias("least"))
     least = linked.join(smallest, "component").select("vertex", "least")

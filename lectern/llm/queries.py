@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chats, exact, jaccard, mixing, token_files
+from lectern.llm import bpe, chats, exact, jaccard, mixing, substrings, token_files
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,10 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
 
+def op7_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents"))
+
+
 def op9_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chats.chats(table(spark, folder, "conversations"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_suffix_arrays": op7_suffix_arrays,
     "op9_chats": op9_chats,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -8,16 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chats, exact, jaccard, mixing, substrings, token_files
+from lectern.llm import bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "documents"), PIECES)
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mixed(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select(
@@ -41,6 +46,10 @@ def op7_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"))
 
 
+def op8_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, folder, "documents"))
+
+
 def op9_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chats.chats(table(spark, folder, "conversations"))
 
@@ -54,10 +63,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_suffix_arrays": op7_suffix_arrays,
+    "op8_sketches": op8_sketches,
     "op9_chats": op9_chats,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -14,7 +14,6 @@ text is `und`; ties go to the language that comes first by code point.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import slices
+from lectern.llm.arrays import mixed, powers, prefix_hashes, slices
 from lectern.llm.data import held_out, text_of
-from lectern.llm.wordtable import Ragged, WordTable
+from lectern.llm.wordtable import Places, Ragged, WordTable
 
 UNKNOWN = 0
-LONGEST = 16     # characters of a piece
+LONGEST = 16         # characters of a piece
+LONGEST_WORD = 256   # characters after which a word is cut
 SMOOTHING = 0.1
 SPACE = "▁"  # the mark that begins a word in the vocabulary
 NONE = "und"
@@ -50,70 +50,102 @@ def vocabulary(path: str) -> dict[str, int]:
     return found
 
 
-def pieces(word: str, known: dict[str, int]) -> list[list[tuple[int, int]]]:
-    """For each end in the marked word, the (start, piece) pairs of the pieces that end there."""
-    marked = SPACE + word
-    out: list[list[tuple[int, int]]] = [[]]
-    for end in range(1, len(marked) + 1):
-        here = []
-        for start in range(max(0, end - LONGEST), end):
-            piece = known.get(marked[start:end])
-            if piece is not None:
-                here.append((start, piece))
-        if not here or here[-1][0] != end - 1:
-            here.append((end - 1, UNKNOWN))
-        out.append(here)
-    return out
-
-
-def expected(word: str, known: dict[str, int]) -> dict[int, float]:
-    """How often each piece is used in the word, over all segmentations of equal pieces; forward and backward sums are
-    kept near 1 by a factor per place."""
-    lattice = pieces(word, known)
-    each = 1.0 / (len(known) + 1)
-    n = len(lattice)
-    ahead, scale = [1.0] * n, [1.0] * n  # ahead[i] counts in units of the product of scales up to i
-    for end in range(1, n):
-        total, unit = 0.0, 1.0
-        at = end - 1
-        for start, _ in reversed(lattice[end]):
-            while at > start:
-                unit /= scale[at]
-                at -= 1
-            total += ahead[start] * unit * each
-        scale[end] = total or 1e-300
-        ahead[end] = 1.0
-    back = [0.0] * n
-    back[n - 1] = 1.0
-    counts: dict[int, float] = {}
-    for end in range(n - 1, 0, -1):
-        unit, at = 1.0, end
-        for start, piece in reversed(lattice[end]):
-            while at > start:
-                unit /= scale[at]
-                at -= 1
-            share = each * unit * back[end]
-            back[start] += share
-            counts[piece] = counts.get(piece, 0.0) + share
-    return counts
-
-
-def logarithm(word: str, known: dict[str, int], probabilities: list[tuple[float, ...]], languages: range) -> list[float]:
-    """Log of the sum over all segmentations, for each language."""
-    lattice = pieces(word, known)
-    zeros = [0.0] * len(languages)
-    ahead = [[1.0] * len(languages)]
-    lost = zeros
-    for end in range(1, len(lattice)):
-        here = zeros
-        for start, piece in lattice[end]:
-            here = [h + a * p for h, a, p in zip(here, ahead[start], probabilities[piece])]
-        ahead.append(here)
-        if min(here) < 1e-200:  # long words: a place near the end becomes the unit
-            units = [max(row[k] for row in ahead[-LONGEST:]) or 1.0 for k in languages]
-            lost = [total + math.log(u) for total, u in zip(lost, units)]
-            ahead[-LONGEST:] = [[a / u for a, u in zip(row, units)] for row in ahead[-LONGEST:]]
-    return [total + math.log(a or 1e-300) for total, a in zip(lost, ahead[-1])]
+def window_keys(codes: np.ndarray, size: int, sums: np.ndarray) -> np.ndarray:
+    """Hashes of each `size` code points in a row; `sums` are the hashes of all prefixes."""
+    if size > len(codes):
+        return np.empty(0, np.uint64)
+    keys = mixed((sums[size:] - sums[:-size]) * powers(len(sums))[1][: len(codes) - size + 1] + np.uint64(size))
+    keys[keys == 0] = 1
+    return keys
+
+
+def code_points(text: str) -> np.ndarray:
+    return mixed(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+
+
+@lru_cache(maxsize=1)
+def piece_index(path: str) -> Places:
+    """Place i is the piece i + 1 of the vocabulary."""
+    known = vocabulary(path)
+    found = Places(len(known))
+    for piece in known:
+        codes = code_points(piece)
+        found.insert(window_keys(codes, len(codes), prefix_hashes(codes)))
+    return found
+
+
+class Lattices:
+    """All segmentations of many words, passed through for all words in step.
+
+    Words are marked at the start, and cut every LONGEST_WORD characters, after which each part is a word of its own;
+    parts lie in order of descending length, so that those a step reaches come first.
+    """
+
+    def __init__(self, words: list[str], path: str):
+        parts, owner = [], []
+        for i, word in enumerate(words):
+            marked = SPACE + word
+            for at in range(0, len(marked), LONGEST_WORD):
+                parts.append(marked[at : at + LONGEST_WORD])
+                owner.append(i)
+        sizes = np.array([len(part) for part in parts], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        self.owner, self.sizes = np.array(owner, np.int64)[order], sizes[order]
+        self.base = np.cumsum(self.sizes) - self.sizes
+        self.node = self.base + np.arange(len(order))  # one node more than characters
+        codes = code_points("".join([parts[i] for i in order]))
+        sums = prefix_hashes(codes)
+        left = np.repeat(self.base + self.sizes, self.sizes) - np.arange(len(codes))  # characters to the end of the part
+        index = piece_index(path)
+        self.hits: list[np.ndarray] = []
+        for size in range(1, LONGEST + 1):
+            hit = np.full(len(codes), -1, np.int32)
+            at = np.flatnonzero(left >= size)
+            hit[at] = index.find(window_keys(codes, size, sums)[at])
+            self.hits.append(np.where(hit >= 0, hit + 1, UNKNOWN if size == 1 else -1))
+
+    def sums(self, probabilities: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Per node and language the log of the sum over all segmentations of what lies before (behind) the node."""
+        n, languages = len(self.sizes), probabilities.shape[1]
+        out = np.zeros((int(self.sizes.sum()) + n, languages))
+        ring = np.zeros((LONGEST, n, languages))
+        ring[0] = 1.0
+        scale = np.zeros((n, languages))
+        for step in range(1, int(self.sizes[0]) + 1 if n else 1):
+            live = int(np.searchsorted(-self.sizes, -step, side="right"))
+            here = np.zeros((live, languages))
+            at = self.sizes[:live] - step if backward else np.full(live, step)
+            for size in range(1, min(LONGEST, step) + 1):
+                piece = self.hits[size - 1][self.base[:live] + (at if backward else at - size)]
+                some = np.flatnonzero(piece >= 0)
+                here[some] += ring[(step - size) % LONGEST][some] * probabilities[piece[some]]
+            ring[step % LONGEST][:live] = here
+            out[self.node[:live] + at] = np.log(here) + scale[:live]
+            if step % 4 == 0:  # the largest of the sums that are still needed becomes the unit
+                unit = ring[:, :live].max(axis=0)
+                ring[:, :live] /= unit
+                scale[:live] += np.log(unit)
+        return out
+
+    def logarithms(self, probabilities: np.ndarray, words: int) -> np.ndarray:
+        """Per word and language the log of its probability."""
+        out = np.zeros((words, probabilities.shape[1]))
+        np.add.at(out, self.owner, self.sums(probabilities)[self.node + self.sizes])
+        return out
+
+    def expectations(self, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, piece, expected uses), pieces being equally probable at first."""
+        equal = np.full((pieces, 1), 1.0 / pieces)
+        ahead, behind = self.sums(equal)[:, 0], self.sums(equal, backward=True)[:, 0]
+        part = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        whole = ahead[self.node + self.sizes]
+        found = []
+        for size, hit in enumerate(self.hits, 1):
+            at = np.flatnonzero(hit >= 0)
+            node = at + part[at]
+            share = np.exp(ahead[node] + behind[node + size] - whole[part[at]]) / pieces
+            found.append((self.owner[part[at]], hit[at], share))
+        return tuple(np.concatenate(columns) for columns in zip(*found))
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -124,7 +156,7 @@ class Expectations:
     """Expected piece counts of words, made once for each distinct word a task meets."""
 
     def __init__(self, path: str):
-        self.known = vocabulary(path)
+        self.path, self.size = path, len(vocabulary(path)) + 1
         self.table = WordTable(self.fresh, self.forget, 1 << 19)
         self.forget()
 
@@ -132,10 +164,11 @@ class Expectations:
         self.pieces, self.shares = Ragged(np.int32), Ragged(np.float32)
 
     def fresh(self, words: list[str]) -> None:
-        found = [expected(word, self.known) for word in words]
-        sizes = np.array([len(f) for f in found], np.int64)
-        self.pieces.add(np.array([p for f in found for p in f], np.int32), sizes)
-        self.shares.add(np.array([s for f in found for s in f.values()], np.float32), sizes)
+        word, piece, share = Lattices(words, self.path).expectations(self.size)
+        order = np.argsort(word, kind="stable")
+        sizes = np.bincount(word, minlength=len(words))
+        self.pieces.add(piece[order].astype(np.int32), sizes)
+        self.shares.add(share[order].astype(np.float32), sizes)
 
 
 def counted(rows: DataFrame, path: str) -> DataFrame:
@@ -143,7 +176,7 @@ def counted(rows: DataFrame, path: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Expectations(path)
-        size = len(words.known) + 1
+        size = words.size
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
@@ -189,12 +222,12 @@ def scored(df: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray], pat
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probabilities, prior = shared.value
-        known, rows, every = vocabulary(path), [tuple(p) for p in probabilities.tolist()], range(len(languages))
+        every = len(languages)
         logs = Ragged(np.float64)
 
         def fresh(words: list[str]) -> None:
-            values = np.array([logarithm(word, known, rows, every) for word in words])
-            logs.add(values.ravel(), np.full(len(words), len(every), np.int64))
+            values = Lattices(words, path).logarithms(probabilities, len(words))
+            logs.add(values.ravel(), np.full(len(words), every, np.int64))
 
         def forget() -> None:
             logs.__init__(np.float64)
@@ -204,14 +237,14 @@ def scored(df: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray], pat
         for batch in batches:
             for part in slices(batch, "text"):
                 places, counts = table.places(lowered(part.column(3)))
-                values = logs.gathered(places)[0].reshape(-1, len(every))
-                sums = np.zeros((len(values) + 1, len(every)))
+                values = logs.gathered(places)[0].reshape(-1, every)
+                sums = np.zeros((len(values) + 1, every))
                 np.cumsum(values, axis=0, out=sums[1:])
                 total = sums[counts[1:]] - sums[counts[:-1]] + prior
                 best = total.argmax(axis=1)
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 lettered = part.column(2).to_numpy(zero_copy_only=False)
-                best = np.where(lettered, best, len(every))
+                best = np.where(lettered, best, every)
                 score = np.where(lettered, 1.0 / odds.sum(axis=1), 0.0)
                 columns = [part.column(0), part.column(1), names.take(pa.array(best)), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])

@@ -83,16 +83,11 @@ class Ragged:
         return self.values[where], before
 
 
-class WordTable:
-    """`fresh(words)` is called with new words, which get the next places in that order; `forget()` before all places
-    are given anew."""
+class Places:
+    """Places of 64-bit keys, an open-addressing table that is asked for many keys at a time."""
 
-    def __init__(self, fresh: Callable[[list[str]], None], forget: Callable[[], None], limit: int = LIMIT):
-        self.fresh, self.forget, self.limit = fresh, forget, limit
+    def __init__(self, limit: int):
         self.mask = np.uint64((1 << (2 * limit - 1).bit_length()) - 1)
-        self.clear()
-
-    def clear(self) -> None:
         self.keys = np.zeros(int(self.mask) + 1, np.uint64)
         self.slots = np.zeros(int(self.mask) + 1, np.int32)
         self.n = 0
@@ -110,7 +105,9 @@ class WordTable:
         return out
 
     def insert(self, keys: np.ndarray) -> None:
+        """The next places for keys that are new, distinct and not 0."""
         place = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
         slot = (keys & self.mask).astype(np.int64)
         while len(keys):
             free = self.keys[slot] == 0
@@ -119,6 +116,15 @@ class WordTable:
             self.slots[slot[won]] = place[won]
             keys, place, slot = keys[~won], place[~won], (slot[~won] + 1) & int(self.mask)
 
+
+class WordTable:
+    """`fresh(words)` is called with new words, which get the next places in that order; `forget()` before all places
+    are given anew."""
+
+    def __init__(self, fresh: Callable[[list[str]], None], forget: Callable[[], None], limit: int = LIMIT):
+        self.fresh, self.forget, self.limit = fresh, forget, limit
+        self.known = Places(limit)
+
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place of every word of every text, and the number of words before each text and the end."""
         data, starts, ends, counts = cut(texts)
@@ -126,23 +132,21 @@ class WordTable:
             return np.empty(0, np.int64), counts
         keys = mixed(range_hashes(prefix_hashes(SYMBOLS[data]), starts, ends) + (ends - starts).astype(np.uint64))
         keys[keys == 0] = 1
-        found = self.find(keys)
+        found = self.known.find(keys)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, first = np.unique(keys[missing], return_index=True)
-            if self.n + len(new) > self.limit and self.n:
+            if self.known.n + len(new) > self.limit and self.known.n:
                 self.forget()
-                self.clear()
+                self.known = Places(self.limit)
                 new, first = np.unique(keys, return_index=True)
                 missing = np.arange(len(keys))
             if len(new) > self.limit:  # one text alone has more words than the table is meant for
-                self.mask = np.uint64((1 << (2 * len(new) - 1).bit_length()) - 1)
-                self.clear()
+                self.known = Places(len(new))
             raw, at = data.tobytes(), missing[first]
             order = np.argsort(at, kind="stable")
             new, at = new[order], at[order]
             self.fresh([raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            self.insert(new)
-            self.n += len(new)
-            found[missing] = self.find(keys[missing])
+            self.known.insert(new)
+            found[missing] = self.known.find(keys[missing])
         return found, counts

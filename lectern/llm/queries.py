@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files
+from lectern.llm import bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files, toxicity
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_suffix_arrays": op7_suffix_arrays,

@@ -26,3 +26,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(df: DataFrame, name: str = "carried") -> Column:
+    """All columns of `df` in one, so that none of them can clash with what an operator adds; `carried.*` unpacks."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)

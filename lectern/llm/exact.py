@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.data import text_of
+from lectern.llm.data import packed, text_of
 from lectern.sources.storage import written
 
 COUNTERS = 1_000
@@ -106,10 +106,10 @@ def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", co
         F.max(F.col("kept").cast("int")).alias("stays"), F.count(F.lit(1)).alias("rows")
     )
     pairs = written(pairs.where("stays = 0 or rows > 1"), "copies")
-    tagged = df.withColumn("_digest", digest(text))
-    same = (F.col("_digest") == F.col("digest")) & F.col(doc_id).eqNullSafe(F.col("id"))
+    tagged = df.select(packed(df), F.col(doc_id).alias("own"), digest(text).alias("own_digest"))
+    same = (F.col("own_digest") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id"))
     rest = tagged.join(pairs, same, "left_anti")
     again = pairs.where("stays = 1")
-    if not again.isEmpty():
-        rest = rest.unionByName(tagged.join(again, same, "left_semi").dropDuplicates(["_digest"]))
-    return rest.select(*df.columns)
+    if not again.isEmpty():  # one of rows that repeat id and text
+        rest = rest.unionByName(tagged.join(again, same, "left_semi").dropDuplicates(["own", "own_digest"]))
+    return rest.select("carried.*")

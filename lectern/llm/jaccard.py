@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import graph
 from lectern.llm.arrays import as_long, mixed, shingles, slices, utf8, word_hashes, words
-from lectern.llm.data import text_of
+from lectern.llm.data import packed, text_of
 from lectern.sources.storage import written
 
 WORDS = 4
@@ -316,6 +316,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
 
 
 def without_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `df` that stay: of each component the smallest id; rows without an id stay."""
-    gone = join(df, text, doc_id, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(written(gone, "near-copies"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of `df` that stay: of each component those with the smallest id; rows without an id stay."""
+    gone = join(df, text, doc_id, size, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    tagged = df.select(packed(df), F.col(doc_id).cast("long").alias("doc_id"))
+    return tagged.join(written(gone, "near-copies"), "doc_id", "left_anti").select("carried.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.data import text_of
+from lectern.llm.data import packed, text_of
 from lectern.sources.storage import written
 
 WEIGHTS = (3, 1, 2)
@@ -128,19 +128,18 @@ def planned(staged: DataFrame, weights: Iterable[float], share: float, repeats:
 
 
 def sized(df: DataFrame, members: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """`df` with size, pattern (sorted set of sources), a seeded order `_key` and a row number `_row`."""
+    """All columns packed, with size, pattern (sorted set of sources), a seeded order `key` and a row number."""
     of = F.col(members)
     if not isinstance(df.schema[members].dataType, T.ArrayType):
         of = F.array(of)
-    empty = F.array(F.lit(None).cast("string"))
+    nowhere = F.array(F.lit(None).cast("string"))
     pattern = F.array_sort(F.array_distinct(F.transform(of, lambda m: m.cast("string"))))
-    pattern = F.when(F.coalesce(F.size(pattern), F.lit(0)) < 1, empty).otherwise(pattern)
     return df.select(
-        *df.columns,
-        F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"),
-        pattern.alias("_pattern"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), text_of(text)).alias("_key"),
-        F.monotonically_increasing_id().alias("_row"),
+        packed(df),
+        F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+        F.when(F.coalesce(F.size(pattern), F.lit(0)) < 1, nowhere).otherwise(pattern).alias("pattern"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), text_of(text)).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -180,37 +179,27 @@ def mixed(
     repeats: int = REPEATS,
     seed: int = SEED,
 ) -> DataFrame:
-    """`df` with _size, _source_size, _target (of a document's first source) and _copies, the times it is taken.
+    """(carried, size, source_size, target, copies): all columns of `df` packed, the words of the document, the size
+    and target of its (first) source, and the times it is taken.
 
     `members` is a column of one source or of a list of sources.
     """
-    staged = written(sized(df, members, text, doc_id, seed), "sized")
-    light = staged.select(
-        F.col("_pattern").alias("pattern"),
-        F.col("_size").alias("size"),
-        F.col("_key").alias("key"),
-        F.col("_row").alias("row"),
-        F.pmod("_key", F.lit(BUCKETS)).alias("bucket"),
-    )
+    staged = written(sized(df, members, text, doc_id, seed).withColumn("bucket", F.pmod("key", F.lit(BUCKETS))), "sized")
+    light = staged.drop("carried")
     plan = planned(light, weights, share, repeats)
     edges, extra = chosen(light, plan)
-    more = extra.select(F.col("row").alias("_row"), F.lit(1).alias("_extra"))
-    ends = plan.join(edges, "pattern", "left")
+    more = extra.withColumn("extra", F.lit(1))
+    ends = plan.join(edges, "pattern", "left").drop("gap")
     # Everything below is decided where a row lies; `extra` holds rows of one bucket in BUCKETS and one per pattern.
-    below = F.when(F.col("rest") == 0, False).otherwise(F.pmod("_key", F.lit(BUCKETS)) < F.col("edge"))
-    named = staged.join(F.broadcast(ends), F.col("_pattern") == F.col("pattern")).join(more, "_row", "left")
-    copies = F.col("whole") + below.cast("int") + F.coalesce("_extra", F.lit(0))
+    below = F.when(F.col("rest") == 0, False).otherwise(F.col("bucket") < F.col("edge"))
+    named = staged.join(F.broadcast(ends), "pattern").join(more, "row", "left")
+    copies = F.col("whole") + below.cast("int") + F.coalesce("extra", F.lit(0))
     return named.select(
-        *df.columns,
-        "_size",
-        F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"),
-        F.when(F.col("_size") > 0, copies).otherwise(0).cast("long").alias("_copies"),
+        "carried", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies")
     )
 
 
 def mixed_documents(df: DataFrame, members: str = "source", text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, all columns."""
-    taken = mixed(df, members, text, doc_id, **options).where("_copies > 0")
-    copies = F.sequence(F.lit(1).cast("long"), F.col("_copies"))
-    return taken.withColumn("_copy", F.explode(copies)).select(*df.columns)
+    taken = mixed(df, members, text, doc_id, **options).where("copies > 0")
+    return taken.select("carried", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("carried.*")

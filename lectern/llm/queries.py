@@ -25,13 +25,7 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mixed(table(spark, folder, "documents").select("doc_id", "text", "source"))
-    return mixed.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    return mixed.select("carried.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrays import slices
-from lectern.llm.data import held_out, text_of
+from lectern.llm.data import held_out, packed, text_of
 from lectern.llm.wordtable import Ragged, WordTable
 
 SAMPLE = 40_000          # labelled rows that are learned from
@@ -292,28 +292,56 @@ def sampled(rows: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame
     return joined.select("text", F.least("toxic", F.lit(1.0)).alias("toxic"))
 
 
+class Scorer:
+    """The fitted model: characters, known features and their weights, all of bounded size."""
+
+    def __init__(self, rows: DataFrame, labels: DataFrame):
+        self.characters, learned = characters(rows), sampled(rows, labels)
+        self.known = evidence(learned, self.characters)
+        self.weights = weighed(learned, self.characters, self.known)
+
+    def scores(self, tokens: Tokens, texts: pa.Array) -> np.ndarray:
+        text, feature = evidence_of(tokens, texts, len(self.known))
+        odds = self.weights[-1] + np.bincount(text, self.weights[feature], minlength=len(texts))
+        return 1 / (1 + np.exp(-odds))
+
+
+def texts_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+
+
 def scored(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", apart: Column | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of `df`."""
-    rows = df.select(
+    rows = texts_of(df, text, doc_id)
+    shared = df.sparkSession.sparkContext.broadcast(Scorer(rows, labels))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
+        tokens = Tokens(scorer.characters, scorer.known.get)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                score = scorer.scores(tokens, part.column(2))
+                columns = [part.column(0), part.column(1), pa.array(score), pa.array((score >= LEAST).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
+
+    marked = df.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         (held_out(doc_id) if apart is None else apart).alias("held_out"),
         text_of(text).alias("text"),
     )
-    model, learned = characters(rows), sampled(rows, labels)
-    known = evidence(learned, model)
-    weights = weighed(learned, model, known)
-    shared = df.sparkSession.sparkContext.broadcast((model, known, weights))  # at most TRIGRAMS and EVIDENCE entries
+    return marked.mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `df` with a score below LEAST, all columns."""
+    shared = df.sparkSession.sparkContext.broadcast(Scorer(texts_of(df, text, doc_id), labels))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        characters_, found, weight = shared.value
-        tokens = Tokens(characters_, found.get)
+        scorer = shared.value
+        tokens = Tokens(scorer.characters, scorer.known.get)
         for batch in batches:
-            for part in slices(batch, "text"):
-                text_, feature = evidence_of(tokens, part.column(2), len(found))
-                odds = weight[-1] + np.bincount(text_, weight[feature], minlength=part.num_rows)
-                score = 1 / (1 + np.exp(-odds))
-                columns = [part.column(0), part.column(1), pa.array(score), pa.array((score >= LEAST).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
+            for part in slices(batch, "scored"):
+                yield part.filter(pa.array(scorer.scores(tokens, part.column(1)) < LEAST)).select([0])
 
-    schema = "doc_id long, held_out boolean, score double, predicted int"
-    return rows.mapInArrow(task, schema)
+    carried = df.select(packed(df), text_of(text).alias("scored"))
+    return carried.mapInArrow(task, carried.select("carried").schema).select("carried.*")

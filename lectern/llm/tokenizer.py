@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +19,8 @@ import pyarrow as pa
 from lectern.llm.wordtable import Ragged, WordTable
 
 ODD = re.compile(r"\s|<\|")  # words that cannot stand in one line with others
+# Letters that are lower case and composed already: such a word is one piece, and its normal form is itself.
+PLAIN = re.compile(r"[a-zà-öø-ÿ]+")
 
 
 @lru_cache(maxsize=2)
@@ -38,6 +42,21 @@ def special(path: str) -> tuple[str, int] | None:
     return None
 
 
+@contextmanager
+def bare(encoder) -> Iterator[None]:
+    """The tokenizer without its normaliser and pattern, for words that they leave as they are."""
+    from tokenizers import pre_tokenizers
+
+    normalizer, pre_tokenizer = encoder.normalizer, encoder.pre_tokenizer
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    encoder.normalizer = None
+    encoder.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+    try:
+        yield
+    finally:
+        encoder.normalizer, encoder.pre_tokenizer = normalizer, pre_tokenizer
+
+
 class WordIds:
     """Ids of texts from the ids of their words."""
 
@@ -50,22 +69,30 @@ class WordIds:
         self.ids = Ragged(np.int32)
 
     def fresh(self, words: list[str]) -> None:
-        alone = [word for word in words if self.mark is None or ODD.search(word)]
-        apart = set(alone)
-        found = {w: e.ids for w, e in zip(alone, self.encoder.encode_batch_fast(alone, add_special_tokens=False))}
-        rest = [word for word in words if word not in apart] if alone else words
-        if rest:
-            content, token_id = self.mark
-            line = f" {content} ".join(rest)
-            ids = np.array(self.encoder.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int32)
-            cuts = np.concatenate([[-1], np.flatnonzero(ids == token_id), [len(ids)]])
-            if not alone:
-                self.ids.add(ids[ids != token_id], np.diff(cuts) - 1)
-                return
-            found |= {w: ids[a + 1 : b] for w, a, b in zip(rest, cuts.tolist(), cuts[1:].tolist())}
-        lists = [np.asarray(found[word], np.int32) for word in words]
+        plain = [word for word in words if PLAIN.fullmatch(word)]
+        found: dict[str, np.ndarray] = {}
+        if plain and self.mark is not None:
+            with bare(self.encoder):
+                found |= self.of_line(plain)
+        if len(found) < len(words):
+            rest = [word for word in words if word not in found]
+            alone = [word for word in rest if self.mark is None or ODD.search(word)]
+            encoded = self.encoder.encode_batch_fast(alone, add_special_tokens=False)
+            found |= {word: np.array(e.ids, np.int32) for word, e in zip(alone, encoded)}
+            line = [word for word in rest if word not in found]
+            if line:
+                found |= self.of_line(line)
+        lists = [found[word] for word in words]
         self.ids.add(np.concatenate(lists), np.array([len(ids) for ids in lists]))
 
+    def of_line(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Ids of words that are encoded in one line, with a mark between them."""
+        content, token_id = self.mark
+        line = f" {content} ".join(words)
+        ids = np.array(self.encoder.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == token_id)
+        return dict(zip(words, map(ids.__getitem__, map(slice, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]))))
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by `end` if given, and the number of ids before each text."""
         places, counts = self.table.places(texts)

@@ -189,12 +189,17 @@ def tags_with_books(
         .groupBy("tag_id", "page")
         .agg(F.sort_array(F.collect_list("_book")).alias("books"))
     )
+    named = tags.select("id", "name")
+    filled = join_checked(pages.withColumnRenamed("tag_id", "id"), named, ["id"]).select("id", "name", "page", "books")
     empty = F.array().cast(pages.schema["books"].dataType)
-    return (
-        tags.select("id", "name")
-        .join(pages.withColumnRenamed("tag_id", "id"), "id", "left")
-        .select("id", "name", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("books", empty).alias("books"))
-    )
+    alone = named.join(filled_ids(bridge, nested), "id", "left_anti")
+    return filled.unionByName(alone.select("id", "name", F.lit(0).alias("page"), empty.alias("books")))
+
+
+def filled_ids(bridge: DataFrame, nested: DataFrame) -> DataFrame:
+    """Ids of the tags that have a known book, counted down to one row per tag before they move."""
+    known = bridge.join(nested.select("book_id"), "book_id", "left_semi")
+    return known.select(F.col("tag_id").alias("id")).distinct()
 
 
 def _contains(c: Column, query: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import schemas
+from lectern.sources.storage import exists
 
 KINDS = ("weights", "optim", "metadata", "losses", "adapter", "adapter_losses")
 
@@ -24,6 +25,13 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MODEL).parquet(path)
 
 
+def next_id(spark: SparkSession, path: str) -> int:
+    """The id after the largest one stored; 1 where nothing is stored."""
+    if not exists(spark, path):
+        return 1
+    return (read_registry(spark, path).agg(F.max("id")).first()[0] or 0) + 1
+
+
 def latest_payload(model: DataFrame, kind: str) -> object | None:
     """The newest artefact of a type, None when there is none."""
     row = latest_model(model.where(F.col("type") == kind)).first()

@@ -87,14 +87,25 @@ def load_facts(
     database; here it is handed back as a reject.
     """
     staged = lookup_dims(history, times, actions)
-    fresh = staged if facts is None else new_facts(staged, facts)
-    needed = [c for c in fresh.columns if c != "created_at"]
+    return split_facts(staged if facts is None else new_facts(staged, facts))
+
+
+def split_facts(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Looked-up rows that are complete, and the others."""
     complete = F.lit(True)
-    for name in needed:
-        complete = complete & F.col(name).isNotNull()
+    for name in fresh.columns:
+        if name != "created_at":
+            complete = complete & F.col(name).isNotNull()
     return fresh.where(complete), fresh.where(~complete)
 
 
+def new_rejects(rejects: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rejects without an equal row among the stored ones; NULL equals NULL here, and copies inside a load are kept."""
+    known = stored.select(*rejects.columns).distinct()
+    same = [rejects[name].eqNullSafe(known[name]) for name in rejects.columns]
+    return rejects.join(known, same, "left_anti")
+
+
 def rec_outcomes(recommendations: DataFrame, interactions: DataFrame) -> DataFrame:
     """Recommendations met by interactions of the same user, book and day, as counted pairs.
 

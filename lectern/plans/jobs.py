@@ -12,7 +12,7 @@ from lectern.operators import catalogue, policy, registry, sessions, triplets, w
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
 from lectern.sources.sinks import append, append_facts, current_version, write_version
-from lectern.sources.storage import written
+from lectern.sources.storage import exists, written
 
 BOOK_COLUMNS = [field.name for field in schemas.BOOKS.fields]
 
@@ -62,15 +62,23 @@ def catalogue_etl(
     write_version(merged, f"{lake}/books_tags", version + 1)
 
 
-def warehouse_etl(spark: SparkSession, ui: DataFrame, rec: DataFrame, lake: str, first: bool = False) -> None:
-    """Append the facts of the history tables that are not stored yet, and their rejects."""
+def warehouse_etl(spark: SparkSession, ui: DataFrame, rec: DataFrame, lake: str) -> None:
+    """Append the facts of the history tables that are not stored yet, and the rejects that are not stored yet.
+
+    What is stored already is told by the tables themselves, so a load may be repeated. New rows are found once, staged,
+    and split where they are read.
+    """
     times, actions = warehouse.dim_time(spark), warehouse.dim_action(spark)
     for name, history, names in (("fact_user_interaction", ui, actions), ("fact_recommendation", rec, None)):
         path = f"{lake}/{name}"
-        stored = None if first else _months_of(history, spark.read.parquet(path)).drop("month")
-        facts, rejects = warehouse.load_facts(history, stored, times, names)
+        stored = _months_of(history, spark.read.parquet(path)).drop("month") if exists(spark, path) else None
+        looked = written(warehouse.lookup_dims(history, times, names), "looked")
+        fresh = looked if stored is None else written(warehouse.new_facts(looked, stored), "fresh")
+        facts, rejects = warehouse.split_facts(fresh)
         append_facts(facts, path)
-        append(rejects, f"{lake}/{name}_rejects")
+        if exists(spark, f"{path}_rejects"):
+            rejects = warehouse.new_rejects(rejects, spark.read.parquet(f"{path}_rejects"))
+        append(written(rejects, "rejects"), f"{path}_rejects")
 
 
 def _months_of(history: DataFrame, stored: DataFrame) -> DataFrame:
@@ -95,8 +103,9 @@ def train_adapter(spark: SparkSession, lake: str, **settings: object) -> list[fl
     mined = triplets.mine_triplets(tags, pairs, books)
     weights, bias, losses = fit_adapter(mined, **settings)
     path = f"{lake}/model"
-    registry.save_model(spark, path, "adapter_losses", losses, 1)
-    registry.save_model(spark, path, "adapter", {"weight": weights.tolist(), "bias": bias.tolist()}, 2)
+    number = registry.next_id(spark, path)
+    registry.save_model(spark, path, "adapter_losses", losses, number)
+    registry.save_model(spark, path, "adapter", {"weight": weights.tolist(), "bias": bias.tolist()}, number + 1)
     return losses
 
 
@@ -115,17 +124,22 @@ def train_policy(spark: SparkSession, ui: DataFrame, lake: str, **settings: obje
     steps = sessions.training_steps(ui, books.select("id", "idx"))
     params, losses = policy.fit_policy(steps, policy.policy_items(books, "vector"), **settings)
     path = f"{lake}/model"
-    params.write.mode("overwrite").parquet(f"{lake}/policy")
-    registry.save_model(spark, path, "weights", {"path": f"{lake}/policy"}, 3)
+    number = registry.next_id(spark, path)
+    stored = f"{lake}/policy/id={number}"  # a folder of its own: models that are served stay readable
+    params.write.parquet(stored)
     metadata = registry.model_metadata(books.drop("summary_embed").withColumnRenamed("vector", "summary_embed")).first()
-    registry.save_model(spark, path, "metadata", metadata.asDict(), 4)
-    registry.save_model(spark, path, "losses", losses, 5)
+    registry.save_model(spark, path, "metadata", metadata.asDict(), number + 1)
+    registry.save_model(spark, path, "losses", losses, number + 2)
+    registry.save_model(spark, path, "weights", {"path": stored}, number)
     return losses
 
 
 def serving_model(spark: SparkSession, lake: str) -> tuple[DataFrame, DataFrame]:
     """Items and parameters for scoring; an item without trained parameters, say a new book, starts from its vector."""
     items = policy.policy_items(adapted_books(spark, lake), "vector")
-    trained = spark.read.parquet(f"{lake}/policy").withColumnRenamed("theta", "_trained")
+    newest = registry.latest_payload(registry.read_registry(spark, f"{lake}/model"), "weights")
+    if newest is None:
+        raise LookupError("no policy has been trained")
+    trained = spark.read.parquet(newest["path"]).withColumnRenamed("theta", "_trained")
     params = policy.initial_params(items).join(trained, "id", "left")
     return items, params.select("id", F.coalesce("_trained", "theta").alias("theta"))

@@ -30,3 +30,8 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder written under `shared_dir` once nothing reads it any more."""
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)

@@ -48,8 +48,12 @@ def test_catalogue(spark, small, lake):
 
 def test_warehouse(spark, small, lake):
     ui, rec = domain.ui_history(spark, small), domain.rec_history(spark, small)
-    jobs.warehouse_etl(spark, ui.where("timestamp < 1705363200"), rec, lake, first=True)
+    jobs.warehouse_etl(spark, ui.where("timestamp < 1705363200"), rec, lake)
     jobs.warehouse_etl(spark, ui, rec, lake)
+    rejected = spark.read.parquet(f"{lake}/fact_user_interaction_rejects").count()
+    assert rejected == ui.where("action = 'signup'").count()
+    jobs.warehouse_etl(spark, ui, rec, lake)
+    assert spark.read.parquet(f"{lake}/fact_user_interaction_rejects").count() == rejected
     stored = jobs.facts(spark, lake, "fact_user_interaction")
     assert stored.count() == ui.where("action <> 'signup'").count()
     assert jobs.facts(spark, lake, "fact_recommendation").count() == rec.count()
@@ -69,6 +73,10 @@ def test_training_and_serving(spark, small, lake, tmp_path):
     assert registry.latest_payload(model, "losses") == losses
     assert registry.latest_payload(model, "metadata")["embedding_dim"] == 8
     assert registry.latest_payload(model, "optim") is None
+    jobs.train_policy(spark, ui, lake, epochs=1, steps_per_epoch=1)
+    ids = [r["id"] for r in model.select("id").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+    assert registry.latest_payload(model, "weights")["path"] != registry.latest_payload(registry.read_registry(spark, f"{lake}/model"), "weights")["path"]
     items, params = jobs.serving_model(spark, lake)
     states = sessions.last_state(sessions.reward_strict(ui)[0])
     found = policy.recommend(states, items, policy.load_params(items, params))

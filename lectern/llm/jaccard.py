@@ -80,12 +80,16 @@ def common(df: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(doc_id, n, vertex, prefix, bits) of each text; `vertex` is a digest of its set, `bits` its bitmap."""
+    """(doc_id, n, vertex, prefix, bits) of each text; `vertex` is a digest of its set, `bits` its bitmap.
+
+    The first text of a task that has a set brings its prefix and bitmap; later ones only name it.
+    """
     spread = df.sparkSession.sparkContext.broadcast(last)  # at most COMMON numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_value = np.argsort(spread.value)
         sorted_last = spread.value[by_value]
+        sent: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, flat = sets_of(part, 1, size)
@@ -96,15 +100,21 @@ def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFr
                     rank = np.where(sorted_last[at] == flat, by_value[at] + 1, 0)
                 else:
                     rank = np.zeros(len(flat), np.int64)
-                prefixes = []
-                for own, a, b in zip(sets, (ends - n).tolist(), ends.tolist()):
+                vertex = as_long(digests(flat, n))
+                prefixes, bits = [], []
+                for own, v, a, b in zip(sets, vertex.tolist(), (ends - n).tolist(), ends.tolist()):
+                    if v in sent:
+                        prefixes.append(own[:0])
+                        bits.append(None)
+                        continue
+                    sent.add(v)
                     order = np.argsort(rank[a:b], kind="stable") if rank[a:b].any() else slice(None)
                     prefixes.append(own[order][: kept(len(own), percent)])
+                    bits.append(bitmap(own, slots(len(own))).tobytes())
                 sizes = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 values = as_long(np.concatenate(prefixes)) if prefixes else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
-                bits = pa.array([bitmap(own, slots(len(own))).tobytes() for own in sets], pa.binary())
-                columns = [part.column(0), pa.array(n), pa.array(as_long(digests(flat, n))), lists, bits]
+                columns = [part.column(0), pa.array(n), pa.array(vertex), lists, pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "vertex", "prefix", "bits"])
 
     schema = "doc_id long, n long, vertex long, prefix array<long>, bits binary"
@@ -119,7 +129,7 @@ def digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mixed(total[ends] - total[ends - n] + n.astype(np.uint64))
 
 
-def ties(sets: DataFrame, percent: int) -> DataFrame:
+def ties(base: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): sets that share a prefix shingle and may be linked.
 
     Rows come sorted by (shingle, n, vertex); a run is broken where neighbouring sizes allow no link. Up to FEW sets of
@@ -131,6 +141,8 @@ def ties(sets: DataFrame, percent: int) -> DataFrame:
         held = [np.empty(0, np.int64)] * 4
         for batch in batches:
             rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            again = (rows[0][1:] == rows[0][:-1]) & (rows[2][1:] == rows[2][:-1])  # one set from several tasks
+            rows = [column[np.append(True, ~again)[: len(column)]] for column in rows]
             shingle, n, vertex, left = rows
             if not len(n):
                 continue
@@ -155,7 +167,7 @@ def ties(sets: DataFrame, percent: int) -> DataFrame:
             keep = np.arange(at, at + k) if k <= FEW else np.append(at, np.arange(at + k - FEW, at + k))
             held = [column[keep] for column in rows]
 
-    rows = sets.select(F.posexplode("prefix").alias("place", "shingle"), "n", "vertex")
+    rows = base.select(F.posexplode("prefix").alias("place", "shingle"), "n", "vertex")
     rows = rows.select("shingle", "n", "vertex", (F.col("n") - F.col("place")).alias("left"))
     ordered = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "vertex")
     tied = ordered.mapInArrow(task, "a long, b long, ask boolean").groupBy("a", "b").agg(F.min("ask").alias("ask"))
@@ -302,9 +314,9 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     base = written(prefixed(rows, size, percent, common(rows, size, percent)), "prefixes")
     full = base.where("n > 0")
-    firsts = [*(F.first(c).alias(c) for c in ("n", "prefix", "bits")), F.min("doc_id").alias("named")]
+    firsts = [F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("named")]
     sets = written(full.groupBy("vertex").agg(*firsts), "sets")
-    tied = graph.components(ties(sets, percent))
+    tied = graph.components(ties(full, sets, percent))
     tiled = tiles(tied.join(sets.select("vertex", "n", "named"), "vertex"), percent)
     linked = graph.components(links(rows, tiled, size, percent))
     smallest = linked.join(sets.select("vertex", "named"), "vertex").groupBy("component").agg(F.min("named").alias("least"))

@@ -45,7 +45,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-# Learned scores, hashed order and merges are not SQL; tests/llm/test_pipeline.py compares with plain Python.
+# Learned scores, hashed order and merges are not SQL; tests/llm compares each stage with plain Python.
 ORACLE_SQL = None
 
 

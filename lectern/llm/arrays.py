@@ -6,7 +6,7 @@ different short strings share a value with a chance of about 2 to the power of -
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 .. n-1, modulo 2^64; kept, and made anew where more are asked for."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 3))
         for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             series = np.full(size, factor, np.uint64)
             series[0] = 1
@@ -62,6 +62,19 @@ def range_hashes(prefixes: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return (prefixes[ends] - prefixes[starts]) * down[starts]
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`task`, after which Arrow gives back what it holds unused: the worker lives on beside the next stage's."""
+
+    def run(batches: Batches) -> Batches:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in order, about `limit` bytes of text at a time and one whole text at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)

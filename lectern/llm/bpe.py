@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import slices
+from lectern.llm.arrays import releasing, slices
 from lectern.llm.data import text_of
 from lectern.llm.tokenizer import ODD, loaded
 from lectern.llm.wordtable import Ragged, WordTable
@@ -35,6 +35,7 @@ LEAF = 128          # symbols that are merged in one go
 WINDOW = 4          # tokens on either side of a join at first
 LONG = 1 << 16      # code points without white space from which a document is cut into segments
 SEGMENT = 1 << 14   # bytes of a segment
+WORDS = 1 << 18     # distinct words a task remembers
 
 
 class Merges:
@@ -159,13 +160,12 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-class Words:
+class Words(WordTable):
     """Per word the number of ids, the ids as decimals and the decoded tokens, each with a space behind it."""
 
     def __init__(self, path: str):
         self.merges = merges(path)
-        self.table = WordTable(self.fresh, self.forget)
-        self.forget()
+        super().__init__(WORDS)
 
     def forget(self) -> None:
         self.sizes, self.decimals, self.decoded = Ragged(np.int64), Ragged(np.uint8), Ragged(np.uint8)
@@ -193,7 +193,7 @@ class Words:
 
     def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
         """Number of ids, SHA-256 of the decimal ids and SHA-256 of the decoded text, of each text."""
-        places, counts = self.table.places(texts)
+        places, counts = self.places(texts)
         sizes, _ = self.sizes.gathered(places)
         n = np.diff(np.concatenate([[0], np.cumsum(sizes)])[counts])
         hashes = []
@@ -217,7 +217,7 @@ def digested(rows: DataFrame, tokenizer: str) -> DataFrame:
                 columns = [part.column(0), pa.array(n), pa.array(ids), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.select("doc_id", "text").mapInArrow(task, DIGESTS)
+    return rows.select("doc_id", "text").mapInArrow(releasing(task), DIGESTS)
 
 
 SEGMENTS = "doc_id long, row long, item long, part int, ends boolean, payload string"
@@ -247,7 +247,7 @@ def segments(rows: DataFrame, tokenizer: str, size: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return rows.select("doc_id", "row", "text").mapInArrow(task, SEGMENTS)
+    return rows.select("doc_id", "row", "text").mapInArrow(releasing(task), SEGMENTS)
 
 
 def encoded_segments(rows: DataFrame, tokenizer: str) -> DataFrame:
@@ -261,7 +261,7 @@ def encoded_segments(rows: DataFrame, tokenizer: str) -> DataFrame:
             columns = [*batch.columns[:4], pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "item", "part", "ids"])
 
-    return rows.mapInArrow(task, "doc_id long, row long, item long, part int, ids array<int>")
+    return rows.mapInArrow(releasing(task), "doc_id long, row long, item long, part int, ids array<int>")
 
 
 def joined_segments(rows: DataFrame, tokenizer: str) -> DataFrame:

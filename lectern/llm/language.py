@@ -152,13 +152,12 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-class Expectations:
+class Expectations(WordTable):
     """Expected piece counts of words, made once for each distinct word a task meets."""
 
     def __init__(self, path: str):
         self.path, self.size = path, len(vocabulary(path)) + 1
-        self.table = WordTable(self.fresh, self.forget, 1 << 19)
-        self.forget()
+        super().__init__()
 
     def forget(self) -> None:
         self.pieces, self.shares = Ragged(np.int32), Ragged(np.float32)
@@ -180,7 +179,7 @@ def counted(rows: DataFrame, path: str) -> DataFrame:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                places, counts = words.table.places(lowered(part.column(1)))
+                places, counts = words.places(lowered(part.column(1)))
                 lang = part.column(0).dictionary_encode()
                 of_text = lang.indices.to_numpy()
                 of_word = np.repeat(of_text, np.diff(counts))
@@ -216,6 +215,21 @@ def fitted(rows: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarra
     return languages, times / times.sum(axis=0), np.log(np.maximum(texts, 1.0) / max(texts.sum(), 1.0))
 
 
+class Logarithms(WordTable):
+    """Per distinct word of a task the log of its probability in each language."""
+
+    def __init__(self, path: str, probabilities: np.ndarray):
+        self.path, self.probabilities = path, probabilities
+        super().__init__()
+
+    def forget(self) -> None:
+        self.logs = Ragged(np.float64)
+
+    def fresh(self, words: list[str]) -> None:
+        values = Lattices(words, self.path).logarithms(self.probabilities, len(words))
+        self.logs.add(values.ravel(), np.full(len(words), self.probabilities.shape[1], np.int64))
+
+
 def scored(df: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray], path: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of (doc_id, held_out, lettered, text) rows."""
     shared = df.sparkSession.sparkContext.broadcast(learned)  # a number per piece and language
@@ -223,21 +237,12 @@ def scored(df: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray], pat
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probabilities, prior = shared.value
         every = len(languages)
-        logs = Ragged(np.float64)
-
-        def fresh(words: list[str]) -> None:
-            values = Lattices(words, path).logarithms(probabilities, len(words))
-            logs.add(values.ravel(), np.full(len(words), every, np.int64))
-
-        def forget() -> None:
-            logs.__init__(np.float64)
-
-        table = WordTable(fresh, forget, 1 << 19)
+        table = Logarithms(path, probabilities)
         names = pa.array([*languages, NONE])
         for batch in batches:
             for part in slices(batch, "text"):
                 places, counts = table.places(lowered(part.column(3)))
-                values = logs.gathered(places)[0].reshape(-1, every)
+                values = table.logs.gathered(places)[0].reshape(-1, every)
                 sums = np.zeros((len(values) + 1, every))
                 np.cumsum(values, axis=0, out=sums[1:])
                 total = sums[counts[1:]] - sums[counts[:-1]] + prior

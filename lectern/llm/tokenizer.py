@@ -57,13 +57,12 @@ def bare(encoder) -> Iterator[None]:
         encoder.normalizer, encoder.pre_tokenizer = normalizer, pre_tokenizer
 
 
-class WordIds:
+class WordIds(WordTable):
     """Ids of texts from the ids of their words."""
 
     def __init__(self, path: str):
         self.encoder, self.mark = loaded(path), special(path)
-        self.table = WordTable(self.fresh, self.forget)
-        self.forget()
+        super().__init__(1 << 20)
 
     def forget(self) -> None:
         self.ids = Ragged(np.int32)
@@ -95,7 +94,7 @@ class WordIds:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by `end` if given, and the number of ids before each text."""
-        places, counts = self.table.places(texts)
+        places, counts = self.places(texts)
         ids, before = self.ids.gathered(places)
         counts = before[counts]
         if end is not None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import slices
+from lectern.llm.arrays import releasing, slices
 from lectern.llm.data import held_out, packed, text_of
 from lectern.llm.wordtable import Ragged, WordTable
 
@@ -126,13 +126,12 @@ def single(token: str) -> int:
     return ord(inner[0]) if len(inner) == 1 and len(token) <= 3 else 0
 
 
-class Tokens:
+class Tokens(WordTable):
     """Per distinct token of a task a value for each feature of the words it stands for, and `single`."""
 
     def __init__(self, characters: Characters, value):
         self.characters, self.value = characters, value
-        self.table = WordTable(self.fresh, self.forget, 1 << 19)
-        self.forget()
+        super().__init__()
 
     def forget(self) -> None:
         self.values, self.singles = Ragged(np.float64), Ragged(np.int32)
@@ -147,7 +146,7 @@ class Tokens:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All values of all texts, and the text each belongs to."""
-        places, counts = self.table.places(texts)
+        places, counts = self.places(texts)
         values, before = self.values.gathered(places)
         text = np.repeat(np.arange(len(texts)), np.diff(before[counts]))
         chars = self.singles.gathered(places)[0]
@@ -167,32 +166,34 @@ class Tokens:
         return np.concatenate([values, more]), np.concatenate([text, np.array(owner, np.int64)])
 
 
+class Trigrams(WordTable):
+    """Per distinct token the triples of code points of its letters, packed into a number each."""
+
+    def forget(self) -> None:
+        self.packed = Ragged(np.int64)
+
+    def fresh(self, tokens: list[str]) -> None:
+        lower = [token.lower() if token.isalpha() else "" for token in tokens]
+        line = "".join(f"{EDGE}{EDGE}{word}{EDGE}" for word in lower)
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(word) + 3 for word in lower])
+        inside = np.ones(len(codes), bool)
+        ends = np.cumsum(sizes)
+        inside[ends - 1] = inside[ends - 2] = False
+        three = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+        self.packed.add(three[inside[:-2]], sizes - 2)
+
+
 def trigrams(rows: DataFrame) -> DataFrame:
     """(letters, times): how often three letters or EDGEs follow each other in words of letters, over all texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = Ragged(np.int64)
-
-        def fresh(tokens: list[str]) -> None:
-            lower = [token.lower() if token.isalpha() else "" for token in tokens]
-            line = "".join(f"{EDGE}{EDGE}{word}{EDGE}" for word in lower)
-            codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
-            sizes = np.array([len(word) + 3 for word in lower])
-            inside = np.ones(len(codes), bool)
-            ends = np.cumsum(sizes)
-            inside[ends - 1] = inside[ends - 2] = False
-            three = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-            packed.add(three[inside[:-2]], sizes - 2)
-
-        def forget() -> None:
-            packed.__init__(np.int64)
-
-        table = WordTable(fresh, forget, 1 << 19)
+        table = Trigrams()
         keys, times = np.empty(0, np.int64), np.empty(0, np.float64)
         for batch in batches:
             for part in slices(batch, "text"):
                 used, n = np.unique(table.places(part.column(0))[0], return_counts=True)
-                found, before = packed.gathered(used)
+                found, before = table.packed.gathered(used)
                 keys = np.concatenate([keys, found])
                 times = np.concatenate([times, np.repeat(n, np.diff(before))])
                 keys, where = np.unique(keys, return_inverse=True)
@@ -200,7 +201,7 @@ def trigrams(rows: DataFrame) -> DataFrame:
         letters = ["".join(map(chr, (k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF))) for k in keys.tolist()]
         yield pa.RecordBatch.from_pydict({"letters": pa.array(letters, pa.string()), "times": pa.array(times)})
 
-    return rows.select("text").mapInArrow(task, "letters string, times double").groupBy("letters").agg(F.sum("times").alias("times"))
+    return rows.select("text").mapInArrow(releasing(task), "letters string, times double").groupBy("letters").agg(F.sum("times").alias("times"))
 
 
 def characters(rows: DataFrame, most: int = TRIGRAMS) -> Characters:
@@ -229,7 +230,7 @@ def evidence(rows: DataFrame, model: Characters, most: int = EVIDENCE, deviation
             {"feature": pa.array(list(known), pa.string()), "with_it": pa.array(with_it), "toxic": pa.array(toxic)}
         )
 
-    counts = rows.select("text", "toxic").mapInArrow(task, "feature string, with_it double, toxic double")
+    counts = rows.select("text", "toxic").mapInArrow(releasing(task), "feature string, with_it double, toxic double")
     sums = counts.groupBy("feature").agg(F.sum("with_it").alias("n"), F.sum("toxic").alias("k"))
     # The lower end of Wilson's interval.
     z = deviations
@@ -262,7 +263,7 @@ def weighed(rows: DataFrame, model: Characters, known: dict[str, int]) -> np.nda
                 yield pa.RecordBatch.from_arrays([part.column(1), lists], ["toxic", "features"])
 
     # At most SAMPLE rows; most have few features, or none.
-    fitted = rows.select("text", "toxic").mapInArrow(task, "toxic double, features array<int>")
+    fitted = rows.select("text", "toxic").mapInArrow(releasing(task), "toxic double, features array<int>")
     counts = fitted.groupBy("features").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).toPandas()
     order = counts["features"].map(list).map(tuple).sort_values().index
     counts = counts.loc[order]
@@ -329,7 +330,7 @@ def scored(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
         (held_out(doc_id) if apart is None else apart).alias("held_out"),
         text_of(text).alias("text"),
     )
-    return marked.mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")
+    return marked.mapInArrow(releasing(task), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -344,4 +345,4 @@ def accepted(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 yield part.filter(pa.array(scorer.scores(tokens, part.column(1)) < LEAST)).select([0])
 
     carried = df.select(packed(df), text_of(text).alias("scored"))
-    return carried.mapInArrow(task, carried.select("carried").schema).select("carried.*")
+    return carried.mapInArrow(releasing(task), carried.select("carried").schema).select("carried.*")

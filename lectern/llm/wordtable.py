@@ -6,14 +6,12 @@ new to the task become strings, and are handed on once. The table forgets all wo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 
 from lectern.llm.arrays import FOLDED, SEPARATOR, SYMBOLS, mixed, prefix_hashes, range_hashes, utf8
 
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 MARKS = np.zeros(256, bool)
 MARKS[list(b".,;:!?")] = True
 PLAIN = np.zeros(256, bool)
@@ -119,11 +117,19 @@ class Places:
 
 class WordTable:
     """`fresh(words)` is called with new words, which get the next places in that order; `forget()` before all places
-    are given anew."""
+    are given anew. Both come from a subclass: a table that held functions of its owner would be a cycle, which a
+    worker keeps long after the task."""
 
-    def __init__(self, fresh: Callable[[list[str]], None], forget: Callable[[], None], limit: int = LIMIT):
-        self.fresh, self.forget, self.limit = fresh, forget, limit
+    def __init__(self, limit: int = LIMIT):
+        self.limit = limit
         self.known = Places(limit)
+        self.forget()
+
+    def fresh(self, words: list[str]) -> None:
+        raise TypeError("what a word comes to is for the subclass to say")
+
+    def forget(self) -> None:
+        raise TypeError("what to forget is for the subclass to say")
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place of every word of every text, and the number of words before each text and the end."""

@@ -12,8 +12,17 @@ from lectern.sources.storage import written
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Sets how many rows go to Python at a time: documents are wide, and all stages share one executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the score of operator 4 rejects go."""
+    in_small_batches(spark)
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,6 +33,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8 or more, the smallest id stays (operator 6)."""
+    in_small_batches(spark)
     return jaccard.without_near_copies(docs)
 
 
@@ -34,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by operator 5: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    in_small_batches(spark)
     return bpe.round_trip(docs, TOKENIZER)
 
 

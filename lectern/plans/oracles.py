@@ -605,7 +605,10 @@ ORACLES: dict[str, str] = {
     "adapter_output": f"""SELECT vec_id, CAST(generate_subscripts(embedding[1:16], 1) - 1 AS INTEGER) AS place,
         {_r('CAST(CAST(2 * CAST(unnest(embedding[1:16]) AS DOUBLE) + 1 AS FLOAT) AS DOUBLE)', 5)} AS value FROM embeddings""",
     "latest_model": _sql(
-        f"SELECT type, id, {_r('weights[1]', 4)} AS first_weight FROM ranked_model WHERE training_round = 1", "ranked_model"
+        f"""SELECT type, id, CAST(place - 1 AS INTEGER) AS place, {_r('weight', 4)} AS weight
+        FROM (SELECT type, id, unnest(weights) AS weight, generate_subscripts(weights, 1) AS place
+            FROM ranked_model WHERE training_round = 1)""",
+        "ranked_model",
     ),
     "last3_models": _sql("SELECT type, training_round, id FROM ranked_model WHERE training_round <= 3", "ranked_model"),
     "last3_losses": _sql(

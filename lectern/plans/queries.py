@@ -625,10 +625,10 @@ def fit_adapter_losses(spark, sf):
 
 @query
 def latest_model(spark, sf):
+    """Every number of the newest artefact of each type."""
     newest = registry.latest_model(domain.model(spark, sf))
-    return newest.select(
-        "type", "id", F.round(F.get(F.from_json("weights", "array<double>"), F.lit(0)), 4).alias("first_weight")
-    )
+    numbers = F.posexplode(F.from_json("weights", "array<double>")).alias("place", "weight")
+    return newest.select("type", "id", numbers).withColumn("weight", F.round("weight", 4))
 
 
 @query

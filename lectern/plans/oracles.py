@@ -32,6 +32,9 @@ def _part(name: str, sql: str, *needs: str) -> None:
     PARTS[name] = (sql, needs)
 
 
+SHARED = ("doc_words", "raw_weights")  # steps that several later ones read
+
+
 def _sql(body: str, *needs: str) -> str:
     wanted: set[str] = set()
 
@@ -43,7 +46,9 @@ def _sql(body: str, *needs: str) -> str:
 
     for name in needs:
         add(name)
-    chosen = [f"{name} AS ({sql})" for name, (sql, _) in PARTS.items() if name in wanted]
+    chosen = [
+        f"{name} AS {'MATERIALIZED ' if name in SHARED else ''}({sql})" for name, (sql, _) in PARTS.items() if name in wanted
+    ]
     return f"WITH {', '.join(chosen)} {body}" if chosen else body
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,27 +121,48 @@ def adapted_books(spark: SparkSession, lake: str) -> DataFrame:
 
 
 def train_policy(spark: SparkSession, ui: DataFrame, lake: str, **settings: object) -> list[float]:
-    """Fit the policy on all sessions; parameters go to a table by item id, losses and metadata to the registry."""
+    """Fit the policy on all sessions, going on from the newest parameters and optimiser state where they fit.
+
+    Parameters and moments go to a table by item id, the rest to the registry. Books that are new since start at zeros;
+    an adapter of another length starts afresh.
+    """
     books = adapted_books(spark, lake)
     steps = sessions.training_steps(ui, books.select("id", "idx"))
-    params, losses = policy.fit_policy(steps, policy.policy_items(books, "vector"), **settings)
     path = f"{lake}/model"
+    start, progress = earlier_fit(spark, lake, books)
+    params, losses, progress = policy.fit_policy(
+        steps, policy.policy_items(books, "vector"), start=start, progress=progress, **settings
+    )
     number = registry.next_id(spark, path)
     stored = f"{lake}/policy/id={number}"  # a folder of its own: models that are served stay readable
     params.write.parquet(stored)
     metadata = registry.model_metadata(books.drop("summary_embed").withColumnRenamed("vector", "summary_embed")).first()
     registry.save_model(spark, path, "metadata", metadata.asDict(), number + 1)
     registry.save_model(spark, path, "losses", losses, number + 2)
+    registry.save_model(spark, path, "optim", asdict(progress), number + 3)
     registry.save_model(spark, path, "weights", {"path": stored}, number)
     return losses
 
 
+def earlier_fit(spark: SparkSession, lake: str, books: DataFrame) -> tuple[DataFrame | None, policy.Progress]:
+    """Parameters and progress of the newest training, nothing where there is none or its vectors had another length."""
+    model = registry.read_registry(spark, f"{lake}/model")
+    weights, optim = (registry.latest_payload(model, kind) for kind in ("weights", "optim"))
+    if weights is None or optim is None:
+        return None, policy.Progress()
+    stored = spark.read.parquet(weights["path"])
+    lengths = [
+        df.agg(F.max(F.size(column))).first()[0] for df, column in ((stored, "theta"), (books, "vector"))
+    ]
+    return (stored, policy.Progress(**optim)) if lengths[0] == lengths[1] + 1 else (None, policy.Progress())
+
+
 def serving_model(spark: SparkSession, lake: str) -> tuple[DataFrame, DataFrame]:
     """Items and parameters for scoring; an item without trained parameters, say a new book, starts from its vector."""
     items = policy.policy_items(adapted_books(spark, lake), "vector")
     newest = registry.latest_payload(registry.read_registry(spark, f"{lake}/model"), "weights")
     if newest is None:
         raise LookupError("no policy has been trained")
-    trained = spark.read.parquet(newest["path"]).withColumnRenamed("theta", "_trained")
+    trained = spark.read.parquet(newest["path"]).select("id", F.col("theta").alias("_trained"))
     params = policy.initial_params(items).join(trained, "id", "left")
     return items, params.select("id", F.coalesce("_trained", "theta").alias("theta"))

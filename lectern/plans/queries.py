@@ -652,8 +652,8 @@ def model_metadata(spark, sf):
 
 def _recommended(spark: SparkSession, sf: str) -> DataFrame:
     items = policy.policy_items(domain.books(spark, sf))
-    loaded = policy.load_params(items, policy.initial_params(items))
-    return policy.recommend(sessions.last_state(_known(spark, sf)), items, loaded)
+    loaded = policy.load_params(items, policy.initial_params)
+    return policy.recommend(sessions.last_state(_known(spark, sf)), loaded)
 
 
 @query
@@ -673,7 +673,7 @@ def recommended_books(spark, sf):
 def fit_policy_losses(spark, sf):
     books = domain.books(spark, sf)
     steps = sessions.training_steps(domain.ui_history(spark, sf), books.drop("title_embed", "summary_embed"))
-    _, losses = policy.fit_policy(steps, policy.policy_items(books), epochs=3, steps_per_epoch=2)
+    _, losses, _ = policy.fit_policy(steps, policy.policy_items(books))
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 
@@ -742,5 +742,5 @@ def stream_recommend(spark, sf):
     session = events.sparkSession
     items = policy.policy_items(domain.books(session, sf))
     folder = shared_dir(spark, "stream-serve")
-    stream.run_stream(events, items, policy.initial_params(items), folder)
+    stream.run_stream(events, items, policy.initial_params, folder)
     return stream.latest_recs(session, folder).withColumn("bids", F.array_join("bids", ","))

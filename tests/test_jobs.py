@@ -1,5 +1,7 @@
 """The jobs one after the other over one lake."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,14 +74,16 @@ def test_training_and_serving(spark, small, lake, tmp_path):
     model = registry.read_registry(spark, f"{lake}/model")
     assert registry.latest_payload(model, "losses") == losses
     assert registry.latest_payload(model, "metadata")["embedding_dim"] == 8
-    assert registry.latest_payload(model, "optim") is None
-    jobs.train_policy(spark, ui, lake, epochs=1, steps_per_epoch=1)
+    assert registry.latest_payload(model, "optim")["updates"] == 4
+    assert jobs.train_policy(spark, ui, lake, epochs=1, steps_per_epoch=2)[0] < losses[-1]
+    model = registry.read_registry(spark, f"{lake}/model")
+    assert registry.latest_payload(model, "optim")["updates"] == 6
     ids = [r["id"] for r in model.select("id").collect()]
     assert sorted(ids) == list(range(1, len(ids) + 1))
-    assert registry.latest_payload(model, "weights")["path"] != registry.latest_payload(registry.read_registry(spark, f"{lake}/model"), "weights")["path"]
+    assert len({json.loads(r["weights"])["path"] for r in model.where("type = 'weights'").collect()}) == 2
     items, params = jobs.serving_model(spark, lake)
     states = sessions.last_state(sessions.reward_strict(ui)[0])
-    found = policy.recommend(states, items, policy.load_params(items, params))
+    found = policy.recommend(states, policy.load_params(items, params))
     assert found.count() == 5 * states.count()
 
 

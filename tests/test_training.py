@@ -151,9 +151,9 @@ def expected_states(vectors, states):
 @pytest.mark.parametrize("items_per_pass", [65_536, 4])
 def test_recommend(shop, items_per_pass):
     vectors, items, states, rows = shop
-    loaded = policy.load_params(items, policy.initial_params(items), items_per_pass)
-    assert len(loaded) == (1 if items_per_pass > 30 else 8)
-    found = policy.recommend(states, items, loaded).collect()
+    loaded = policy.load_params(items, policy.initial_params, items_per_pass)
+    assert loaded.block_count == (1 if items_per_pass > 30 else 8)
+    found = policy.recommend(states, loaded).collect()
     for sid, state in expected_states(vectors, rows).items():
         logits = {i: float(np.array(v, dtype=np.float32) @ state[:4]) for i, v in vectors.items() if v is not None}
         mass = sum(math.exp(x) for x in logits.values())
@@ -170,18 +170,41 @@ def test_fit_policy_learns_the_rewarded_item(spark, shop):
     books = items.select("id", (2 * F.col("id")).cast("int").alias("idx"))
     steps = sessions.training_steps(history, books)
     matched = items.drop("item").join(sessions.item_index(books).select("id", "item"), "id")
-    params, losses = policy.fit_policy(steps, matched, epochs=6, steps_per_epoch=2, learning_rate=0.1)
+    params, losses, _ = policy.fit_policy(steps, matched, epochs=6, steps_per_epoch=2, learning_rate=0.1)
     assert losses[-1] < losses[0]
     states = spark.createDataFrame([("x", 1, [])], "sid string, uid int, last array<struct<uid: int, bid: int, reward: int>>")
-    best = policy.recommend(states, matched, policy.load_params(matched, params)).orderBy("rank").collect()
+    best = policy.recommend(states, policy.load_params(matched, params)).orderBy("rank").collect()
     assert best[0]["bid"] == 103
     assert 0 < sum(r["probability"] for r in best) <= 1
 
 
-def test_fit_policy_refuses_more_than_a_driver_holds(shop, monkeypatch):
-    monkeypatch.setattr(policy, "MAX_PARAMETERS", 10)
-    with pytest.raises(ValueError):
-        policy.fit_policy(shop[2], shop[1])
+def unpacked(params):
+    return {r["id"]: np.array([r["theta"], r["mean"], r["square"]]) for r in params.collect()}
+
+
+def test_fit_in_blocks_equals_one_block_and_resumes(spark, shop):
+    _, items, _, _ = shop
+    rows = [(f"s{n % 9}", 1, 100 + n * n % 30, ("read", "skip", "view")[n % 3], n, n) for n in range(120)]
+    history = spark.createDataFrame(rows, "sid string, uid int, bid int, action string, timestamp long, event_id long")
+    books = items.select("id", (2 * F.col("id")).cast("int").alias("idx"))
+    steps = sessions.training_steps(history, books)
+    matched = items.drop("item").join(sessions.item_index(books).select("id", "item"), "id")
+    settings = {"steps_per_epoch": 2, "learning_rate": 0.05}
+    params, losses, progress = policy.fit_policy(steps, matched, epochs=3, **settings)
+    whole = unpacked(params)
+    blocks, block_losses, _ = policy.fit_policy(steps, matched, epochs=3, block_items=4, **settings)
+    assert block_losses == pytest.approx(losses)
+    for number, values in unpacked(blocks).items():
+        assert values == pytest.approx(whole[number], abs=1e-9)
+
+    first, early, reached = policy.fit_policy(steps, matched, epochs=2, **settings)
+    more, late, ended = policy.fit_policy(steps, matched, epochs=1, start=first, progress=reached, **settings)
+    assert early + late == pytest.approx(losses) and ended.updates == progress.updates
+    for number, values in unpacked(more).items():
+        assert values == pytest.approx(whole[number], abs=1e-9)
+
+    gone = first.where("id <> 104")
+    assert len(unpacked(policy.fit_policy(steps, matched, epochs=1, start=gone, progress=reached, **settings)[0])) == len(whole)
 
 
 # --- embedding --------------------------------------------------------------------------------------------

@@ -403,6 +403,47 @@ _part(
     "logits", "last_state",
 )
 
+# The first update of a fit starts at zeros, where all N items are equally probable.
+_part(
+    "raw_steps",
+    """SELECT sid, item, sum(reward * 0.99 ** step) OVER rest / 0.99 ** step AS ret,
+        count(*) OVER (PARTITION BY sid) AS size, list({'item': item, 'reward': reward}) OVER before AS state FROM steps
+        WINDOW before AS (PARTITION BY sid ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+            rest AS (PARTITION BY sid ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    "steps",
+)
+_part(
+    "with_vector",
+    """SELECT i.item, i.id, v.summary_embed AS vector FROM items i JOIN vectors v ON v.id = i.id
+        WHERE v.summary_embed IS NOT NULL""",
+    "items", "vectors",
+)
+_part("scored_steps", "SELECT * FROM raw_steps SEMI JOIN with_vector USING (item)", "raw_steps", "with_vector")
+_part(
+    "sizes_of_fit",
+    """SELECT (SELECT count(*) FROM with_vector) AS n, (SELECT max(len(vector)) FROM with_vector) AS dim,
+        (SELECT count(DISTINCT sid) FROM raw_steps) AS sessions""",
+    "with_vector", "raw_steps",
+)
+_part(
+    "pushes",
+    """SELECT item, place, sum(push) AS push FROM (
+            SELECT item, generate_subscripts(vector, 1) - 1 AS place, unnest(vector) * share AS push FROM (
+                SELECT r.item, v.vector, r.ret * CASE e.reward WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 ELSE -1.0 END / r.n AS share
+                FROM (SELECT item, ret, len(state) AS n, unnest(state) AS e FROM scored_steps) r
+                JOIN with_vector v ON v.item = r.e.item)
+            UNION ALL SELECT item, dim, ret FROM scored_steps, sizes_of_fit)
+        GROUP BY item, place""",
+    "scored_steps", "with_vector", "sizes_of_fit",
+)
+_part(
+    "first_gradient",
+    """SELECT v.id, t.place, (t.push / z.n - coalesce(p.push, 0)) / z.sessions AS slope
+        FROM with_vector v CROSS JOIN (SELECT place, sum(push) AS push FROM pushes GROUP BY place) t CROSS JOIN sizes_of_fit z
+        LEFT JOIN pushes p ON p.item = v.item AND p.place = t.place""",
+    "with_vector", "pushes", "sizes_of_fit",
+)
+
 # --- the queries ------------------------------------------------------------------------------------------
 
 _BOOK = "id, title, image, author"
@@ -625,6 +666,17 @@ ORACLES: dict[str, str] = {
         "SELECT CAST(max(len(summary_embed)) AS INTEGER) AS embedding_dim, count(*) AS action_dim FROM vectors", "vectors"
     ),
     "recommend_top5": _sql("SELECT * FROM recommended", "recommended"),
+    "first_fit_loss": _sql(
+        f"""SELECT {_r('sum(ln(n) * (ret - 0.01 / size)) / any_value(sessions) ** 2', 9)} AS loss
+            FROM scored_steps, sizes_of_fit""",
+        "scored_steps", "sizes_of_fit",
+    ),
+    "first_fit_update": _sql(
+        f"""SELECT id, CAST(place AS INTEGER) AS place,
+            {_r('slope / greatest(1.0, (SELECT sqrt(sum(slope * slope)) FROM first_gradient))', 7)} AS slope
+            FROM first_gradient""",
+        "first_gradient",
+    ),
     "recommended_books": _sql(
         "SELECT r.bid, r.sid, r.uid, r.rank, b.title, b.author FROM recommended r JOIN books b ON b.id = r.bid",
         "recommended", "books",

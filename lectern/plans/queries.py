@@ -669,11 +669,30 @@ def recommended_books(spark, sf):
     return catalogue.recommended_books(ranked, books)
 
 
-@query
-def fit_policy_losses(spark, sf):
+def _fitted(spark: SparkSession, sf: str, **settings: int) -> tuple[DataFrame, list[float], policy.Progress]:
     books = domain.books(spark, sf)
     steps = sessions.training_steps(domain.ui_history(spark, sf), books.drop("title_embed", "summary_embed"))
-    _, losses, _ = policy.fit_policy(steps, policy.policy_items(books))
+    return policy.fit_policy(steps, policy.policy_items(books), **settings)
+
+
+@query
+def first_fit_loss(spark, sf):
+    """The loss of all steps before the first update: the mean of its one batch, by the number of sessions."""
+    _, losses, _ = _fitted(spark, sf, epochs=1, steps_per_epoch=1)
+    return spark.createDataFrame([(losses[0],)], "loss double").select(_r("loss", 9).alias("loss"))
+
+
+@query
+def first_fit_update(spark, sf):
+    """The clipped gradient of every parameter in an update from all steps, ten times its first mean."""
+    params, _, _ = _fitted(spark, sf, epochs=1, steps_per_epoch=1)
+    slopes = params.select("id", F.posexplode("mean").alias("place", "slope"))
+    return slopes.withColumn("slope", _r(10 * F.col("slope"), 7))
+
+
+@query
+def fit_policy_losses(spark, sf):
+    _, losses, _ = _fitted(spark, sf)
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 

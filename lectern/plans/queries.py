@@ -619,7 +619,7 @@ def adapter_output(spark, sf):
 
 @query
 def fit_adapter_losses(spark, sf):
-    _, _, losses = fit_adapter(_triplets(spark, sf), output_dim=16, epochs=3, steps_per_epoch=2, warm_up=2)
+    _, _, losses = fit_adapter(_triplets(spark, sf))
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 

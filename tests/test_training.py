@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -6,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lectern.operators import adapter, embedding, gradients, policy, registry, sessions, triplets
+from lectern.plans import queries
 
 rng = np.random.default_rng(4)
 
@@ -103,6 +105,18 @@ def test_schedule_and_clip():
     assert gradients.clipped(np.array([0.3, 0.4]), 1.0).tolist() == [0.3, 0.4]
 
 
+def test_fit_adapter_losses_is_the_whole_fit(spark, small, monkeypatch):
+    given = []
+
+    def fit(*args, **settings):
+        given.append(inspect.signature(adapter.fit_adapter).bind(*args, **settings).arguments)
+        return None, None, [1.0]
+
+    monkeypatch.setattr(queries, "fit_adapter", fit)
+    queries.QUERIES["fit_adapter_losses"](spark, small)
+    assert [list(arguments) for arguments in given] == [["triplets"]]  # every other argument keeps its default
+
+
 def test_fit_adapter(spark):
     centres = rng.normal(size=(3, 6))
     rows = []

@@ -80,7 +80,7 @@ def common(df: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(doc_id, n, vertex, prefix, bits) of each text; `vertex` is a digest of its set, `bits` its bitmap.
+    """(row, doc_id, n, vertex, prefix, bits) of each text; `vertex` is a digest of its set, `bits` its bitmap.
 
     The first text of a task that has a set brings its prefix and bitmap; later ones only name it.
     """
@@ -92,7 +92,7 @@ def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFr
         sent: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets, flat = sets_of(part, 1, size)
+                sets, flat = sets_of(part, 2, size)
                 n = np.array([len(s) for s in sets], np.int64)
                 ends = np.cumsum(n)
                 if len(sorted_last) and len(flat):
@@ -114,11 +114,11 @@ def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFr
                 sizes = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 values = as_long(np.concatenate(prefixes)) if prefixes else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
-                columns = [part.column(0), pa.array(n), pa.array(vertex), lists, pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "vertex", "prefix", "bits"])
+                columns = [part.column(0), part.column(1), pa.array(n), pa.array(vertex), lists, pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "vertex", "prefix", "bits"])
 
-    schema = "doc_id long, n long, vertex long, prefix array<long>, bits binary"
-    return df.select("doc_id", "text").mapInArrow(task, schema)
+    schema = "row long, doc_id long, n long, vertex long, prefix array<long>, bits binary"
+    return df.select("row", "doc_id", "text").mapInArrow(task, schema)
 
 
 def digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -309,9 +309,9 @@ def links(df: DataFrame, tiled: DataFrame, size: int, percent: int) -> DataFrame
     return sets.join(tiled, "vertex").groupBy("component", "i", "j").applyInArrow(compared, "a long, b long")
 
 
-def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of `df`; ids are whole numbers."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+def grouped(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(row, doc_id, n, group, component_id) of every (row, doc_id, text) row; rows of linked sets share `group`, rows
+    of the empty set have none."""
     base = written(prefixed(rows, size, percent, common(rows, size, percent)), "prefixes")
     full = base.where("n > 0")
     firsts = [F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("named")]
@@ -320,15 +320,30 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
     tiled = tiles(tied.join(sets.select("vertex", "n", "named"), "vertex"), percent)
     linked = graph.components(links(rows, tiled, size, percent))
     smallest = linked.join(sets.select("vertex", "named"), "vertex").groupBy("component").agg(F.min("named").alias("least"))
-    least = linked.join(smallest, "component").select("vertex", "least")
-    ids = sets.join(least, "vertex", "left").select("vertex", F.coalesce("least", "named").alias("component_id"))
-    found = full.join(ids, "vertex").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = linked.join(smallest, "component").select("vertex", "component", "least")
+    ids = sets.join(least, "vertex", "left").select(
+        "vertex", F.coalesce("component", "vertex").alias("group"), F.coalesce("least", "named").alias("component_id")
+    )
+    found = full.join(ids, "vertex").select("row", "doc_id", "n", "group", "component_id")
+    none = F.lit(None).cast("long").alias("group")
+    alone = base.where("n = 0").select("row", "doc_id", "n", none, F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
+def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of `df`; ids are whole numbers."""
+    none = F.lit(None).cast("long").alias("row")
+    rows = df.select(none, F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    return grouped(rows, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def without_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `df` that stay: of each component those with the smallest id; rows without an id stay."""
-    gone = join(df, text, doc_id, size, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    tagged = df.select(packed(df), F.col(doc_id).cast("long").alias("doc_id"))
-    return tagged.join(written(gone, "near-copies"), "doc_id", "left_anti").select("carried.*")
+    """The rows of `df` that stay: of each component the first by id, rows without an id last and those of equal ids
+    in any one order; rows without words stay."""
+    staged = written(df.select(packed(df), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = staged.select("row", F.col(f"carried.`{doc_id}`").cast("long").alias("doc_id"), text_of(f"carried.`{text}`").alias("text"))
+    found = written(grouped(rows, size, percent).where("group is not null").select("row", "doc_id", "group"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    stay = found.groupBy("group").agg(first["row"].alias("row")).select("row")
+    gone = found.select("row").join(stay, "row", "left_anti")
+    return staged.join(written(gone, "near-copies"), "row", "left_anti").select("carried.*")

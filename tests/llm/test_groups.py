@@ -95,6 +95,20 @@ def test_without_near_copies(documents):
     assert jaccard.without_near_copies(df.where("false")).count() == 0
 
 
+def test_without_near_copies_where_ids_repeat(documents):
+    def text(letter, *others):
+        return " ".join([*others, *(f"{letter}{i}" for i in range(60))])
+
+    rows = [(3, text("a", "new")), (5, text("a")), (5, text("b")), (9, text("b", "new"))]  # two groups that share an id
+    rows += [(20, text("c")), (20, text("c", "new")), (21, text("c", "c0"))]               # the smallest id twice
+    rows += [(None, text("d")), (None, text("d", "new")), (None, text("e")), (30, text("e", "new"))]
+    rows += [(40, text("f")), (40, text("f")), (None, None), (None, ""), (50, "")]
+    left = Counter((r["doc_id"], r["text"]) for r in jaccard.without_near_copies(documents(rows)).collect())
+    wanted = Counter([rows[0], rows[2], rows[10], rows[11], *rows[13:]])
+    assert left - wanted in (Counter([rows[4], rows[7]]), Counter([rows[4], rows[8]]), Counter([rows[5], rows[7]]), Counter([rows[5], rows[8]]))
+    assert not wanted - left
+
+
 def removed(rows, length):
     seen = Counter(b[i : i + length] for _, b in rows for i in range(len(b) - length + 1))
     for d, b in rows:

@@ -8,8 +8,8 @@ channel is the restored word. Other words restore to themselves.
 Evidence is a restored word, or its first letters where a word may have other endings, for which the share of toxic
 documents among the labelled ones is high at the lower end of its confidence interval. A logistic regression weighs the
 evidence, so that what only goes along with stronger evidence counts little. Labels are learned from at most SAMPLE
-labelled rows, the first in order of a hash of the id, and EVIDENCE features; the character model, restoring and scoring
-cover all rows and whole texts.
+labelled rows, the first in order of a hash of the id, from every feature that passes; the character model (all its
+triples, sorted arrays sent in chunks), restoring and scoring cover all rows and whole texts.
 
 Defined results: a text that is NULL, empty or without evidence has the score of no evidence; labels that are NULL are
 left out, ones that contradict each other count each; without toxic labels every score is near 0.
@@ -23,21 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrays import releasing, slices
 from lectern.llm.data import held_out, packed, text_of
 from lectern.llm.wordtable import Ragged, WordTable
+from lectern.sources.storage import written
 
 SAMPLE = 40_000          # labelled rows that are learned from
-TRIGRAMS = 200_000       # of the character model that are kept, the most frequent ones
-EVIDENCE = 4_096         # words and beginnings that are weighed, those of most toxic rows
+CHUNK = 1 << 18          # triples of the character model that are sent at a time
 DEVIATIONS = 2.5         # width of the confidence interval
 LEAST = 0.3
 RIDGE = 0.05             # weight of the squares of the weights
 STEPS = 400
 BEGINNINGS = (4, 5, 6)   # letters
+REMEMBERED = 1 << 18     # costs that a task remembers
 RUN = 3                  # single letters in a row that may be a word
 LONGEST = 4096           # characters of a lattice; longer ones go on as another
 
@@ -52,27 +54,42 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][\W\d_]+[^\W\d_]|[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$|+€£]")
 
 
+LETTER = (1 << 21) - 1  # of packed letters, the last one
+
+
+class Counts:
+    """How often letters, packed into a number, occur: sorted arrays."""
+
+    def __init__(self, packed_: np.ndarray, times: np.ndarray):
+        self.keys, where = np.unique(packed_, return_inverse=True)
+        self.times = np.bincount(where, times, minlength=len(self.keys))
+
+    def of(self, key: int) -> float:
+        at = int(np.searchsorted(self.keys, key))
+        return float(self.times[at]) if at < len(self.keys) and self.keys[at] == key else 0.0
+
+
 class Characters:
     """Log probabilities of a letter or EDGE after two others, backing off to one and to none."""
 
-    def __init__(self, counts: dict[str, float]):
-        self.three, self.two, self.one = dict(counts), {}, {}
-        self.after_two, self.after_one, self.total = {}, {}, 0.0
-        for (a, b, c), n in counts.items():
-            self.two[b + c] = self.two.get(b + c, 0.0) + n
-            self.one[c] = self.one.get(c, 0.0) + n
-            self.after_two[a + b] = self.after_two.get(a + b, 0.0) + n
-            self.after_one[b] = self.after_one.get(b, 0.0) + n
-            self.total += n
+    def __init__(self, triples: np.ndarray, times: np.ndarray):
+        self.three = Counts(triples, times)
+        triples, times = self.three.keys, self.three.times
+        self.two, self.one = Counts(triples & ((LETTER << 21) | LETTER), times), Counts(triples & LETTER, times)
+        self.after_two, self.after_one = Counts(triples >> 21, times), Counts((triples >> 21) & LETTER, times)
+        self.total = float(times.sum())
         self.kept: dict[str, float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
         key = a + b + c
         found = self.kept.get(key)
         if found is None:
-            p = (self.one.get(c, 0.0) + 0.5) / (self.total + 500.0)
-            p = (self.two.get(b + c, 0.0) + 5.0 * p) / (self.after_one.get(b, 0.0) + 5.0)
-            p = (self.three.get(key, 0.0) + 5.0 * p) / (self.after_two.get(a + b, 0.0) + 5.0)
+            x, y, z = ord(a), ord(b), ord(c)
+            p = (self.one.of(z) + 0.5) / (self.total + 500.0)
+            p = (self.two.of((y << 21) | z) + 5.0 * p) / (self.after_one.of(y) + 5.0)
+            p = (self.three.of((x << 42) | (y << 21) | z) + 5.0 * p) / (self.after_two.of((x << 21) | y) + 5.0)
+            if len(self.kept) >= REMEMBERED:
+                self.kept.clear()
             found = self.kept[key] = -math.log(p)
         return found
 
@@ -185,7 +202,7 @@ class Trigrams(WordTable):
 
 
 def trigrams(rows: DataFrame) -> DataFrame:
-    """(letters, times): how often three letters or EDGEs follow each other in words of letters, over all texts."""
+    """(letters, times): how often three letters or EDGEs, packed, follow each other in words of letters, over all texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Trigrams()
@@ -198,24 +215,43 @@ def trigrams(rows: DataFrame) -> DataFrame:
                 times = np.concatenate([times, np.repeat(n, np.diff(before))])
                 keys, where = np.unique(keys, return_inverse=True)
                 times = np.bincount(where, times)
-        letters = ["".join(map(chr, (k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF))) for k in keys.tolist()]
-        yield pa.RecordBatch.from_pydict({"letters": pa.array(letters, pa.string()), "times": pa.array(times)})
+        yield pa.RecordBatch.from_pydict({"letters": pa.array(keys), "times": pa.array(times, pa.float64())})
 
-    return rows.select("text").mapInArrow(releasing(task), "letters string, times double").groupBy("letters").agg(F.sum("times").alias("times"))
+    return rows.select("text").mapInArrow(releasing(task), "letters long, times double").groupBy("letters").agg(F.sum("times").alias("times"))
 
 
-def characters(rows: DataFrame, most: int = TRIGRAMS) -> Characters:
-    top = trigrams(rows).orderBy(F.desc("times"), "letters").limit(most).toPandas()
-    return Characters(dict(zip(top["letters"], top["times"])))
+def sent(numbers: DataFrame, chunk: int) -> list[Broadcast]:
+    """The (long, double) rows as packed arrays in broadcasts of about `chunk` rows; the driver holds one at a time."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[batch.column(i).to_numpy() for i in (0, 1)] for batch in batches]
+        if found:
+            columns = [np.concatenate(column).tobytes() for column in zip(*found)]
+            yield pa.RecordBatch.from_arrays([pa.array([column], pa.binary()) for column in columns], ["keys", "times"])
 
+    stored = written(numbers, "numbers")
+    parts = stored.coalesce(max(1, math.ceil(stored.count() / chunk))).mapInArrow(task, "keys binary, times binary")
+    context = numbers.sparkSession.sparkContext
+    return [context.broadcast((bytes(row["keys"]), bytes(row["times"]))) for row in parts.toLocalIterator()]
 
-def evidence(rows: DataFrame, model: Characters, most: int = EVIDENCE, deviations: float = DEVIATIONS) -> dict[str, int]:
+
+class Model:
+    """The character model as it is sent."""
+
+    def __init__(self, rows: DataFrame, chunk: int = CHUNK):
+        self.chunks = sent(trigrams(rows), chunk)
+
+    def characters(self) -> Characters:
+        keys, times = (b"".join(chunk.value[i] for chunk in self.chunks) for i in (0, 1))
+        return Characters(np.frombuffer(keys, np.int64), np.frombuffer(times, np.float64))
+
+
+def evidence(rows: DataFrame, model: Model, deviations: float = DEVIATIONS) -> dict[str, int]:
     """Features that tell toxic texts and a number for each, from (text, toxic) rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        tokens = Tokens(shared.value, lambda feature: known.setdefault(feature, len(known)))
+        tokens = Tokens(model.characters(), lambda feature: known.setdefault(feature, len(known)))
         with_it, toxic = np.zeros(0), np.zeros(0)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -237,8 +273,8 @@ def evidence(rows: DataFrame, model: Characters, most: int = EVIDENCE, deviation
     share, spread = F.col("k") / F.col("n"), F.lit(z * z) / F.col("n")
     low = (share + spread / 2 - z * F.sqrt((share * (1 - share) + spread / 4) / F.col("n"))) / (1 + spread)
     found = sums.withColumn("sure", low).where(F.col("sure") >= LEAST)
-    top = found.orderBy(F.desc("k"), "feature").limit(most).select("feature").toPandas()
-    return {feature: i for i, feature in enumerate(top["feature"])}
+    passed = found.select("feature").orderBy("feature").toPandas()  # of at most SAMPLE rows
+    return {feature: i for i, feature in enumerate(passed["feature"])}
 
 
 def evidence_of(tokens: Tokens, texts: pa.Array, features_: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,13 +284,13 @@ def evidence_of(tokens: Tokens, texts: pa.Array, features_: int) -> tuple[np.nda
     return pairs // (features_ + 1), pairs % (features_ + 1)
 
 
-def weighed(rows: DataFrame, model: Characters, known: dict[str, int]) -> np.ndarray:
+def weighed(rows: DataFrame, model: Model, known: dict[str, int]) -> np.ndarray:
     """A weight per feature, and that of no evidence last, fitted to the (text, toxic) rows of the sample."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, known))
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        characters_, found = shared.value
-        tokens = Tokens(characters_, found.get)
+        found = shared.value
+        tokens = Tokens(model.characters(), found.get)
         for batch in batches:
             for part in slices(batch, "text"):
                 text, feature = evidence_of(tokens, part.column(0), len(found))
@@ -294,12 +330,11 @@ def sampled(rows: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame
 
 
 class Scorer:
-    """The fitted model: characters, known features and their weights, all of bounded size."""
+    """What is fitted beside the character model: known features and their weights."""
 
-    def __init__(self, rows: DataFrame, labels: DataFrame):
-        self.characters, learned = characters(rows), sampled(rows, labels)
-        self.known = evidence(learned, self.characters)
-        self.weights = weighed(learned, self.characters, self.known)
+    def __init__(self, learned: DataFrame, model: Model):
+        self.known = evidence(learned, model)
+        self.weights = weighed(learned, model, self.known)
 
     def scores(self, tokens: Tokens, texts: pa.Array) -> np.ndarray:
         text, feature = evidence_of(tokens, texts, len(self.known))
@@ -307,6 +342,11 @@ class Scorer:
         return 1 / (1 + np.exp(-odds))
 
 
+def fitted(rows: DataFrame, labels: DataFrame) -> tuple[Model, Broadcast]:
+    model = Model(rows)
+    return model, rows.sparkSession.sparkContext.broadcast(Scorer(sampled(rows, labels), model))
+
+
 def texts_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
 
@@ -314,11 +354,11 @@ def texts_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 def scored(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", apart: Column | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of `df`."""
     rows = texts_of(df, text, doc_id)
-    shared = df.sparkSession.sparkContext.broadcast(Scorer(rows, labels))
+    model, shared = fitted(rows, labels)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        tokens = Tokens(scorer.characters, scorer.known.get)
+        tokens = Tokens(model.characters(), scorer.known.get)
         for batch in batches:
             for part in slices(batch, "text"):
                 score = scorer.scores(tokens, part.column(2))
@@ -335,11 +375,11 @@ def scored(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
 
 def accepted(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `df` with a score below LEAST, all columns."""
-    shared = df.sparkSession.sparkContext.broadcast(Scorer(texts_of(df, text, doc_id), labels))
+    model, shared = fitted(texts_of(df, text, doc_id), labels)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        tokens = Tokens(scorer.characters, scorer.known.get)
+        tokens = Tokens(model.characters(), scorer.known.get)
         for batch in batches:
             for part in slices(batch, "scored"):
                 yield part.filter(pa.array(scorer.scores(tokens, part.column(1)) < LEAST)).select([0])

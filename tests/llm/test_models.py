@@ -86,6 +86,27 @@ def test_toxicity(spark, documents):
     assert toxicity.scored(df, frame.where("false")).where("predicted = 1").count() == 0
 
 
+def test_character_model_keeps_all_triples(documents):
+    rng = random.Random(7)
+    words = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(3_500)) for _ in range(60)]
+    wanted = Counter(f"##{w}#"[i : i + 3] for w in words for i in range(len(w) + 1))
+    assert len(wanted) > 200_000
+    rows = toxicity.texts_of(documents(list(enumerate(words))), "text", "doc_id")
+    model = toxicity.Model(rows, chunk=100_000)
+    three = model.characters().three
+    letters = ["".join(map(chr, (k >> 42, (k >> 21) & toxicity.LETTER, k & toxicity.LETTER))) for k in three.keys.tolist()]
+    assert len(model.chunks) > 1 and dict(zip(letters, three.times.tolist())) == wanted
+
+
+def test_all_evidence_is_weighed(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice(("abcdefghijklm", "nopqrstuvwxyz")[k % 2]) for k in range(12)) for _ in range(5_000)]
+    bad = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    rows = spark.createDataFrame([(t, 1.0) for t in bad * 4] + [("river stone walking", 0.0)] * 400, "text string, toxic double")
+    known = toxicity.evidence(rows, toxicity.Model(rows))
+    assert len(words) > 4_096 and set(words) <= set(known) and "river" not in known
+
+
 def test_sketches(documents):
     rng = random.Random(5)
     rows = AWKWARD + [(20 + i, "".join(rng.choice("abcé日 ") for _ in range(rng.choice((5, 10, 19, 20, 21, 400))))) for i in range(60)]

@@ -1,7 +1,7 @@
 """Toxicity behind noise: words are restored by a noisy channel before they are scored.
 
 A character trigram model is counted over all texts of the corpus. A word that shows traces of disguise (digits or signs among
-letters, letters three times in a row, single letters set apart) becomes a lattice: a sign may stand for a letter, be
+letters, letters three times in a row, single letters set apart, a letter doubled that the corpus has more often once) becomes a lattice: a sign may stand for a letter, be
 a boundary or be noise, a repeated letter may be one. The Viterbi path under the character model and the costs of the
 channel is the restored word. Other words restore to themselves.
 
@@ -17,8 +17,10 @@ left out, ones that contradict each other count each; without toxic labels every
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,8 @@ SIGNS = {
 STAND_IN, REPEATED, NOISE = 1.5, 1.0, 1.0  # costs of the channel, as negative logs
 EDGE = "#"
 LETTERS = re.compile(r"[^\W\d_]+")
+PIECES = re.compile(r"[^.,;:?!]+|!")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][\W\d_]+[^\W\d_]|[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$|+€£]")
 
 
@@ -72,7 +76,8 @@ class Counts:
 class Characters:
     """Log probabilities of a letter or EDGE after two others, backing off to one and to none."""
 
-    def __init__(self, triples: np.ndarray, times: np.ndarray):
+    def __init__(self, triples: np.ndarray, times: np.ndarray, doubled: Counts | None = None):
+        self.doubled = doubled
         self.three = Counts(triples, times)
         triples, times = self.three.keys, self.three.times
         self.two, self.one = Counts(triples & ((LETTER << 21) | LETTER), times), Counts(triples & LETTER, times)
@@ -123,28 +128,52 @@ class Characters:
             letters.append(letter)
         return "".join(reversed(letters))
 
+    def plain(self, word: str) -> str:
+        """A word of letters, without the doubled ones that the corpus mostly has once."""
+        if self.doubled is None or not DOUBLED.search(word) or not self.doubled.of(mark(word)):
+            return word
+        return self.single_letters(word)
+
+    def single_letters(self, word: str) -> str:
+        return "".join(self.restored(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
+
     def words(self, token: str) -> list[str]:
         """The words a token stands for."""
         token = token.lower()
         if not SUSPECT.search(token):
-            return LETTERS.findall(token)
+            return [self.plain(w) for w in LETTERS.findall(token)]
         parts = [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
-        plain = [w for w in LETTERS.findall(token) if not SUSPECT.search(w)]
+        plain = [self.plain(w) for w in LETTERS.findall(token) if not SUSPECT.search(w)]
         return plain + [w for part in parts for w in self.restored(part).split(EDGE) if w]
 
 
+def mark(word: str) -> int:
+    """A 64-bit number for a word."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}^" for n in BEGINNINGS if len(word) >= n)]
 
 
-def single(token: str) -> int:
-    """The code point of a token's only letter or sign that stands for one; 0 if it has another number of them."""
-    inner = [ch for ch in token.lower() if ch.isalpha() or ch in "013457@$"]
-    return ord(inner[0]) if len(inner) == 1 and len(token) <= 3 else 0
+def single(piece: str) -> int:
+    """The code point of a piece's only letter or sign that stands for one; 0 if it has another number of them."""
+    inner = [ch for ch in piece if ch.isalpha() or ch in SIGNS]
+    if len(inner) > 1:  # signs that may also set a letter apart
+        inner = [ch for ch in inner if ch not in "!|+("]
+    return ord(inner[0]) if len(inner) == 1 and len(piece) <= 3 else 0
+
+
+def singles(token: str) -> list[int]:
+    """`single` of each piece of a token between marks, where "!" inside may be a letter, too; [0] without pieces."""
+    token = token.lower()
+    return [single(piece) for piece in PIECES.findall(token.rstrip(".,;:!?") or token)] or [0]
 
 
 class Tokens(WordTable):
-    """Per distinct token of a task a value for each feature of the words it stands for, and `single`."""
+    """Per distinct token of a task, cut at white space, a value for each feature of the words it stands for, and `singles`."""
+
+    at_marks = False
 
     def __init__(self, characters: Characters, value):
         self.characters, self.value = characters, value
@@ -159,15 +188,16 @@ class Tokens(WordTable):
     def fresh(self, tokens: list[str]) -> None:
         found = [self.of(token) for token in tokens]
         self.values.add(np.array([v for own in found for v in own], np.float64), np.array([len(own) for own in found]))
-        self.singles.add(np.array([single(token) for token in tokens], np.int32), np.ones(len(tokens), np.int64))
+        apart = [singles(token) for token in tokens]
+        self.singles.add(np.array([ch for own in apart for ch in own], np.int32), np.array([len(own) for own in apart]))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All values of all texts, and the text each belongs to."""
         places, counts = self.places(texts)
         values, before = self.values.gathered(places)
         text = np.repeat(np.arange(len(texts)), np.diff(before[counts]))
-        chars = self.singles.gathered(places)[0]
-        of = np.repeat(np.arange(len(texts)), np.diff(counts))
+        chars, before = self.singles.gathered(places)
+        of = np.repeat(np.arange(len(texts)), np.diff(before[counts]))
         run = np.flatnonzero(chars > 0)
         if not len(run):
             return values, text
@@ -235,15 +265,87 @@ def sent(numbers: DataFrame, chunk: int) -> list[Broadcast]:
     return [context.broadcast((bytes(row["keys"]), bytes(row["times"]))) for row in parts.toLocalIterator()]
 
 
+def received(chunks: list[Broadcast]) -> tuple[np.ndarray, np.ndarray]:
+    keys, times = (b"".join(chunk.value[i] for chunk in chunks) for i in (0, 1))
+    return np.frombuffer(keys, np.int64), np.frombuffer(times, np.float64)
+
+
+class Vocabulary(WordTable):
+    """The distinct tokens of a task and how often they were met."""
+
+    def __init__(self):
+        self.full: list[Counter] = []
+        self.tokens: list[str] = []
+        super().__init__(1 << 17)
+
+    def forget(self) -> None:
+        if self.tokens:
+            self.full.append(self.words())
+        self.tokens, self.times = [], np.zeros(0)
+
+    def fresh(self, tokens: list[str]) -> None:
+        self.tokens += tokens
+        self.times = np.concatenate([self.times, np.zeros(len(tokens))])
+
+    def words(self) -> Counter:
+        found: Counter = Counter()
+        for token, times in zip(self.tokens, self.times.tolist()):
+            for word in LETTERS.findall(token.lower()):
+                found[word] += times
+        return found
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(word, times): how often each run of letters occurs, over all texts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Vocabulary()
+
+        def counted(words: Counter) -> pa.RecordBatch:
+            columns = [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "times"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                places = table.places(part.column(0))[0]
+                table.times += np.bincount(places, minlength=len(table.times))
+                while table.full:
+                    yield counted(table.full.pop())
+        yield counted(table.words())
+
+    return rows.select("text").mapInArrow(releasing(task), "word string, times double").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+def doubled(rows: DataFrame, model: Model) -> DataFrame:
+    """(word, times): marks of words with a doubled letter that occur less often than what they are restored to."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        characters = model.characters()
+        for batch in batches:
+            found = []
+            for word, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if DOUBLED.search(word) and not SUSPECT.search(word) and (other := characters.single_letters(word)) != word:
+                    found.append((mark(word), times, other))
+            columns = list(zip(*found)) or [(), (), ()]
+            kinds = (pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["mark", "times", "other"])
+
+    known = written(vocabulary(rows), "vocabulary")
+    found = known.mapInArrow(releasing(task), "mark long, times double, other string")
+    more = known.select(F.col("word").alias("other"), F.col("times").alias("more"))
+    return found.join(more, "other").where("more > times").select("mark", "times")
+
+
 class Model:
-    """The character model as it is sent."""
+    """The character model, and the words that lose doubled letters, as they are sent."""
 
     def __init__(self, rows: DataFrame, chunk: int = CHUNK):
+        self.doubled: list[Broadcast] = []
         self.chunks = sent(trigrams(rows), chunk)
+        self.doubled = sent(doubled(rows, self), chunk)
 
     def characters(self) -> Characters:
-        keys, times = (b"".join(chunk.value[i] for chunk in self.chunks) for i in (0, 1))
-        return Characters(np.frombuffer(keys, np.int64), np.frombuffer(times, np.float64))
+        return Characters(*received(self.chunks), Counts(*received(self.doubled)))
 
 
 def evidence(rows: DataFrame, model: Model, deviations: float = DEVIATIONS) -> dict[str, int]:

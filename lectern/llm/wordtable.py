@@ -27,10 +27,10 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(total[offsets])
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cut(texts: pa.Array, at_marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, number of words before each text and the end).
 
-    Words end at white space (9 to 13, 32) and where one of .,;:!? follows a letter or digit. Letters A to Z become
+    Words end at white space (9 to 13, 32) and, `at_marks`, where one of .,;:!? follows a letter or digit. Letters A to Z become
     lower case in texts whose code points are all below 256 and that have no "<|": elsewhere, composition of
     characters or marked tokens could depend on the case.
     """
@@ -45,7 +45,9 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     letter[1:] |= (data[:-1] == 0xC3) & LATIN[data[1:]]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    first[1:n] |= ~inside[:-1] | (MARKS[data[1:]] & letter[:-1])
+    first[1:n] |= ~inside[:-1]
+    if at_marks:
+        first[1:n] |= MARKS[data[1:]] & letter[:-1]
     last = first[1:].copy()
     last[:-1] |= ~inside[1:]
     last[-1:] = True
@@ -120,6 +122,8 @@ class WordTable:
     are given anew. Both come from a subclass: a table that held functions of its owner would be a cycle, which a
     worker keeps long after the task."""
 
+    at_marks = True  # whether words end at marks, too
+
     def __init__(self, limit: int = LIMIT):
         self.limit = limit
         self.known = Places(limit)
@@ -133,7 +137,7 @@ class WordTable:
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place of every word of every text, and the number of words before each text and the end."""
-        data, starts, ends, counts = cut(texts)
+        data, starts, ends, counts = cut(texts, self.at_marks)
         if not len(starts):
             return np.empty(0, np.int64), counts
         keys = mixed(range_hashes(prefix_hashes(SYMBOLS[data]), starts, ends) + (ends - starts).astype(np.uint64))

@@ -86,6 +86,18 @@ def test_toxicity(spark, documents):
     assert toxicity.scored(df, frame.where("false")).where("predicted = 1").count() == 0
 
 
+def test_disguises_that_need_whole_tokens(spark, documents):
+    rows, labels = toxic_rows()
+    hidden = ["river id!ot stone", "music i d ! o t paper", "along idiiot window", "letter id.iot green", "music 5 c u m 8 a g paper",
+              "stone (i d!o t! paper", "river idiiot. stone", "along i.d i.o t window"]
+    fine = ["letter summer walking green", "river,stone! walking.", "window 2 6 8 9 music", "paper a! b? c. along"]
+    df = documents(rows + [(2000 + i, t) for i, t in enumerate(hidden)] + [(3000 + i, t) for i, t in enumerate(fine)])
+    frame = spark.createDataFrame([(d, 0, int(k)) for d, k in labels], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(df, frame).collect()}
+    assert [got[2000 + i] for i in range(len(hidden))] == [1] * len(hidden)
+    assert [got[3000 + i] for i in range(len(fine))] == [0] * len(fine)
+
+
 def test_character_model_keeps_all_triples(documents):
     rng = random.Random(7)
     words = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(3_500)) for _ in range(60)]

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files, toxicity
+from lectern.llm import bpe, byte_bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files, toxicity
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, folder, "documents"), RANKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_language": op2_language,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketches": op8_sketches,
     "op9_chats": op9_chats,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, byte_bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files, toxicity
+from lectern.llm import bpe, byte_bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files, toxicity, vector_codes
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,10 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), RANKS)
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_language": op2_language,
@@ -76,9 +80,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chats": op9_chats,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Rounds of all distances between parts and entries; an assignment is 64 * distance + entry, so that ties go down."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS place, len(embedding) // {parts} AS width,
+                list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS numbers
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        f"""pieces AS MATERIALIZED (
+            SELECT place, part, numbers[part * width + 1 : (part + 1) * width] AS numbers FROM kept, range({parts}) r(part)
+        )""",
+        f"book0 AS (SELECT part, place AS entry, numbers FROM pieces WHERE place < {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""best{i} AS MATERIALIZED (
+                SELECT place, part, min({entries} * CAST(list_sum(list_transform(list_zip(p.numbers, b.numbers),
+                    lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + entry) AS best
+                FROM pieces p JOIN book{i} b USING (part) GROUP BY place, part
+            )"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""sums{i} AS (
+                    SELECT part, best % {entries} AS entry, axis, count(*) AS n, sum(numbers[axis + 1]) AS total
+                    FROM best{i} JOIN pieces USING (place, part), unnest(range(len(numbers))) a(axis) GROUP BY ALL
+                ),
+                means{i} AS (
+                    SELECT part, entry, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY axis) AS numbers
+                    FROM sums{i} GROUP BY part, entry
+                ),
+                book{i + 1} AS MATERIALIZED (
+                    SELECT part, entry, coalesce(m.numbers, b.numbers) AS numbers
+                    FROM book{i} b LEFT JOIN means{i} m USING (part, entry)
+                )"""
+            )
+    steps.append(
+        f"""digest AS (
+            SELECT sha256(string_agg(array_to_string(numbers, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}
+        ),
+        coded AS MATERIALIZED (
+            SELECT place, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code,
+                CAST(sum(best // {entries}) AS BIGINT) AS error
+            FROM best{rounds} GROUP BY place
+        )"""
+    )
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (place), digest"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op9_chats": """
         WITH once AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
         placed AS (

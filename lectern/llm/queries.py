@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, byte_bpe, chats, exact, jaccard, language, mixing, sketches, substrings, token_files, toxicity, vector_codes
+from lectern.llm import bpe, byte_bpe, chats, exact, jaccard, language, mixing, sketches, spelling, substrings, token_files, toxicity, vector_codes
 from lectern.llm.data import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), RANKS)
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketches": op8_sketches,
     "op9_chats": op9_chats,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -138,6 +143,57 @@ def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTR
 
 
 ORACLES: dict[str, str] = {
+    "op11_spelling": f"""
+        WITH RECURSIVE steps AS (
+            SELECT list(list_reduce(list_concat([i], list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step
+            FROM range(256) r(i)
+        ),
+        runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS head, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run
+            FROM documents
+        ),
+        counted AS MATERIALIZED (
+            SELECT head, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM runs GROUP BY ALL
+        ),
+        hashed AS MATERIALIZED (
+            SELECT run, n, length(run) AS size, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+                string_split(head || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+                    ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END))),
+                lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1]))) AS h
+            FROM counted, steps
+        ),
+        words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (
+                SELECT n, CASE WHEN h % {spelling.ONE_IN} = 0 THEN substring(run, 1, h % size) || substring(run, h % size + 2) ELSE run END AS word
+                FROM hashed
+            )
+            WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_TIMES}
+        ),
+        holes AS MATERIALIZED (
+            SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS hole FROM words, unnest(range(1, length(word) + 1)) p(i)
+        ),
+        longer AS (SELECT DISTINCT s.word AS short, s.n AS short_n, l.word AS long, l.n AS long_n FROM words s JOIN holes l ON l.hole = s.word),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+            UNION ALL SELECT short, long, long_n FROM longer UNION ALL SELECT long, short, short_n FROM longer
+        ),
+        best AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS best FROM near GROUP BY word),
+        forms AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.best[1] >= 2 * w.n THEN b.best[2] END AS form,
+                CASE WHEN -b.best[1] >= 2 * w.n THEN -b.best[1] END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word
+        ),
+        ways AS (
+            SELECT word, word AS root, form AS onwards FROM forms
+            UNION ALL
+            SELECT w.word, f.word, f.form FROM ways w JOIN forms f ON f.word = w.onwards
+        )
+        SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+        FROM forms f JOIN ways w ON w.word = f.word AND w.onwards IS NULL
+    """,
     "op13_vector_codes": _codes_sql(),
     "op9_chats": """
         WITH once AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),

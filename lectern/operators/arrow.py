@@ -1,13 +1,9 @@
-"""Vectors between Arrow batches and numpy, and bounded chunks of rows for broadcast."""
+"""Vectors between Arrow batches and numpy, and the first rows of groups."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -20,18 +16,6 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, missing
 
 
-def chunks(df: DataFrame, rows: int) -> Iterator[list[Row]]:
-    """The rows of `df`, at most `rows` at a time, so that a broadcast of a chunk is bounded."""
-    first = df.limit(rows + 1).collect()
-    if len(first) <= rows:
-        if first:
-            yield first
-        return
-    stream = df.toLocalIterator(prefetchPartitions=True)
-    while chunk := list(islice(stream, rows)):
-        yield chunk
-
-
 def first_per_group(groups: np.ndarray, keys: np.ndarray, ties: np.ndarray, k: int) -> np.ndarray:
     """Positions of the `k` least (key, tie) entries of each group, group by group in order."""
     order = np.lexsort((ties, keys, groups))

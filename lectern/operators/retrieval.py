@@ -10,108 +10,112 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import doc_text, media_url, no_summary, tokens
-from lectern.functions.vectors import SUMMARY_WEIGHT, TITLE_WEIGHT
-from lectern.operators.arrow import chunks, first_per_group, matrix
+from lectern.functions.text import media_url, no_summary
+from lectern.functions.vectors import SUMMARY_WEIGHT, TITLE_WEIGHT, dot
+from lectern.operators import postings
+from lectern.operators.arrow import matrix
+from lectern.operators.neighbours import BLOCK_ROWS, PIVOTS, Space, nearest, vectors
+from lectern.operators.postings import B, EPSILON, K1, Index, corpus_totals, query_terms, saturated, term_weights
 from lectern.operators.skew import SMALL_ROWS, join_checked
 from lectern.sources.storage import written
 
-QUERIES_PER_PASS = 2_048      # query vectors broadcast at a time
-SCORES_PER_STEP = 4_000_000   # scores a task holds at a time
-
-# Constants of the published Okapi BM25 formula, with a floor for negative weights.
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-# Ranks of distances that are not numbers: after all numbers, NaN before NULL.
-AFTER_NUMBERS, LAST = 1e9, 2e9
-
 CANDIDATE = (
     "query_id long, id int, title_similarity double, summary_similarity double, combined_similarity double"
 )
 
+REGULAR, ODD, ABSENT = range(3)  # both vectors have a length; one has none; one is NULL
+
 
 # --- dense candidates -------------------------------------------------------------------------------------
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; a zero row becomes NaN, as its cosine does."""
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(lengths == 0, np.nan, rows / lengths)
-
-
-def _nearest_in_batches(batches: Iterator[pa.RecordBatch], asked, k: int) -> Iterator[pa.RecordBatch]:
-    """The `k` nearest books of a partition for each broadcast query."""
-    query_ids, query_rows = asked.value
-    count, dim = query_rows.shape
-    worst = np.full(count, np.inf)
-    best: list[np.ndarray] = [np.empty(0, int), np.empty(0), np.empty(0, int), np.empty(0), np.empty(0)]
-    step = max(1, SCORES_PER_STEP // count)
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            distances, gone = [], np.zeros(len(ids), dtype=bool)
-            for name in ("title_embed", "summary_embed"):
-                rows, missing = matrix(part.column(name), dim)
-                distance = 1.0 - _unit(rows) @ query_rows.T
-                distance[missing] = LAST
-                distances.append(distance)
-                gone |= missing
-            total = np.round(TITLE_WEIGHT * distances[0] + SUMMARY_WEIGHT * distances[1], 12)
-            key = np.where(np.isnan(total), AFTER_NUMBERS, total)
-            key[gone] = LAST
-            if len(ids) > k:
-                worst = np.minimum(worst, np.partition(key, k - 1, axis=0)[k - 1])
-            row, query = np.nonzero(key <= worst)
-            found = [query, key[row, query], ids[row], distances[0][row, query], distances[1][row, query]]
-            best = [np.concatenate(pair) for pair in zip(best, found)]
-            keep = first_per_group(best[0], best[1], best[2], k)
-            best = [values[keep] for values in best]
-            full = np.bincount(best[0], minlength=count) == k
-            last = np.r_[best[0][1:] != best[0][:-1], True] if len(best[0]) else np.empty(0, bool)
-            limit = np.full(count, np.inf)
-            limit[best[0][last]] = best[1][last]
-            worst = np.where(full, np.minimum(worst, limit), worst)
-
-    query, key, ids, title, summary = best
-    total = np.where(key == AFTER_NUMBERS, np.nan, key)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(query_ids[query], pa.int64()),
-            pa.array(ids.astype(np.int32), pa.int32()),
-            pa.array(title, pa.float64(), mask=title == LAST),
-            pa.array(summary, pa.float64(), mask=summary == LAST),
-            pa.array(total, pa.float64(), mask=key == LAST),
-        ],
-        names=["query_id", "id", "title_similarity", "summary_similarity", "combined_similarity"],
+    """Rows scaled to length 1; a row without length becomes NaN, as its cosine does."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.where((lengths == 0) | ~np.isfinite(lengths), np.nan, rows / lengths)
+
+
+def weighted_cosine() -> Space:
+    """Books and questions as points whose squared distance is the weighted sum of the two cosine distances: for unit vectors
+    1 - cos is half the squared distance."""
+    title, summary = np.sqrt(TITLE_WEIGHT / 2), np.sqrt(SUMMARY_WEIGHT / 2)
+
+    def books(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.hstack([title * _unit(vectors(rows, "title_embed")), summary * _unit(vectors(rows, "summary_embed"))])
+
+    def questions(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        unit = _unit(vectors(rows, "query_embed"))
+        return np.hstack([title * unit, summary * unit])
+
+    def measured(points: pa.Table, asked: pa.Table):
+        unit = _unit(vectors(asked, "query_embed"))
+        parts = [1.0 - unit @ _unit(vectors(points, name)).T for name in ("title_embed", "summary_embed")]
+        key = np.round(TITLE_WEIGHT * parts[0] + SUMMARY_WEIGHT * parts[1], 12)
+        return key, lambda question, point: [part[question, point] for part in parts]
+
+    return Space(
+        books, questions, measured, lambda key: F.sqrt(F.greatest(key, F.lit(0.0))), ("title_similarity", "summary_similarity")
     )
 
 
-def dense_top(
-    queries: DataFrame, books: DataFrame, k: int = 10, queries_per_pass: int = QUERIES_PER_PASS
-) -> DataFrame:
+def _has_length(c: str) -> Column:
+    squared = dot(F.col(c), F.col(c))
+    return (squared > 0) & (squared < float("inf"))
+
+
+def _without_number(asked: DataFrame, books: DataFrame, kinds: Column, k: int) -> DataFrame:
+    """For each question the first `k` books by id whose distance is NaN (of the given kinds), and the first `k` whose
+    distance is NULL; at most 2k books, handed to the tasks."""
+    firsts = [books.where(kind).orderBy("id").limit(k) for kind in (kinds, F.col("kind") == ABSENT)]
+    rows = reduce(DataFrame.unionByName, firsts).select("id", "title_embed", "summary_embed").toArrow().combine_chunks()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(vectors(batch, "query_embed"))
+            columns = [batch.column("query_id").take(pa.array(np.repeat(np.arange(len(unit)), rows.num_rows)))]
+            columns.append(pa.concat_arrays([rows["id"].combine_chunks()] * len(unit)))
+            masks = []
+            for name in ("title_embed", "summary_embed"):
+                embed, missing = matrix(rows[name].combine_chunks(), unit.shape[1])
+                masks.append(np.tile(missing, len(unit)))
+                columns.append(pa.array((1.0 - unit @ _unit(embed).T).ravel(), pa.float64(), mask=masks[-1]))
+            columns.append(pa.array(np.full(len(masks[0]), np.nan), pa.float64(), mask=masks[0] | masks[1]))
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in CANDIDATE.split(", ")])
+
+    if not rows.num_rows:
+        return asked.sparkSession.createDataFrame([], CANDIDATE)
+    return asked.select("query_id", "query_embed").mapInArrow(task, CANDIDATE)
+
+
+def dense_top(queries: DataFrame, books: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """The `k` books of least weighted cosine distance for each (query_id, query_embed).
 
-    Books stay where they are: a bounded chunk of query vectors is broadcast, each task keeps its `k` best per query,
-    and only those move to be ranked. More queries than one chunk take one pass over the books per chunk.
-    Distances that are NULL rank last, NaN just before; equal distances go by id.
+    Books and questions meet as blocks; a block goes only to groups of questions that its distance to a pivot does not
+    rule out (see `neighbours`). Distances that are NULL rank last, NaN just before, where there are fewer than `k` numbers;
+    equal distances go by id.
     """
-    spark = books.sparkSession
-    vectors = books.select(F.col("id").cast("int").alias("id"), "title_embed", "summary_embed")
-    asked = queries.where(F.col("query_embed").isNotNull()).select("query_id", "query_embed")
-    passes = []
-    for chunk in chunks(asked, queries_per_pass):
-        ids = np.array([row["query_id"] for row in chunk], dtype=np.int64)
-        rows = _unit(np.array([row["query_embed"] for row in chunk], dtype=np.float64))
-        shared = spark.sparkContext.broadcast((ids, rows))
-        passes.append(
-            vectors.mapInArrow(lambda batches, shared=shared: _nearest_in_batches(batches, shared, k), CANDIDATE)
-        )
-    if not passes:
-        return spark.createDataFrame([], CANDIDATE + ", dense_rank int")
+    kind = (
+        F.when(F.col("title_embed").isNull() | F.col("summary_embed").isNull(), ABSENT)
+        .when(_has_length("title_embed") & _has_length("summary_embed"), REGULAR)
+        .otherwise(ODD)
+    )
+    staged = written(
+        books.select(F.col("id").cast("int").alias("id"), "title_embed", "summary_embed", kind.alias("kind")), "book-vectors"
+    )
+    asked = queries.where(F.col("query_embed").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "query_embed")
+    asked = written(asked.withColumn("regular", _has_length("query_embed")), "question-vectors")
+    points = staged.where(F.col("kind") == REGULAR).drop("kind")
+    regular = asked.where("regular").drop("regular")
+    found = nearest(points, regular, weighted_cosine(), k, block_rows, pivots).select(
+        "query_id", "id", "title_similarity", "summary_similarity", F.col("key").alias("combined_similarity")
+    )
+    if points.count() < k:
+        found = found.unionByName(_without_number(regular, staged, F.col("kind") == ODD, k))
+    odd = asked.where("not regular")
+    if not odd.isEmpty():
+        found = found.unionByName(_without_number(odd, staged, F.col("kind") < ABSENT, k))
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("combined_similarity"), "id")
-    found = reduce(DataFrame.unionByName, passes)
     return found.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
 
 
@@ -121,7 +125,7 @@ def dense_top(
 def documents(books: DataFrame) -> DataFrame:
     """(id, words) of each book. Read the words out with explode_outer: the filter on the array's size
     that an inner explode adds would split the text a second time."""
-    return books.select("id", tokens(doc_text(F.col("title"), F.col("summary"))).alias("words"))
+    return postings.words_of(books)
 
 
 def corpus_stats(books: DataFrame) -> DataFrame:
@@ -139,32 +143,6 @@ def corpus_stats(books: DataFrame) -> DataFrame:
     )
 
 
-def corpus_totals(stats: DataFrame) -> DataFrame:
-    """(n_docs, avg_length) of the corpus."""
-    return stats.where(F.col("term") == "").select(
-        F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_length")
-    )
-
-
-def term_weights(stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(term, df, idf); a negative weight becomes `epsilon` times the mean weight."""
-    docs = corpus_totals(stats).select("n_docs").scalar()
-    raw = F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weighed = stats.where(F.col("term") != "").select("term", "df", raw.alias("idf"))
-    floor = weighed.agg(F.avg("idf") * epsilon).scalar()
-    return weighed.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times): the words of each query; a repeated word counts as often as it stands there."""
-    words = queries.select("query_id", F.explode_outer(tokens(F.col("query"))).alias("term"))
-    return words.where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-
-
-def _saturated(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-
-
 def bm25(
     queries: DataFrame,
     books: DataFrame,
@@ -173,7 +151,8 @@ def bm25(
     epsilon: float = EPSILON,
     stats: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, id, bm25_score) of every book that shares a word with the query; any other score is 0.
+    """(query_id, id, bm25_score) of every book that shares a word with the query; any other score is 0. For the best
+    books only, see `postings.bm25_top`.
 
     Words no query asks for are dropped where they are read, so only asked words are counted and moved. The words of the
     queries are broadcast, in as many passes over the counted words as their number needs.
@@ -190,7 +169,7 @@ def bm25(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     scored = counted.select(
-        "id", "term", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), average, k1, b)).alias("score")
+        "id", "term", (F.col("idf") * saturated(F.col("tf"), F.col("length"), average, k1, b)).alias("score")
     )
     if passes > 1:
         scored = written(scored, "scored")
@@ -202,34 +181,10 @@ def bm25(
 def attach_bm25(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """Candidates with their score, 0 where there is none."""
     return candidates.join(scores, ["query_id", "id"], "left").withColumn(
-        "bm25_score", F.coalesce("bm25_score", F.lit(0.0))
+        "bm25_score", similarity_or_zero(F.col("bm25_score"))
     )
 
 
-def candidate_scores(
-    candidates: DataFrame,
-    queries: DataFrame,
-    stats: DataFrame,
-    k1: float = K1,
-    b: float = B,
-    epsilon: float = EPSILON,
-) -> DataFrame:
-    """(query_id, id, bm25_score) of candidates (with title and summary); only their words are counted."""
-    average = corpus_totals(stats).select("avg_length").scalar()
-    asked = query_terms(queries)
-    weights = asked.join(term_weights(stats, epsilon).select("term", "idf"), "term")
-    words = candidates.select("query_id", "id", tokens(doc_text(F.col("title"), F.col("summary"))).alias("words")).select(
-        "query_id", "id", F.size("words").alias("length"), F.explode_outer("words").alias("term")
-    )
-    counted = (
-        join_checked(words, weights, ["query_id", "term"], sized_by=asked)
-        .groupBy("query_id", "id", "length", "term", "times", "idf")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    score = F.col("times") * F.col("idf") * _saturated(F.col("tf"), F.col("length"), average, k1, b)
-    return counted.groupBy("query_id", "id").agg(F.sum(score).alias("bm25_score"))
-
-
 # --- fusion -----------------------------------------------------------------------------------------------
 
 
@@ -253,12 +208,15 @@ def with_texts(candidates: DataFrame, books: DataFrame, small: bool) -> DataFram
     return texts.join(F.broadcast(candidates) if small else candidates, "id")
 
 
-def hybrid_search(queries: DataFrame, books: DataFrame, k: int = 10, n: int = 3) -> DataFrame:
-    """Ranked suggestions for each query: `k` dense candidates, the best `n` of them by BM25."""
-    stats = written(corpus_stats(books), "corpus")
+def hybrid_search(queries: DataFrame, books: DataFrame, k: int = 10, n: int = 3, index: Index | None = None) -> DataFrame:
+    """Ranked suggestions for each query: `k` dense candidates, the best `n` of them by BM25.
+
+    `index` are stored postings of the same books; without it they are made for this call.
+    """
+    index = index or postings.indexed(books)
     small = queries.count() * k <= SMALL_ROWS
     candidates = written(with_texts(dense_top(queries, books, k), books, small), "candidates")
-    ranked = rerank(attach_bm25(candidates, candidate_scores(candidates, queries, stats)), n)
+    ranked = rerank(attach_bm25(candidates, postings.pair_scores(candidates, queries, index)), n)
     return (
         ranked.withColumn("summary", no_summary(F.col("summary")))
         .withColumn("image", media_url(F.col("image")))

@@ -5,58 +5,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.vectors import dot
 from lectern.operators.arrow import matrix
+from lectern.operators.neighbours import BLOCK_ROWS, PIVOTS, Space, nearest, vectors
 from lectern.operators.skew import hot_join, join_checked
 from lectern.sources.storage import written
 
-BLOCK_ROWS = 4_096
-
-
-def _nearest_in_block(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-    """For each of `mine` the nearest of `others` that is not itself; equal distances go by the lower id."""
-    if mine.empty or others.empty:
-        return pd.DataFrame({"id": [], "neg_id": [], "distance": []}, dtype="float64")
-    ids, other_ids = mine["id"].to_numpy(), others["neg_id"].to_numpy()
-    a = np.stack(mine["vector"].to_numpy()).astype(np.float64)
-    b = np.stack(others["neg_vector"].to_numpy()).astype(np.float64)
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    squared[ids[:, None] == other_ids[None, :]] = np.inf
-    # The expanded form above loses digits for close vectors; candidates near the minimum are measured again.
-    least = squared.min(1)
-    close = squared <= (least + 1e-6 * (1 + (a * a).sum(1)))[:, None]
-    close &= np.isfinite(squared)
-    row, column = np.nonzero(close)
-    exact = np.sqrt(((a[row] - b[column]) ** 2).sum(1))
-    found = pd.DataFrame({"id": ids[row], "neg_id": other_ids[column], "distance": exact})
-    return found.sort_values(["id", "distance", "neg_id"]).drop_duplicates("id")
-
-
-def nearest_other(tags: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, neg_id, distance): for each tag the nearest other tag by L2 distance.
-
-    Every pair of tags has to be measured. Tags are cut into blocks; each task measures one block against another
-    and returns one row per tag, whose minimum is then taken. No pair is ever a row.
-    """
-    known = tags.where(F.col("tag_embed").isNotNull())
-    blocks = max(1, -(-known.count() // block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    mine = known.select("id", F.col("tag_embed").alias("vector"), block.alias("row"), every.alias("column"))
-    others = known.select(
-        F.col("id").alias("neg_id"), F.col("tag_embed").alias("neg_vector"), block.alias("neg_column"), every.alias("neg_row")
+def euclidean() -> Space:
+    """Tags as points and as questions; a tag is not a neighbour of itself."""
+
+    def measured(points: pa.Table, asked: pa.Table):
+        a, b = vectors(asked, "query_embed"), vectors(points, "tag_embed")
+        squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        squared[asked["query_id"].to_numpy()[:, None] == points["id"].to_numpy()[None, :]] = np.inf
+        # The expanded form loses digits for close vectors; what comes near the least is measured again.
+        least = squared.min(axis=1)
+        close = (squared <= (least + 1e-6 * (1 + (a * a).sum(1)))[:, None]) & np.isfinite(squared)
+        row, column = np.nonzero(close)
+        key = np.sqrt(np.maximum(squared, 0))
+        key[row, column] = np.sqrt(((a[row] - b[column]) ** 2).sum(1))
+        return key, lambda question, point: []
+
+    return Space(
+        lambda rows: vectors(rows, "tag_embed"), lambda rows: vectors(rows, "query_embed"), measured, lambda key: key
     )
-    measured = (
-        mine.groupBy("row", "column")
-        .cogroup(others.groupBy("neg_row", "neg_column"))
-        .applyInPandas(_nearest_in_block, "id int, neg_id int, distance double")
+
+
+def nearest_other(tags: DataFrame, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """(id, neg_id, distance): for each tag the nearest other tag by L2 distance; equal distances go by the lower id.
+
+    Blocks of tags meet groups of near tags only where their distances to a pivot do not rule each other out
+    (see `neighbours`); a tag without a vector of finite length has no neighbour and is none.
+    """
+    known = written(
+        tags.where(dot(F.col("tag_embed"), F.col("tag_embed")) < float("inf")).select("id", "tag_embed"), "tag-vectors"
     )
-    nearest = F.min(F.struct("distance", "neg_id")).alias("_least")
-    return measured.groupBy("id").agg(nearest).select("id", "_least.neg_id", "_least.distance")
+    asked = known.select(F.col("id").alias("query_id"), F.col("tag_embed").alias("query_embed"))
+    found = nearest(known, asked, euclidean(), 1, block_rows, pivots)
+    return found.select(F.col("query_id").alias("id"), F.col("id").alias("neg_id"), F.col("key").alias("distance"))
 
 
 def mine_triplets(tags: DataFrame, bridge: DataFrame, books: DataFrame) -> DataFrame:

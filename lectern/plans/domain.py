@@ -42,10 +42,10 @@ def rec_history(spark: SparkSession, sf: str) -> DataFrame:
     return all_history(spark, sf).where(F.col("action") == "view").drop("action")
 
 
-def books(spark: SparkSession, sf: str, vectors: bool = True) -> DataFrame:
-    """One book per document; idx leaves gaps, some summaries and images are missing."""
+def books(spark: SparkSession, sf: str, vectors: bool = True, spread: bool = False) -> DataFrame:
+    """One book per document; idx leaves gaps, some summaries and images are missing. `spread` for work on the texts."""
     doc = F.col("doc_id")
-    docs = _table(spark, sf, "documents").select(
+    docs = read_table(spark, sf, "documents", spread).select(
         (2 * doc + 1).cast("int").alias("idx"),
         doc.cast("int").alias("id"),
         F.substring("text", 1, 40).alias("title"),

@@ -52,6 +52,12 @@ def _sql(body: str, *needs: str) -> str:
     return f"WITH {', '.join(chosen)} {body}" if chosen else body
 
 
+def _second_snapshot(body: str, *needs: str) -> str:
+    """The same over the books of the second snapshot only."""
+    whole = "AS author FROM documents"
+    return _sql(body, *needs).replace(whole, f"{whole} WHERE doc_id % 7 <> 2", 1)
+
+
 # --- domain -----------------------------------------------------------------------------------------------
 
 _part(
@@ -269,17 +275,17 @@ _part(
     "SELECT (SELECT count(*) FROM books) AS n_docs, sum(words) / (SELECT count(*) FROM books) AS avg_length FROM doc_lengths",
     "books", "doc_lengths",
 )
-_part("frequencies", "SELECT word AS term, count(DISTINCT id) AS df FROM doc_words GROUP BY word", "doc_words")
+_part("frequencies", "SELECT word AS term, count(*) AS df FROM (SELECT DISTINCT id, word FROM doc_words) GROUP BY word", "doc_words")
 _part(
     "raw_weights",
     "SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf FROM frequencies, totals",
     "frequencies", "totals",
 )
+_part("floor", "SELECT 0.25 * avg(idf) AS least FROM raw_weights", "raw_weights")
 _part(
     "weights",
-    """SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw_weights) ELSE idf END AS idf
-        FROM raw_weights""",
-    "raw_weights",
+    "SELECT term, df, CASE WHEN idf < 0 THEN least ELSE idf END AS idf FROM raw_weights CROSS JOIN floor",
+    "raw_weights", "floor",
 )
 _part(
     "asked",
@@ -302,6 +308,13 @@ _part(
         FROM asked a JOIN counted c USING (term) JOIN weights w USING (term), totals t GROUP BY a.query_id, c.id""",
     "asked", "counted", "weights", "totals",
 )
+_part(
+    "best_scores",
+    """SELECT * FROM (SELECT query_id, id, bm25_score,
+            CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, id) AS INTEGER) AS rank FROM scores)
+        WHERE rank <= 10""",
+    "scores",
+)
 _part(
     "distances",
     f"""SELECT q.query_id, v.id, {_cosine('v.title_embed', 'q.query_embed')} AS title_similarity,
@@ -629,7 +642,11 @@ ORACLES: dict[str, str] = {
     ),
     "corpus_stats": _sql(f"SELECT term, df, {_r('idf')} AS idf FROM weights", "weights"),
     "corpus_totals": _sql(f"SELECT n_docs, {_r('avg_length')} AS avg_length FROM totals", "totals"),
-    "bm25_scores": _sql(f"SELECT query_id, id, {_r('bm25_score')} AS bm25_score FROM scores", "scores"),
+    "bm25_scores": _sql(f"SELECT query_id, id, {_r('bm25_score')} AS bm25_score, rank FROM best_scores", "best_scores"),
+    "corpus_stats_updated": _second_snapshot(f"SELECT term, df, {_r('idf')} AS idf FROM weights", "weights"),
+    "bm25_updated": _second_snapshot(
+        f"SELECT query_id, id, {_r('bm25_score')} AS bm25_score, rank FROM best_scores", "best_scores"
+    ),
     "attach_bm25": _sql(f"SELECT query_id, id, dense_rank, {_r('bm25_score')} AS bm25_score FROM scored", "scored"),
     "hybrid_search": _sql("SELECT * FROM hybrid", "hybrid"),
     "prompt_context": _sql(

@@ -13,14 +13,14 @@ from lectern import schemas
 from lectern.functions import actions as act
 from lectern.functions import text as txt
 from lectern.functions import vectors as vec
-from lectern.operators import catalogue, policy, registry, retrieval, sessions, triplets, warehouse
+from lectern.operators import catalogue, policy, postings, registry, retrieval, sessions, triplets, warehouse
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import embed, hashing_encoder
 from lectern.plans import domain, jobs
 from lectern.plans.dashboard import dashboard_frames, dashboard_points
 from lectern.session import streaming_session
 from lectern.sources.sinks import current_version
-from lectern.sources.storage import shared_dir
+from lectern.sources.storage import shared_dir, written
 from lectern.sources.tables import read_table
 from lectern.streaming import interactions as stream
 
@@ -326,7 +326,7 @@ def book_detail(spark, sf):
 
 @query
 def clean_html(spark, sf):
-    pages = read_table(spark, sf, "pages")
+    pages = read_table(spark, sf, "pages", spread=True)
     return pages.select("page_id", txt.clean_description(F.col("html")).alias("description"))
 
 
@@ -347,7 +347,7 @@ def missing_text(spark, sf):
 
 @query
 def tokenize(spark, sf):
-    books = domain.books(spark, sf, vectors=False)
+    books = domain.books(spark, sf, vectors=False, spread=True)
     words = retrieval.documents(books)
     return words.select(
         "id",
@@ -385,7 +385,7 @@ def _portable_hash(word: Column) -> Column:
 @query
 def embed_text(spark, sf):
     """The numbers of each document's vector that are not zero."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf, "documents", spread=True).select("doc_id", "text")
     embedded = embed(docs, "text", "vector", hashing_encoder(256, _portable_hash))
     numbers = embedded.select("doc_id", F.posexplode("vector").alias("place", "value")).where(F.col("value") != 0)
     return numbers.withColumn("value", _r(F.col("value").cast("double")))
@@ -394,7 +394,7 @@ def embed_text(spark, sf):
 @query
 def embed_default(spark, sf):
     """Size and length of each document's vector from the default encoder."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf, "documents", spread=True).select("doc_id", "text")
     embedded = embed(docs, "text", "vector", hashing_encoder(256))
     length = F.sqrt(vec.dot(F.col("vector"), F.col("vector")))
     return embedded.select("doc_id", F.size("vector").alias("dim"), F.round(length, 4).alias("length"))
@@ -522,32 +522,58 @@ def dense_top10(spark, sf):
 
 @query
 def corpus_stats(spark, sf):
-    stats = retrieval.corpus_stats(domain.books(spark, sf, vectors=False))
+    stats = retrieval.corpus_stats(domain.books(spark, sf, vectors=False, spread=True))
     return retrieval.term_weights(stats).withColumn("idf", _r("idf"))
 
 
 @query
 def corpus_totals(spark, sf):
-    stats = retrieval.corpus_stats(domain.books(spark, sf, vectors=False))
+    stats = retrieval.corpus_stats(domain.books(spark, sf, vectors=False, spread=True))
     return retrieval.corpus_totals(stats).withColumn("avg_length", _r("avg_length"))
 
 
+def _index(spark: SparkSession, sf: str) -> postings.Index:
+    return postings.indexed(domain.books(spark, sf, vectors=False, spread=True))
+
+
 @query
 def bm25_scores(spark, sf):
-    scores = retrieval.bm25(domain.queries(spark, sf), domain.books(spark, sf, vectors=False))
-    return scores.withColumn("bm25_score", _r("bm25_score"))
+    """The ten best books of each question, from stored postings."""
+    best = postings.bm25_top(domain.queries(spark, sf), _index(spark, sf))
+    return best.withColumn("bm25_score", _r("bm25_score"))
+
+
+def _updated_index(spark: SparkSession, sf: str) -> postings.Index:
+    """Postings of a first snapshot of the books, brought up to date with a second one."""
+    source, target = domain.source_books(spark, sf), domain.target_books(spark, sf)
+    index = postings.indexed(source)
+    fresh = target.join(catalogue.new_keys(target, source, ["id"]), "id", "left_semi")
+    return postings.updated(index, fresh, catalogue.deleted_keys(target, source, ["id"]))
+
+
+@query
+def corpus_stats_updated(spark, sf):
+    weights = postings.term_weights(_updated_index(spark, sf).stats)
+    return weights.withColumn("idf", _r("idf"))
+
+
+@query
+def bm25_updated(spark, sf):
+    best = postings.bm25_top(domain.queries(spark, sf), _updated_index(spark, sf))
+    return best.withColumn("bm25_score", _r("bm25_score"))
 
 
 @query
 def attach_bm25(spark, sf):
-    """The dense candidates with scores looked up in the table of all scores."""
+    """The dense candidates with their scores, looked up in the postings."""
     queries, books = domain.queries(spark, sf), domain.books(spark, sf)
-    scored = retrieval.attach_bm25(retrieval.dense_top(queries, books), retrieval.bm25(queries, books))
+    found = written(retrieval.dense_top(queries, books), "candidates")
+    scored = retrieval.attach_bm25(found, postings.pair_scores(found, queries, _index(spark, sf)))
     return scored.select("query_id", "id", "dense_rank", _r("bm25_score").alias("bm25_score"))
 
 
 def _suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid_search(domain.queries(spark, sf), domain.books(spark, sf))
+    return retrieval.hybrid_search(domain.queries(spark, sf), domain.books(spark, sf), index=_index(spark, sf))
 
 
 @query

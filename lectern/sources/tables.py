@@ -10,8 +10,12 @@ from lectern.functions.vectors import parse_vector
 from lectern.schemas import EVENT
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A parquet table; `spread` deals its rows anew where the scan has fewer partitions than the cluster has cores, as a
+    table of few large row groups has, which pays before costly work on each row."""
+    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < cores else table
 
 
 def read_jdbc(

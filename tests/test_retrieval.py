@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import retrieval
+from lectern.operators import neighbours, postings, retrieval
 
 BOOK = "id int, title string, summary string, image string, title_embed array<float>, summary_embed array<float>"
 
@@ -64,10 +64,12 @@ def expected_dense(query, k):
     return [row[0] for row in sorted(BOOKS, key=key)[:k]]
 
 
-@pytest.mark.parametrize("k, per_pass, step", [(10, 2048, 4_000_000), (10, 2, 4_000_000), (115, 2048, 40), (500, 3, 7)])
-def test_dense_top(books, questions, monkeypatch, k, per_pass, step):
-    monkeypatch.setattr(retrieval, "SCORES_PER_STEP", step)
-    found = retrieval.dense_top(questions, books, k, per_pass).orderBy("query_id", "dense_rank").collect()
+@pytest.mark.parametrize(
+    "k, block_rows, pivots, step", [(10, 2048, 99, 4_000_000), (10, 2, 99, 4_000_000), (3, 16, 2, 4_000_000), (115, 2048, 9, 40), (500, 7, 9, 40)]
+)
+def test_dense_top(books, questions, monkeypatch, k, block_rows, pivots, step):
+    monkeypatch.setattr(neighbours, "CELLS_PER_STEP", step)
+    found = retrieval.dense_top(questions, books, k, block_rows, pivots).orderBy("query_id", "dense_rank").collect()
     for query_id, _, vector in QUESTIONS:
         assert [r["id"] for r in found if r["query_id"] == query_id] == expected_dense(vector, k)
     for row in found:
@@ -81,6 +83,19 @@ def test_dense_top(books, questions, monkeypatch, k, per_pass, step):
 def test_queries_without_vector_find_nothing(spark, books):
     asked = spark.createDataFrame([(1, "x", None)], "query_id long, query string, query_embed array<float>")
     assert retrieval.dense_top(asked, books).count() == 0
+    assert retrieval.dense_top(asked, books.where("false")).count() == 0
+
+
+def test_queries_without_length_take_the_first_books_by_id(spark, books):
+    asked = spark.createDataFrame([(1, [0.0] * 4), (2, [float("nan")] * 4)], "query_id long, query_embed array<float>")
+    found = retrieval.dense_top(asked, books, 100).orderBy("query_id", "dense_rank").collect()
+    whole = [row[0] for row in BOOKS if row[4] is not None and row[5] is not None]
+    rest = [row[0] for row in BOOKS if row[4] is None or row[5] is None]
+    for query_id in (1, 2):
+        assert [r["id"] for r in found if r["query_id"] == query_id] == (whole + rest)[:100]
+    for row in found:
+        total = row["combined_similarity"]
+        assert math.isnan(total) if row["id"] in whole else total is None
 
 
 def okapi(query):
@@ -112,9 +127,9 @@ def test_bm25(books, questions, monkeypatch, small_rows):
 
 
 def test_candidate_scores_equal_all_scores(books, questions):
-    stats = retrieval.corpus_stats(books)
-    candidates = retrieval.dense_top(questions, books).join(books.select("id", "title", "summary"), "id")
-    scored = retrieval.attach_bm25(candidates, retrieval.candidate_scores(candidates, questions, stats)).collect()
+    candidates = retrieval.dense_top(questions, books)
+    scores = postings.pair_scores(candidates, questions, postings.indexed(books, block_books=13))
+    scored = retrieval.attach_bm25(candidates, scores).collect()
     assert len(scored) == 50
     for row in scored:
         query = next(q for i, q, _ in QUESTIONS if i == row["query_id"])
@@ -141,6 +156,10 @@ def test_rerank_order(spark):
 
 def test_hybrid_search(books, questions):
     found = retrieval.hybrid_search(questions, books, k=10, n=3).collect()
+    stored = retrieval.hybrid_search(questions, books, k=10, n=3, index=postings.indexed(books, block_books=9)).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"], r["summary"]) for r in stored) == sorted(
+        (r["query_id"], r["rank"], r["id"], r["summary"]) for r in found
+    )
     for query_id, query, vector in QUESTIONS:
         near = expected_dense(vector, 10)
         scores = okapi(query)

@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_notes: list[list[str]] = []  # of those who want to know what is staged
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that get a name while this is open, for whoever removes them once nothing reads them any more."""
+    folders: list[str] = []
+    _notes.append(folders)
+    try:
+        yield folders
+    finally:
+        _notes.remove(folders)
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder the cluster names in `spark.checkpoint.dir`, or else below the warehouse.
@@ -15,7 +30,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for folders in _notes:
+        folders.append(folder)
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -84,16 +84,26 @@ def deleted_keys(source: DataFrame, target: DataFrame, keys: list[str]) -> DataF
     return diff_keys(source, target, keys).where(F.col("change") == "deleted").drop("change")
 
 
-def new_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+def new_rows(source: DataFrame, target: DataFrame, keys: list[str], changes: DataFrame | None = None) -> DataFrame:
     """Source rows whose key the target does not have, active or not.
 
     Keys are compared on their own and written once; wide rows move only when the new keys are too many to broadcast.
+    `changes` are the differences of the keys, where they are known already.
     """
-    return join_checked(source, written(new_keys(source, target, keys), "new"), keys, "left_semi")
+    fresh = written(new_keys(source, target, keys), "new") if changes is None else _changed(changes, "new")
+    return join_checked(source, fresh, keys, "left_semi")
+
+
+def _changed(changes: DataFrame, kind: str) -> DataFrame:
+    return changes.where(F.col("change") == kind).drop("change")
 
 
 def transform_new(
-    source: DataFrame, target: DataFrame, descriptions: DataFrame, encoder: Encoder | None = None
+    source: DataFrame,
+    target: DataFrame,
+    descriptions: DataFrame,
+    encoder: Encoder | None = None,
+    changes: DataFrame | None = None,
 ) -> DataFrame:
     """Only the new books, with cleaned summary and both vectors.
 
@@ -101,26 +111,33 @@ def transform_new(
     first, so the encoder never sees a book that is already stored.
     """
     encoder = encoder or hashing_encoder()
-    fresh = new_rows(source, target, ["id"]).drop("summary")
+    fresh = new_rows(source, target, ["id"], changes).drop("summary")
     described = fresh.join(descriptions.select("id", "description"), "id", "left")
     cleaned = described.withColumn("summary", clean_description(F.col("description"))).drop("description")
     return embed(embed(cleaned, "summary", "summary_embed", encoder), "title", "title_embed", encoder)
 
 
 def apply_diff(
-    target: DataFrame, source: DataFrame, keys: list[str], mode: str, fresh: DataFrame | None = None
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    mode: str,
+    fresh: DataFrame | None = None,
+    changes: DataFrame | None = None,
+    last: int | None = None,
 ) -> DataFrame:
     """The target after a snapshot: new rows appended, rows gone from the source marked or dropped.
 
     mode 'soft' sets `active` to false and numbers new rows after the largest `idx`; a row that is inactive stays so,
     even when its key comes back. mode 'hard' drops rows. `fresh` are the prepared new rows when they
     differ from the source rows. Only keys are shuffled; target rows stay in place while the changes are few enough to
-    broadcast.
+    broadcast. Where `target` is a part of a table, `changes` are those of the part and `last` is the largest `idx`
+    of the whole.
     """
-    changes = written(diff_keys(source, target, keys), "changes")
-    gone = changes.where(F.col("change") == "deleted").drop("change")
+    changes = written(diff_keys(source, target, keys), "changes") if changes is None else changes
+    gone = _changed(changes, "deleted")
     if fresh is None:
-        fresh = join_checked(source, changes.where(F.col("change") == "new").drop("change"), keys, "left_semi")
+        fresh = join_checked(source, _changed(changes, "new"), keys, "left_semi")
     if mode == "hard":
         kept = join_checked(target, gone, keys, "left_anti")
         return kept.unionByName(fresh.select(*kept.columns))
@@ -131,10 +148,10 @@ def apply_diff(
         .withColumn("active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("active")))
         .select(*target.columns)
     )
-    last = target.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last"))
+    before = target.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last")).scalar() if last is None else F.lit(last)
     numbered = (
         dense_positions(fresh, keys[0], "_position")
-        .withColumn("idx", (F.col("_position") + 1 + last.scalar()).cast("int"))
+        .withColumn("idx", (F.col("_position") + 1 + before).cast("int"))
         .withColumn("active", F.lit(True))
     )
     return kept.unionByName(numbered.select(*target.columns))

@@ -185,29 +185,50 @@ def sliding_state(
     return _tidy(_preceding(steps, tie, F.struct("item", "reward"), window).withColumnRenamed("_seen", "state"))
 
 
+def _since_silence(entries: Column, silence: int) -> Column:
+    """The entries after the last gap of more than `silence` seconds between two that follow each other."""
+    places = F.when(F.size(entries) > 1, F.sequence(F.lit(2), F.size(entries))).otherwise(F.array().cast("array<int>"))
+    gap = F.filter(places, lambda i: F.get(entries, i - 1)["timestamp"] - F.get(entries, i - 2)["timestamp"] > silence)
+    start = F.coalesce(F.array_max(gap), F.lit(1))
+    return F.slice(entries, start, F.greatest(F.size(entries) - start + 1, F.lit(0)))
+
+
+def _without_time(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["uid"], e["bid"], e["reward"]))
+
+
 def last_n(
-    events: DataFrame, n: int = 5, tie: tuple[str, ...] = TIE_BREAK, cell_rows: int = CELL_ROWS
+    events: DataFrame, n: int = 5, tie: tuple[str, ...] = TIE_BREAK, cell_rows: int = CELL_ROWS, silence: int | None = None
 ) -> DataFrame:
-    """For each event the last `n` events of its session, itself included, and the user of the oldest of them."""
+    """For each event the last `n` events of its session, itself included, and the user of the oldest of them.
+
+    A session that was silent for more than `silence` seconds of event time starts anew.
+    """
     steps = session_steps(events, tie, cell_rows)
-    entry = F.struct("uid", "bid", "reward")
+    entry = F.struct("uid", "bid", "reward", "timestamp")
     recent = _preceding(steps, tie, entry, n - 1).withColumn("last", F.concat("_seen", F.array(entry)))
+    if silence is not None:
+        recent = recent.withColumn("last", _since_silence(F.col("last"), silence))
+    recent = recent.withColumn("last", _without_time(F.col("last")))
     return _tidy(recent.withColumn("state_uid", F.get("last", F.lit(0))["uid"]).drop("_seen"))
 
 
-def last_state(events: DataFrame, n: int = 5, tie: tuple[str, ...] = TIE_BREAK) -> DataFrame:
-    """The last `n` events of each session, oldest first: (sid, uid of the oldest, last).
+def last_state(
+    events: DataFrame, n: int = 5, tie: tuple[str, ...] = TIE_BREAK, silence: int | None = None
+) -> DataFrame:
+    """The last `n` events of each session, oldest first: (sid, uid of the oldest, last); those since the last silence only,
+    as in `last_n`.
 
     The rank limit is applied before rows move, so a long session sends `n` rows per task.
     """
     latest = Window.partitionBy("sid").orderBy(F.desc_nulls_first("timestamp"), *[F.desc_nulls_first(c) for c in tie])
     recent = events.withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= n)
-    entry = F.struct((-F.col("_back")).alias("_at"), "uid", "bid", "reward")
+    entry = F.struct((-F.col("_back")).alias("_at"), "uid", "bid", "reward", "timestamp")
     listed = recent.groupBy("sid").agg(F.array_sort(F.collect_list(entry)).alias("_last"))
+    if silence is not None:
+        listed = listed.withColumn("_last", _since_silence(F.col("_last"), silence))
     return listed.select(
-        "sid",
-        F.get("_last", F.lit(0))["uid"].alias("uid"),
-        F.transform("_last", lambda e: F.struct(e["uid"], e["bid"], e["reward"])).alias("last"),
+        "sid", F.get("_last", F.lit(0))["uid"].alias("uid"), _without_time(F.col("_last")).alias("last")
     )
 
 

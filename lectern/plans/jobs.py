@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict
 
 import numpy as np
@@ -13,16 +14,17 @@ from lectern.functions.actions import epoch_date
 from lectern.operators import catalogue, policy, registry, sessions, triplets, warehouse
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
-from lectern.sources.sinks import append, append_facts, current_version, write_version
+from lectern.sources import buckets
+from lectern.sources.sinks import append, append_facts
 from lectern.sources.storage import exists, written
 
-BOOK_COLUMNS = [field.name for field in schemas.BOOKS.fields]
+BUCKET_WIDTH = 1_000_000  # ids of a bucket of the catalogue tables
+KEYS = {"books": ["id"], "tags": ["id"], "books_tags": ["book_id", "tag_id"]}
 
 
-def init_lake(spark: SparkSession, lake: str) -> None:
-    """Version 0 of the catalogue tables, empty."""
-    for name in ("books", "tags", "books_tags"):
-        write_version(spark.createDataFrame([], schemas.TABLES[name]), f"{lake}/{name}", 0)
+def catalogue_table(spark: SparkSession, lake: str, name: str, touched: list[int] | None = None) -> DataFrame:
+    """A table of the catalogue as it is now, or the named buckets of it; empty before the first load."""
+    return buckets.current(spark, f"{lake}/{name}", schemas.TABLES[name], touched)
 
 
 def sidecar_descriptions(books: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -37,31 +39,61 @@ def catalogue_etl(
     sidecars: DataFrame,
     lake: str,
     encoder: Encoder | None = None,
+    width: int = BUCKET_WIDTH,
 ) -> None:
-    """One snapshot of the external catalogue into the next version of books, tags and books_tags.
+    """One snapshot of the external catalogue into books, tags and books_tags.
 
-    Only new books and tags are cleaned and embedded. A book without a readable sidecar gets the missing-text mark. The
-    snapshot is read from its source once and staged.
+    Only new books and tags are cleaned and embedded, and only the id ranges that hold a change are read as a whole and
+    written. A book without a readable sidecar gets the missing-text mark. The snapshot is read from its source
+    once and staged.
     """
     encoder = encoder or hashing_encoder()
     books, tags, pairs = catalogue.extract_catalogue(source)
     books = written(books.withColumn("id", F.col("id").cast("int")), "snapshot")
-    target, version = current_version(spark, f"{lake}/books")
-    fresh = catalogue.transform_new(books, target, sidecar_descriptions(books, sidecars), encoder)
-    stamped = fresh.withColumn("modified_date", F.current_timestamp()).select(
-        *[F.col(f.name).cast(f.dataType) for f in schemas.BOOKS.fields if f.name not in ("idx", "active")]
-    )
-    loaded = catalogue.apply_diff(target, books, ["id"], "soft", fresh=stamped)
-    write_version(loaded.select(*BOOK_COLUMNS), f"{lake}/books", version + 1)
+    tags = tags.withColumn("id", F.col("id").cast("int"))
+    pairs = pairs.select(*[F.col(f.name).cast(f.dataType) for f in schemas.BOOKS_TAGS.fields])
 
-    target, version = current_version(spark, f"{lake}/tags")
-    named = embed(catalogue.new_rows(tags, target, ["id"]), "name", "tag_embed", encoder)
-    write_version(catalogue.apply_diff(target, tags, ["id"], "hard", fresh=named), f"{lake}/tags", version + 1)
+    def fresh_books(changes: DataFrame, target: DataFrame) -> DataFrame:
+        described = sidecar_descriptions(books, sidecars)
+        fresh = catalogue.transform_new(books, target, described, encoder, changes)
+        return fresh.withColumn("modified_date", F.current_timestamp()).select(
+            *[F.col(f.name).cast(f.dataType) for f in schemas.BOOKS.fields if f.name not in ("idx", "active")]
+        )
 
-    target, version = current_version(spark, f"{lake}/books_tags")
-    pairs = pairs.select(*[F.col(f.name).cast(f.dataType) for f in schemas.BOOKS_TAGS.fields])
-    merged = catalogue.apply_diff(target, pairs, ["book_id", "tag_id"], "hard")
-    write_version(merged, f"{lake}/books_tags", version + 1)
+    def fresh_tags(changes: DataFrame, target: DataFrame) -> DataFrame:
+        return embed(catalogue.new_rows(tags, target, ["id"], changes), "name", "tag_embed", encoder)
+
+    _load(spark, lake, "books", books, "soft", width, fresh_books)
+    _load(spark, lake, "tags", tags, "hard", width, fresh_tags)
+    _load(spark, lake, "books_tags", pairs, "hard", width)
+
+
+def _load(
+    spark: SparkSession,
+    lake: str,
+    name: str,
+    snapshot: DataFrame,
+    mode: str,
+    width: int,
+    prepared: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> None:
+    """Bring a table of the catalogue to a snapshot. Its keys are compared once; buckets without a change stay."""
+    keys, whole = KEYS[name], catalogue_table(spark, lake, name)
+    changes = catalogue.diff_keys(snapshot, whole, keys)
+    if mode == "soft":  # rows that are inactive already do not change again
+        active = whole.where("active").select(*keys)
+        gone = changes.where(F.col("change") == "deleted").join(active, keys, "left_semi")
+        changes = changes.where(F.col("change") == "new").unionByName(gone)
+    changes = written(changes, "changes")
+    bucket = buckets.id_range(keys[0], width)
+    touched = buckets.touched_by(changes, bucket)
+    if not touched:
+        return
+    target = catalogue_table(spark, lake, name, touched)
+    last = whole.agg(F.max("idx")).first()[0] or 0 if mode == "soft" else None
+    fresh = prepared(changes, target) if prepared else None
+    loaded = catalogue.apply_diff(target, snapshot, keys, mode, fresh, changes, last)
+    buckets.replace(loaded.select(*[f.name for f in schemas.TABLES[name].fields]), bucket, f"{lake}/{name}", touched)
 
 
 def warehouse_etl(spark: SparkSession, ui: DataFrame, rec: DataFrame, lake: str) -> None:
@@ -99,9 +131,7 @@ def facts(spark: SparkSession, lake: str, name: str) -> DataFrame:
 
 def train_adapter(spark: SparkSession, lake: str, **settings: object) -> list[float]:
     """Mine triplets from the current catalogue, fit the adapter, store it and its losses."""
-    books, _ = current_version(spark, f"{lake}/books")
-    tags, _ = current_version(spark, f"{lake}/tags")
-    pairs, _ = current_version(spark, f"{lake}/books_tags")
+    books, tags, pairs = (catalogue_table(spark, lake, name) for name in ("books", "tags", "books_tags"))
     mined = triplets.mine_triplets(tags, pairs, books)
     weights, bias, losses = fit_adapter(mined, **settings)
     path = f"{lake}/model"
@@ -113,7 +143,7 @@ def train_adapter(spark: SparkSession, lake: str, **settings: object) -> list[fl
 
 def adapted_books(spark: SparkSession, lake: str) -> DataFrame:
     """Current books with `vector`, the summary vector through the newest adapter."""
-    books, _ = current_version(spark, f"{lake}/books")
+    books = catalogue_table(spark, lake, "books")
     adapter = registry.latest_payload(registry.read_registry(spark, f"{lake}/model"), "adapter")
     if adapter is None:
         raise LookupError("no adapter has been trained")

@@ -244,6 +244,15 @@ _part(
         WINDOW recent AS (PARTITION BY sid ORDER BY timestamp, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
     "known",
 )
+_part(
+    "last5_silent",
+    """SELECT sid, event_id, first_value(uid) OVER recent AS state_uid, string_agg(bid || ':' || reward, ',') OVER recent AS last
+        FROM (SELECT *, sum(CAST(gap > 86400 AS INTEGER)) OVER (PARTITION BY sid ORDER BY timestamp, event_id) AS part
+            FROM (SELECT *, timestamp - lag(timestamp, 1, timestamp) OVER (PARTITION BY sid ORDER BY timestamp, event_id) AS gap
+                FROM known))
+        WINDOW recent AS (PARTITION BY sid, part ORDER BY timestamp, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "known",
+)
 _part(
     "ends",
     "SELECT *, row_number() OVER (PARTITION BY sid ORDER BY timestamp DESC, event_id DESC) AS back FROM known",
@@ -563,6 +572,10 @@ ORACLES: dict[str, str] = {
         SELECT id, CAST((SELECT max(idx) FROM kept) + row_number() OVER (ORDER BY id) AS INTEGER), title, author, summary,
             image, true, 768
         FROM extracted WHERE id % 7 = 2 AND id % 10 <> 3""",
+    "catalogue_etl_links": """WITH brands AS (SELECT *, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS tag FROM part),
+        tags AS (SELECT DISTINCT tag AS tag_id, p_brand AS name, 768 AS dim FROM brands WHERE tag % 10 <> 3),
+        pairs AS (SELECT CAST(p_partkey AS INTEGER) AS book_id, tag AS tag_id FROM brands WHERE p_partkey % 4 <> 0)
+        SELECT tag_id, book_id, name, dim FROM pairs FULL JOIN tags USING (tag_id)""",
     "item_positions": _sql("SELECT * FROM items", "items"),
     "books_with_tags": _sql(f"SELECT {_BOOK}, {_TAG_LIST} AS tags FROM books b", "books", "bridge", "tags"),
     "tags_with_books": _sql(
@@ -702,6 +715,16 @@ ORACLES: dict[str, str] = {
     "stream_raw_log": _sql("SELECT event_id, sid, uid, bid, action FROM ui", "ui"),
     "stream_drain": _sql("SELECT sid, uid, bid, action, timestamp FROM ui", "ui"),
     "stream_last5": _sql("SELECT * FROM last5", "last5"),
+    "last5_since_silence": _sql("SELECT * FROM last5_silent", "last5_silent"),
+    "stream_since_silence": _sql("SELECT * FROM last5_silent", "last5_silent"),
+    "stream_resumed": _sql(
+        """SELECT uid, string_agg(bid, ',' ORDER BY rank) AS bids, string_agg(bid, ',' ORDER BY rank) AS logged FROM recommended
+        WHERE sid IN (SELECT arg_max(sid, event_id) FROM known GROUP BY uid) GROUP BY uid""",
+        "recommended", "known",
+    ),
+    "stream_rejects": _sql(
+        "SELECT event_id, sid, uid, bid, action FROM ui WHERE action NOT IN ('click', 'skip', 'read')", "ui"
+    ),
     "stream_recommend": _sql(
         """SELECT uid, string_agg(bid, ',' ORDER BY rank) AS bids FROM recommended
         WHERE sid IN (SELECT arg_max(sid, event_id) FROM known GROUP BY uid) GROUP BY uid""",

@@ -19,7 +19,6 @@ from lectern.operators.embedding import embed, hashing_encoder
 from lectern.plans import domain, jobs
 from lectern.plans.dashboard import dashboard_frames, dashboard_points
 from lectern.session import streaming_session
-from lectern.sources.sinks import current_version
 from lectern.sources.storage import shared_dir, written
 from lectern.sources.tables import read_table
 from lectern.streaming import interactions as stream
@@ -237,22 +236,38 @@ def transform_new(spark, sf):
     )
 
 
-@query
-def catalogue_etl(spark, sf):
-    """The stored catalogue after two snapshots, with the page of the same number as sidecar."""
+def _loaded_lake(spark: SparkSession, sf: str) -> str:
+    """A catalogue after two snapshots, in id ranges of 500, with the page of the same number as sidecar."""
     source = domain.source_catalogue(spark, sf)
     pages = read_table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("description"))
     sidecars = (
         catalogue.asset_paths(source["books"]).join(pages, "id").select(F.col("sidecar").alias("path"), "description")
     )
     lake = shared_dir(spark, "lake")
-    jobs.init_lake(spark, lake)
-    for kept in (F.col("id") % 7 != 2, F.col("id") % 10 != 3):
-        jobs.catalogue_etl(spark, {**source, "books": source["books"].where(kept)}, sidecars, lake)
-    books, _ = current_version(spark, f"{lake}/books")
+    link = source["books_tags_link"]
+    for kept, tagged in ((F.col("id") % 7 != 2, F.col("book") % 5 != 1), (F.col("id") % 10 != 3, F.col("book") % 4 != 0)):
+        snapshot = {**source, "books": source["books"].where(kept), "books_tags_link": link.where(tagged)}
+        snapshot["tags"] = source["tags"].where(kept)
+        jobs.catalogue_etl(spark, snapshot, sidecars, lake, width=500)
+    return lake
+
+
+@query
+def catalogue_etl(spark, sf):
+    """The stored books after two snapshots."""
+    books = jobs.catalogue_table(spark, _loaded_lake(spark, sf), "books")
     return books.select("id", "idx", "title", "author", "summary", "image", "active", F.size("summary_embed").alias("dim"))
 
 
+@query
+def catalogue_etl_links(spark, sf):
+    """The stored tags and book-tag pairs after two snapshots, met on the tag; tags without a book and pairs without a tag, too."""
+    lake = _loaded_lake(spark, sf)
+    tags, pairs = (jobs.catalogue_table(spark, lake, name) for name in ("tags", "books_tags"))
+    named = tags.select(F.col("id").alias("tag_id"), "name", F.size("tag_embed").alias("dim"))
+    return pairs.join(named, "tag_id", "full")
+
+
 @query
 def item_positions(spark, sf):
     return sessions.item_index(domain.books(spark, sf, vectors=False))
@@ -775,9 +790,53 @@ def stream_drain(spark, sf):
 
 @query
 def stream_last5(spark, sf):
-    _, in_session = stream.route(_event_stream(spark, sf))
-    states = stream.session_last5(stream.with_reward(in_session))
-    return _served(_run_to_table(states, "stream-last5"))
+    return _served(_run_to_table(stream.session_last5(_event_stream(spark, sf)), "stream-last5"))
+
+
+DAY = 86_400
+
+
+@query
+def last5_since_silence(spark, sf):
+    """Sessions start anew after a day without an event."""
+    return _served(sessions.last_n(_known(spark, sf), silence=DAY))
+
+
+@query
+def stream_since_silence(spark, sf):
+    return _served(_run_to_table(stream.session_last5(_event_stream(spark, sf), silence=DAY), "stream-silence"))
+
+
+def _resumed(spark: SparkSession, sf: str) -> tuple[SparkSession, str]:
+    """The stream served in two runs over two files of events, the second one going on where the first stopped."""
+    session, folder = streaming_session(spark), shared_dir(spark, "stream-resumed")
+    events = read_table(session, sf, "events")
+    items = policy.policy_items(domain.books(session, sf))
+    early = F.col("timestamp") < BATCH_END
+    for name, part in (("early", early), ("late", ~early)):
+        history = domain.history(events).where(F.col("action") != "view")
+        history.where(part).coalesce(1).write.parquet(f"{folder}/in/{name}")
+        source = session.readStream.schema(history.schema).parquet(f"{folder}/in/*")
+        stream.run_stream(source, items, policy.initial_params, folder)
+    return session, folder
+
+
+@query
+def stream_resumed(spark, sf):
+    """The latest list of each user, by the log of a stream that was stopped and resumed and by its table of lists."""
+    session, folder = _resumed(spark, sf)
+    ranked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "bid"))), lambda r: r["bid"]), ",")
+    logged = stream.rec_log(session, folder).groupBy("uid", "event_id").agg(ranked.alias("bids"))
+    newest = logged.groupBy("uid").agg(F.max_by("bids", "event_id").alias("logged"))
+    latest = stream.latest_recs(session, folder).withColumn("bids", F.array_join("bids", ","))
+    return latest.join(newest, "uid", "full")
+
+
+@query
+def stream_rejects(spark, sf):
+    """Events whose action has no reward, as the served stream logs them."""
+    session, folder = _resumed(spark, sf)
+    return stream.served_log(session, folder, "rejects").select("event_id", "sid", "uid", "bid", "action")
 
 
 @query

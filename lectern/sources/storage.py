@@ -53,3 +53,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [status.getPath().getName() for status in jvm.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import policy, registry, sessions, warehouse
 from lectern.plans import domain, jobs
-from lectern.sources.sinks import current_version
+from lectern.sources import buckets
 from lectern.sources.tables import read_sidecars
 from lectern.session import streaming_session
 from lectern.streaming import interactions as stream
@@ -24,7 +24,6 @@ def lake(spark, small, tmp_path_factory):
             f"<package xmlns:dc='u'><metadata><dc:description>About {row['path'].replace(chr(39), '')}</dc:description></metadata></package>"
         )
     root = str(tmp_path_factory.mktemp("lake"))
-    jobs.init_lake(spark, root)
     first = {**source, "books": source["books"].where("id % 7 != 2")}
     second = {**source, "books": source["books"].where("id % 10 != 3"), "books_tags_link": source["books_tags_link"].where("book % 2 = 0")}
     for snapshot in (first, second):
@@ -33,9 +32,9 @@ def lake(spark, small, tmp_path_factory):
 
 
 def test_catalogue(spark, small, lake):
-    books, version = current_version(spark, f"{lake}/books")
+    books = jobs.catalogue_table(spark, lake, "books")
     rows = {r["id"]: r for r in books.collect()}
-    assert version == 2 and len(rows) == books.count()
+    assert buckets.listing(spark, f"{lake}/books")[1] == 1 and len(rows) == books.count()
     every = {r["p_partkey"] for r in domain.read_table(spark, small, "part").collect()}
     first, second = {i for i in every if i % 7 != 2}, {i for i in every if i % 10 != 3}
     assert set(rows) == first | second
@@ -44,10 +43,28 @@ def test_catalogue(spark, small, lake):
     assert [i for i in sorted(rows, key=lambda i: rows[i]["idx"])] == sorted(first) + sorted(second - first)
     assert all((r["summary"] == "NaN") == (i % 4 != 0) for i, r in rows.items())
     assert all(len(r["summary_embed"]) == 768 for r in rows.values())
-    pairs, _ = current_version(spark, f"{lake}/books_tags")
+    pairs = jobs.catalogue_table(spark, lake, "books_tags")
     assert pairs.where("book_id % 2 = 1").count() == 0 and pairs.count() == len([i for i in every if i % 2 == 0])
 
 
+def test_only_changed_id_ranges_are_written(spark, small, tmp_path):
+    source = domain.source_catalogue(spark, small)
+    nothing = spark.createDataFrame([], "path string, description string")
+    lake = str(tmp_path)
+    snapshots = (source, {**source, "books": source["books"].where("id <> 75")}, source, source)
+    files = []
+    for snapshot in snapshots:
+        jobs.catalogue_etl(spark, snapshot, nothing, lake, width=20)
+        found = {name: jobs.catalogue_table(spark, lake, name).inputFiles() for name in jobs.KEYS}
+        files.append({name: {f.split("/data/")[1] for f in paths} for name, paths in found.items()})
+    first, second, third, fourth = files
+    assert {f.split("/")[1] for f in first["books"] ^ second["books"]} == {"bucket=3"}
+    assert first["tags"] == second["tags"] == fourth["tags"] and first["books_tags"] == fourth["books_tags"]
+    assert third == fourth == second  # a book that comes back stays inactive, as before
+    rows = {r["id"]: r["active"] for r in jobs.catalogue_table(spark, lake, "books").collect()}
+    assert [i for i, active in rows.items() if not active] == [75]
+
+
 def test_warehouse(spark, small, lake):
     ui, rec = domain.ui_history(spark, small), domain.rec_history(spark, small)
     jobs.warehouse_etl(spark, ui.where("timestamp < 1705363200"), rec, lake)

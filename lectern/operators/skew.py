@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.sources.storage import written
+
 HOT_ROWS = 1_000_000  # a key with fewer rows is left to one task
 HOT_KEYS = 1_000      # the k-th most frequent key holds at most 1/k of all rows
 SMALL_ROWS = 1_000_000
@@ -58,6 +60,22 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, min_row
     return busy.join(F.broadcast(right_hot), on, how).unionByName(quiet.join(right, on, how))
 
 
+def suspects(large: DataFrame, small: DataFrame, keys: list[str], bits_per_row: int = 16) -> DataFrame:
+    """The rows of `large` whose key may be among those of `small`: all that are, and a few others.
+
+    The keys of `small` set bits of a bitmap, which is sent to where the rows of `large` lie (2^29 bits at most, 64 MB), so
+    that rows without a match are left out before anything is shuffled. `small` should be a written table.
+    """
+    size = 1 << min(29, max(15, (bits_per_row * small.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(size))
+    inside = place.bitwiseAND(F.lit(32_767))
+    bitmaps = small.groupBy(F.shiftright(place, 15).alias("_map")).agg(F.bitmap_construct_agg(inside).alias("_bits"))
+    met = large.withColumn("_map", F.shiftright(place, 15)).join(F.broadcast(written(bitmaps, "bitmaps")), "_map")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(inside, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, inside.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1))
+    return met.where(bit == 1).drop("_map", "_bits")
+
+
 def join_checked(
     left: DataFrame,
     right: DataFrame,
@@ -77,13 +95,13 @@ def join_checked(
 
 
 def dense_positions(df: DataFrame, key: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """0-based position of each row in the order of the unique 32-bit integer column `key`.
+    """0-based position of each row in the order of the unique column `key`; rows whose key is NULL are left out.
 
-    Rows are numbered inside ranges of `width` keys; only the range sizes, at most 4296 of them for the default
-    width, are summed in one task and broadcast.
+    A 32-bit integer is numbered inside ranges of `width` keys; only the range sizes, at most 4296 of them for the default
+    width, are summed in one task and broadcast. Any other type is numbered by `sorted_positions`.
     """
     if df.schema[key].dataType != T.IntegerType():
-        raise TypeError(f"{key} has to be a 32-bit integer, which bounds the number of ranges")
+        return sorted_positions(df, key, out)
     ranged = df.withColumn("_range", F.floor(F.col(key) / F.lit(width)).cast("int"))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -95,3 +113,20 @@ def dense_positions(df: DataFrame, key: str, out: str, width: int = 1_000_000) -
         .withColumn(out, (F.col("_before") + F.col("_inside") - 1).cast("int"))
         .drop("_range", "_inside", "_before")
     )
+
+
+def sorted_positions(df: DataFrame, key: str, out: str, parts: int | None = None) -> DataFrame:
+    """0-based 64-bit position of each row in the order of `key`, of any type that can be ordered.
+
+    Rows are dealt over ranges, sorted there and written, a file per range; the place of a row in its file and the sizes of
+    the files before it, one row per file, make its position. Keys that repeat are numbered in any one order.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.where(F.col(key).isNotNull()).repartitionByRange(parts, key).sortWithinPartitions(key)
+    placed = written(ranged, "ranges")
+    place = placed.metadataColumn("_metadata")
+    rows = placed.select("*", place["file_name"].alias("_file"), place["row_index"].alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(starts), "_file").withColumn(out, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")

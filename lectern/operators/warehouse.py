@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions.actions import epoch_date, epoch_ts, month_label
-from lectern.operators.skew import hot_join
+from lectern.operators.skew import hot_join, suspects
 
 FIRST_DAY = dt.date(2024, 1, 1)
 LAST_DAY = dt.date(2026, 12, 31)
@@ -65,17 +65,21 @@ def lookup_dims(history: DataFrame, times: DataFrame, actions: DataFrame | None
     return looked.select(*columns, "timeid", epoch_ts(F.col("timestamp")).alias("created_at"))
 
 
-def new_facts(staged: DataFrame, facts: DataFrame, keys: list[str] = FACT_KEYS) -> DataFrame:
+def new_facts(staged: DataFrame, facts: DataFrame, keys: list[str] = FACT_KEYS, large: bool = False) -> DataFrame:
     """Staged rows whose key is not among the facts; a NULL in a key never matches.
 
     The action is not part of the key, and copies inside the staged rows are all kept. Only facts in the span of the
-    staged instants are read, so a load costs what it brings and not what is stored.
+    staged instants are read, so a load costs what it brings and not what is stored. Of `large` facts only those that
+    a bitmap of the staged keys lets through are shuffled; `staged` should then be written.
     """
     span = staged.agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
     near = facts.where(
         (F.col("created_at") >= span.select("first").scalar()) & (F.col("created_at") <= span.select("last").scalar())
     )
-    return hot_join(staged, near.select(*keys).distinct(), keys, "left_anti")
+    stored = near.select(*keys)
+    if large:
+        stored = suspects(stored, staged.select(*keys), keys)
+    return hot_join(staged, stored.distinct(), keys, "left_anti")
 
 
 def load_facts(

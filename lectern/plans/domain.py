@@ -43,12 +43,12 @@ def rec_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf: str, vectors: bool = True, spread: bool = False) -> DataFrame:
-    """One book per document; idx leaves gaps, some summaries and images are missing. `spread` for work on the texts."""
+    """One book per document; titled by language, number and source; idx leaves gaps, some summaries and images are missing. `spread` for work on the texts."""
     doc = F.col("doc_id")
     docs = read_table(spark, sf, "documents", spread).select(
         (2 * doc + 1).cast("int").alias("idx"),
         doc.cast("int").alias("id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.concat_ws(" ", "lang", doc.cast("string"), "source").alias("title"),
         F.when(doc % 13 == 0, F.lit("NaN")).otherwise(F.col("text")).alias("summary"),
         F.when(doc % 11 == 0, F.lit("")).otherwise(
             F.concat(F.col("source"), F.lit("/"), doc.cast("string"), F.lit("/cover.jpg"))

@@ -14,6 +14,7 @@ from lectern.functions.actions import epoch_date
 from lectern.operators import catalogue, policy, registry, sessions, triplets, warehouse
 from lectern.operators.adapter import apply_adapter, fit_adapter
 from lectern.operators.embedding import Encoder, embed, hashing_encoder
+from lectern.operators.skew import SMALL_ROWS, fits
 from lectern.sources import buckets
 from lectern.sources.sinks import append, append_facts
 from lectern.sources.storage import exists, written
@@ -96,18 +97,20 @@ def _load(
     buckets.replace(loaded.select(*[f.name for f in schemas.TABLES[name].fields]), bucket, f"{lake}/{name}", touched)
 
 
-def warehouse_etl(spark: SparkSession, ui: DataFrame, rec: DataFrame, lake: str) -> None:
+def warehouse_etl(spark: SparkSession, ui: DataFrame, rec: DataFrame, lake: str, small_rows: int = SMALL_ROWS) -> None:
     """Append the facts of the history tables that are not stored yet, and the rejects that are not stored yet.
 
     What is stored already is told by the tables themselves, so a load may be repeated. New rows are found once, staged,
-    and split where they are read.
+    and split where they are read. Of more than `small_rows` stored facts in the months of a load, only those that a
+    bitmap of the loaded keys lets through are shuffled.
     """
     times, actions = warehouse.dim_time(spark), warehouse.dim_action(spark)
     for name, history, names in (("fact_user_interaction", ui, actions), ("fact_recommendation", rec, None)):
         path = f"{lake}/{name}"
         stored = _months_of(history, spark.read.parquet(path)).drop("month") if exists(spark, path) else None
         looked = written(warehouse.lookup_dims(history, times, names), "looked")
-        fresh = looked if stored is None else written(warehouse.new_facts(looked, stored), "fresh")
+        large = stored is not None and not fits(stored, small_rows)
+        fresh = looked if stored is None else written(warehouse.new_facts(looked, stored, large=large), "fresh")
         facts, rejects = warehouse.split_facts(fresh)
         append_facts(facts, path)
         if exists(spark, f"{path}_rejects"):

@@ -24,6 +24,11 @@ def _l2(a: str, b: str) -> str:
     return f"list_distance({a}, {b})"
 
 
+def _numbers(c: str) -> str:
+    """All numbers of a vector, to six places, as a digest."""
+    return f"md5(array_to_string(list_transform({c}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ','))"
+
+
 # Named parts, each using only parts above it.
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -73,7 +78,7 @@ _part("rec", "SELECT * EXCLUDE (action) FROM history WHERE action = 'view'", "hi
 _part(
     "books",
     f"""SELECT CAST(2 * doc_id + 1 AS INTEGER) AS idx, CAST(doc_id AS INTEGER) AS id,
-        substring(text, 1, 40) AS title,
+        concat_ws(' ', lang, doc_id, source) AS title,
         CASE WHEN doc_id % 13 = 0 THEN {MISSING} ELSE text END AS summary,
         CASE WHEN doc_id % 11 = 0 THEN '' ELSE source || '/' || doc_id || '/cover.jpg' END AS image,
         source AS author FROM documents""",
@@ -504,10 +509,14 @@ ORACLES: dict[str, str] = {
     ),
     "fact_interaction_load": _sql("SELECT * FROM fact_ui", "fact_ui"),
     "fact_recommendation_load": _sql("SELECT * FROM fact_rec", "fact_rec"),
-    "fact_rejects": _sql(
-        "SELECT * REPLACE (CAST(actionid AS VARCHAR) AS actionid) FROM ui_fresh WHERE actionid IS NULL OR timeid IS NULL",
-        "ui_fresh",
-    ),
+    "stored_facts": _sql("SELECT * FROM fact_ui", "fact_ui"),
+    **{
+        name: _sql(
+            "SELECT * REPLACE (CAST(actionid AS VARCHAR) AS actionid) FROM ui_fresh WHERE actionid IS NULL OR timeid IS NULL",
+            "ui_fresh",
+        )
+        for name in ("fact_rejects", "stored_rejects")
+    },
     "rec_outcomes": _sql(
         """SELECT userid, bookid, timeid, CAST(u.actionid AS VARCHAR) AS actionid, r.n AS recommended,
             coalesce(u.n, 0) AS acted, r.n * coalesce(u.n, 1) AS pairs
@@ -586,7 +595,7 @@ ORACLES: dict[str, str] = {
     ),
     "tags_of": _sql("SELECT id, name FROM tags WHERE id IN (SELECT tag_id FROM bridge WHERE book_id = 42)", "tags", "bridge"),
     "books_of": _sql(f"SELECT {_BOOK} FROM books WHERE id IN (SELECT book_id FROM bridge WHERE tag_id = 100)", "books", "bridge"),
-    "search_title": _sql(f"SELECT {_BOOK} FROM books WHERE contains(upper(title), 'THE')", "books"),
+    "search_title": _sql(f"SELECT {_BOOK} FROM books WHERE contains(upper(title), 'EN 1')", "books"),
     "search_author": _sql(f"SELECT {_BOOK} FROM books WHERE contains(upper(author), 'SRC1')", "books"),
     "search_tags": _sql(
         f"""SELECT {_BOOK} FROM books WHERE id IN (SELECT book_id FROM bridge WHERE tag_id IN
@@ -610,6 +619,8 @@ ORACLES: dict[str, str] = {
     ),
     "xml_description": f"""SELECT doc_id, doc_id % 17 <> 0 AND doc_id % 19 = 0 AS absent,
         CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN 'NaN' ELSE {_clean('text')} END AS summary FROM documents""",
+    "sidecar_files": f"""SELECT doc_id, doc_id % 17 <> 0 AND doc_id % 19 = 0 AS absent,
+        CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN 'NaN' ELSE {_clean('text')} END AS summary FROM documents""",
     "embed_text": f"""WITH hashed AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS h
             FROM (SELECT doc_id, unnest({_split('text')}) AS word FROM documents) WHERE word <> ''),
         summed AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS place, sum(CASE WHEN (h >> 32) % 2 = 1 THEN -1.0 ELSE 1.0 END) AS x
@@ -667,10 +678,22 @@ ORACLES: dict[str, str] = {
         "contexts",
     ),
     "mine_triplets": _sql(
-        f"""SELECT tag_id, book_id, neg_id, pos IS NOT NULL AS has_pos, {_r('anchor[1]')} AS anchor_0,
-        {_r('pos[1]')} AS pos_0, {_r('neg[1]')} AS neg_0 FROM triplets""",
+        f"""SELECT tag_id, book_id, neg_id, pos IS NOT NULL AS has_pos, {_numbers('anchor')} AS anchor,
+        {_numbers('pos')} AS pos, {_numbers('neg')} AS neg FROM triplets""",
         "triplets",
     ),
+    "triplet_csv": _sql(
+        f"SELECT {_numbers('anchor')} AS anchor, {_numbers('pos')} AS pos, {_numbers('neg')} AS neg FROM triplets", "triplets"
+    ),
+    "prompt_log": _sql("SELECT context, query FROM contexts", "contexts"),
+    "saved_models": _sql(
+        f"""SELECT type, dense_rank() OVER (ORDER BY type) AS id, CAST(place - 1 AS INTEGER) AS place, {_r('weight', 4)} AS weight
+        FROM (SELECT type, unnest(weights) AS weight, generate_subscripts(weights, 1) AS place
+            FROM ranked_model WHERE training_round = 1)""",
+        "ranked_model",
+    ),
+    "event_messages": _sql("SELECT sid, uid, bid, action, timestamp FROM ui", "ui"),
+    "created_tables": _sql("SELECT sid, uid, bid, action, timestamp FROM ui", "ui"),
     "evaluate_triplets": _sql(
         f"""SELECT tag_id, book_id, neg_id, {_r('distance_pos')} AS distance_pos, {_r('distance_neg')} AS distance_neg,
         {_r('adapted_distance_pos')} AS adapted_distance_pos, {_r('adapted_distance_neg')} AS adapted_distance_neg,

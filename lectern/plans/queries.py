@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +22,8 @@ from lectern.plans import domain, jobs
 from lectern.plans.dashboard import dashboard_frames, dashboard_points
 from lectern.session import streaming_session
 from lectern.sources.storage import shared_dir, written
-from lectern.sources.tables import read_table
+from lectern.sources import sinks
+from lectern.sources.tables import read_prompt_log, read_sidecars, read_table, read_triplets_csv
 from lectern.streaming import interactions as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +47,12 @@ def _entries(c: str, *fields: str) -> Column:
     return F.array_join(F.transform(c, lambda e: F.concat_ws(":", *[e[f].cast("string") for f in fields])), ",")
 
 
+def _numbers(c: str) -> Column:
+    """All numbers of a vector, to six places, as a digest."""
+    whole = F.transform(c, lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))
+    return F.md5(F.array_join(whole, ",").cast("binary"))
+
+
 # --- warehouse --------------------------------------------------------------------------------------------
 
 
@@ -125,6 +134,25 @@ def fact_rejects(spark, sf):
     return _id_text(_epoch(_loads(domain.ui_history(spark, sf), warehouse.dim_action(spark))[1]))
 
 
+def _warehouse(spark: SparkSession, sf: str) -> str:
+    """A warehouse after three loads: the first weeks, everything, and everything again, with bitmaps before each join."""
+    lake = shared_dir(spark, "warehouse")
+    ui, rec = domain.ui_history(spark, sf), domain.rec_history(spark, sf)
+    for part in (ui.where(F.col("timestamp") < BATCH_END), ui, ui):
+        jobs.warehouse_etl(spark, part, rec, lake, small_rows=0)
+    return lake
+
+
+@query
+def stored_facts(spark, sf):
+    return _epoch(jobs.facts(spark, _warehouse(spark, sf), "fact_user_interaction"))
+
+
+@query
+def stored_rejects(spark, sf):
+    return _id_text(_epoch(spark.read.parquet(f"{_warehouse(spark, sf)}/fact_user_interaction_rejects")))
+
+
 @query
 def rec_outcomes(spark, sf):
     outcomes = warehouse.rec_outcomes(_rec_facts(spark, sf), _ui_facts(spark, sf))
@@ -309,7 +337,7 @@ def books_of(spark, sf):
 @query
 def search_title(spark, sf):
     books, _, _ = _shapes(spark, sf)
-    return catalogue.search(books, " The ", "title")
+    return catalogue.search(books, " eN 1 ", "title")
 
 
 @query
@@ -372,9 +400,8 @@ def tokenize(spark, sf):
     )
 
 
-@query
-def xml_description(spark, sf):
-    """Every document as a catalogue sidecar; some are cut off, some lack the element."""
+def _sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, sidecar): every document as a catalogue sidecar; some are cut off, some lack the element."""
     doc = F.col("doc_id")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     head = F.lit('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>t</dc:title>')
@@ -385,13 +412,30 @@ def xml_description(spark, sf):
         .when(doc % 19 == 0, F.concat(head, tail))
         .otherwise(F.concat(head, element, tail))
     )
-    parsed = read_table(spark, sf, "documents").select("doc_id", txt.xml_description(sidecar).alias("description"))
+    return read_table(spark, sf, "documents").select("doc_id", sidecar.alias("sidecar"))
+
+
+@query
+def xml_description(spark, sf):
+    parsed = _sidecars(spark, sf).select("doc_id", txt.xml_description(F.col("sidecar")).alias("description"))
     return parsed.select(
         "doc_id", F.col("description").isNull().alias("absent"),
         txt.clean_description(F.col("description")).alias("summary"),
     )
 
 
+@query
+def sidecar_files(spark, sf):
+    """The sidecars written as a file each, and read back."""
+    folder = shared_dir(spark, "sidecars")
+    _sidecars(spark, sf).withColumnRenamed("doc_id", "doc").repartition("doc").write.partitionBy("doc").text(folder)
+    read = read_sidecars(spark, folder, "*.txt")
+    return read.select(
+        F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("long").alias("doc_id"),
+        F.col("description").isNull().alias("absent"), "summary",
+    )
+
+
 def _portable_hash(word: Column) -> Column:
     """A word hash that other engines have as well: the first 60 bits of its MD5."""
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
@@ -607,6 +651,14 @@ def prompt_context(spark, sf):
     return retrieval.prompt_context(_suggestions(spark, sf), domain.queries(spark, sf))
 
 
+@query
+def prompt_log(spark, sf):
+    """The prompts of all questions, logged and read back."""
+    folder = shared_dir(spark, "prompts")
+    sinks.append_prompt_log(retrieval.prompt_context(_suggestions(spark, sf), domain.queries(spark, sf)), folder)
+    return read_prompt_log(spark, folder)
+
+
 # --- triplets, adapter, registry --------------------------------------------------------------------------
 
 
@@ -619,12 +671,18 @@ def mine_triplets(spark, sf):
     return _triplets(spark, sf).select(
         "tag_id", "book_id", "neg_id",
         F.col("pos").isNotNull().alias("has_pos"),
-        _r(F.get("anchor", F.lit(0)).cast("double")).alias("anchor_0"),
-        _r(F.get("pos", F.lit(0)).cast("double")).alias("pos_0"),
-        _r(F.get("neg", F.lit(0)).cast("double")).alias("neg_0"),
+        *[_numbers(name).alias(name) for name in ("anchor", "pos", "neg")],
     )
 
 
+@query
+def triplet_csv(spark, sf):
+    """The triplets written as text and read back."""
+    folder = shared_dir(spark, "triplets")
+    sinks.write_triplets_csv(_triplets(spark, sf), folder)
+    return read_triplets_csv(spark, folder).select(*[_numbers(name).alias(name) for name in ("anchor", "pos", "neg")])
+
+
 def _halving_adapter(out: int = 32, dim: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """An adapter that keeps the first `out` numbers of a vector."""
     return np.eye(out, dim), np.zeros(out)
@@ -672,6 +730,17 @@ def latest_model(spark, sf):
     return newest.select("type", "id", numbers).withColumn("weight", F.round("weight", 4))
 
 
+@query
+def saved_models(spark, sf):
+    """The newest artefact of each type saved to a registry of its own, and read back."""
+    folder = shared_dir(spark, "registry")
+    newest = registry.latest_model(domain.model(spark, sf)).orderBy("type").collect()  # a row per type
+    for row in newest:
+        registry.save_model(spark, folder, row["type"], json.loads(row["weights"]), registry.next_id(spark, folder))
+    numbers = F.posexplode(F.from_json("weights", "array<double>")).alias("place", "weight")
+    return registry.read_registry(spark, folder).select("type", "id", numbers).withColumn("weight", F.round("weight", 4))
+
+
 @query
 def last3_models(spark, sf):
     return registry.last_n_models(domain.model(spark, sf)).select("type", "training_round", "id")
@@ -737,6 +806,25 @@ def fit_policy_losses(spark, sf):
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 
+@query
+def event_messages(spark, sf):
+    """Events as the messages of a topic, and parsed again."""
+    sent = sinks.event_messages(domain.ui_history(spark, sf)).withColumn("event_id", F.monotonically_increasing_id())
+    return stream.parse_messages(sent.select("value", "event_id")).drop("event_id")
+
+
+@query
+def created_tables(spark, sf):
+    """The history in a created table, loaded twice, with the creation repeated in between."""
+    database = f"lectern_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_dir(spark, 'database')}'")
+    history = domain.ui_history(spark, sf).select(*[f.name for f in schemas.UI_HISTORY.fields])
+    for part in (F.col("timestamp") < BATCH_END, F.col("timestamp") >= BATCH_END):
+        schemas.create_tables(spark, database=database)
+        history.where(part).write.insertInto(f"{database}.ui_history")
+    return spark.table(f"{database}.ui_history")
+
+
 # --- stream -----------------------------------------------------------------------------------------------
 
 

@@ -115,10 +115,11 @@ TABLES = {
 PARTITIONED_BY = {"fact_recommendation": "month", "fact_user_interaction": "month"}
 
 
-def create_tables(spark: SparkSession, names: list[str] | None = None) -> None:
-    """Create the named tables (all by default) where they are absent."""
+def create_tables(spark: SparkSession, names: list[str] | None = None, database: str | None = None) -> None:
+    """Create the named tables (all by default) where they are absent, in the current database or the named one."""
+    before = f"{database}." if database else ""
     for name in names or list(TABLES):
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES[name].fields)
         month = PARTITIONED_BY.get(name)
         layout = f", {month} string) USING parquet PARTITIONED BY ({month})" if month else ") USING parquet"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}{layout}")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {before}{name} ({columns}{layout}")

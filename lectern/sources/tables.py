@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +52,19 @@ def read_triplets_csv(spark: SparkSession, path: str) -> DataFrame:
     return text.select(*[parse_vector(F.col(c)).alias(c) for c in ("anchor", "pos", "neg")])
 
 
-def read_sidecars(spark: SparkSession, base: str) -> DataFrame:
+def read_sidecars(spark: SparkSession, base: str, pattern: str = "*.opf") -> DataFrame:
     """One row per catalogue sidecar below `base`: (path, description, summary), the path relative to it."""
-    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.opf")
+    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    below = re.sub(r"^[a-z0-9]+:/*", "/", base.rstrip("/"))  # paths come with their scheme, in one spelling or another
     # File paths come URL-encoded, where a plus sign stands for itself.
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     located = files.select(
-        F.substring_index(decoded, f"{base.rstrip('/')}/", -1).alias("path"),
+        F.substring_index(decoded, f"{below}/", -1).alias("path"),
         xml_description(F.col("value")).alias("description"),
     )
     return located.withColumn("summary", clean_description(F.col("description")))
+
+
+def read_prompt_log(spark: SparkSession, path: str) -> DataFrame:
+    """(context, query) of each logged prompt; a question may have several lines."""
+    return spark.read.schema("context string, query string").option("escape", '"').option("multiLine", True).csv(path)

@@ -52,6 +52,27 @@ def test_dense_positions(spark):
     assert found == {k: n for n, k in enumerate(sorted(keys))}
 
 
-def test_dense_positions_needs_a_bounded_key(spark):
-    with pytest.raises(TypeError):
-        skew.dense_positions(spark.range(3), "id", "p")
+@pytest.mark.parametrize("kind", ["long", "string", "date", "double"])
+def test_positions_of_any_key(spark, kind):
+    numbers = random.Random(4).sample(range(-(2**40), 2**40), 900)
+    column = {"long": F.col("n"), "string": F.concat(F.lit("k"), F.col("n")), "date": F.date_add(F.lit("2000-01-01").cast("date"), F.pmod("n", F.lit(1_999_993)).cast("int")), "double": F.col("n") / 7}[kind]
+    df = spark.createDataFrame([(n,) for n in numbers] + [(None,)], "n long").select(column.alias("k")).dropDuplicates().repartition(5)
+    keys = sorted(r["k"] for r in df.collect() if r["k"] is not None)
+    found = skew.dense_positions(df, "k", "p").collect()
+    assert sorted((r["p"], r["k"]) for r in found) == list(enumerate(keys))
+    assert skew.dense_positions(df.where("false"), "k", "p").count() == 0
+
+
+def test_a_third_of_the_rows_in_one_range(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).cast("long").alias("k"))
+    found = [(r["p"], r["k"]) for r in skew.sorted_positions(df, "k", "p", parts=11).collect()]
+    assert sorted(p for p, _ in found) == list(range(3000)) and [k for _, k in sorted(found)] == sorted(k for _, k in found)
+
+
+def test_suspects_hold_all_matches_and_few_others(spark):
+    small = spark.range(0, 3000, 7).selectExpr("id as a", "if(id % 5 = 0, null, id) as b")
+    large = spark.range(20_000).selectExpr("id as a", "if(id % 5 = 0, null, id) as b", "id as n").repartition(4)
+    left = {r["n"] for r in skew.suspects(large, small, ["a", "b"]).collect()}
+    assert left >= set(range(0, 3000, 7)) and len(left) < 4_000
+    assert skew.suspects(large, small.where("false"), ["a", "b"]).count() == 0
+    assert skew.suspects(large, small, ["a", "b"]).columns == large.columns

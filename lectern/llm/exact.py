@@ -3,8 +3,8 @@
 A Misra-Gries summary of every task finds the digests that may be frequent. Merged, at most `counters` candidates are
 left, any digest that holds more than one of `counters + 1` rows among them; their exact counts and winners are taken
 in one aggregation over few keys, and verified ones are broadcast, so that rows of frequent digests are decided where
-they lie. All other digests hold a small share each and meet in an ordinary shuffle of (id, digest) rows; texts never
-move.
+they lie. All other digests hold a small share each and meet in an ordinary shuffle of (id, digest) rows. Texts
+do not move: rows that go are told to the others as bits (see `rows`).
 
 Defined results: NULL text counts as empty; the row with the largest id stays, NULL being the smallest; of rows that
 repeat with that id, one stays, whichever the staged table lists last.
@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.data import packed, text_of
+from lectern.llm.data import text_of
+from lectern.llm.rows import numbered, without
 from lectern.sources.storage import written
 
 COUNTERS = 1_000
@@ -74,12 +75,8 @@ def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return rows.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
-def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per row of `df`: id, digest (SHA-256 of the normalised text), keep_id, group_size, kept."""
-    staged = written(
-        df.select(F.col(doc_id).alias("id"), digest(text).alias("digest"), F.monotonically_increasing_id().alias("row")),
-        "digests",
-    )
+def decided(staged: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """(id, row, digest, group_size, best) of written (id, digest, row) rows; `best` is the (id, row) that stays."""
     heavy = frequent(staged, counters)
     same = Window.partitionBy("digest")
     rest = staged.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
@@ -89,8 +86,17 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", coun
         F.count(F.lit(1)).over(same).alias("group_size"),
         F.max(F.struct("id", "row")).over(same).alias("best"),
     )
-    decided = staged.join(F.broadcast(heavy), "digest").select("id", "row", "digest", "group_size", "best").unionByName(rest)
-    return decided.select(
+    winners = staged.join(F.broadcast(heavy), "digest").select("id", "row", "digest", "group_size", "best")
+    return winners.unionByName(rest)
+
+
+def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per row of `df`: id, digest (SHA-256 of the normalised text), keep_id, group_size, kept."""
+    staged = written(
+        df.select(F.col(doc_id).alias("id"), digest(text).alias("digest"), F.monotonically_increasing_id().alias("row")),
+        "digests",
+    )
+    return decided(staged, counters).select(
         "id",
         "digest",
         F.col("best.id").alias("keep_id"),
@@ -100,16 +106,9 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", coun
 
 
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of `df` that stay, all columns. Only ids and digests of rows that go are joined to the texts."""
-    decided = written(exact_groups(df, doc_id, text, counters), "copies")
-    pairs = decided.where("group_size > 1").groupBy("id", "digest").agg(
-        F.max(F.col("kept").cast("int")).alias("stays"), F.count(F.lit(1)).alias("rows")
-    )
-    pairs = written(pairs.where("stays = 0 or rows > 1"), "copies")
-    tagged = df.select(packed(df), F.col(doc_id).alias("own"), digest(text).alias("own_digest"))
-    same = (F.col("own_digest") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id"))
-    rest = tagged.join(pairs, same, "left_anti")
-    again = pairs.where("stays = 1")
-    if not again.isEmpty():  # one of rows that repeat id and text
-        rest = rest.unionByName(tagged.join(again, same, "left_semi").dropDuplicates(["own", "own_digest"]))
-    return rest.select("carried.*")
+    """The rows of `df` that stay, all columns. They stay where they lie: the numbers of rows that go are sent to them."""
+    rows = numbered(df)
+    ids, digests = F.col(f"carried.`{doc_id}`").alias("id"), digest(f"carried.`{text}`").alias("digest")
+    found = decided(written(rows.select(ids, digests, "row"), "digests"), counters)
+    gone = written(found.where(F.col("row") != F.col("best.row")).select("row"), "copies")
+    return without(rows, gone).select("carried.*")

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import graph
 from lectern.llm.arrays import as_long, mixed, shingles, slices, utf8, word_hashes, words
-from lectern.llm.data import packed, text_of
+from lectern.llm.data import text_of
+from lectern.llm.rows import numbered, without
 from lectern.sources.storage import written
 
 WORDS = 4
@@ -340,10 +341,10 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
 def without_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df` that stay: of each component the first by id, rows without an id last and those of equal ids
     in any one order; rows without words stay."""
-    staged = written(df.select(packed(df), F.monotonically_increasing_id().alias("row")), "rows")
-    rows = staged.select("row", F.col(f"carried.`{doc_id}`").cast("long").alias("doc_id"), text_of(f"carried.`{text}`").alias("text"))
+    whole = numbered(df)
+    rows = whole.select("row", F.col(f"carried.`{doc_id}`").cast("long").alias("doc_id"), text_of(f"carried.`{text}`").alias("text"))
     found = written(grouped(rows, size, percent).where("group is not null").select("row", "doc_id", "group"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
     stay = found.groupBy("group").agg(first["row"].alias("row")).select("row")
     gone = found.select("row").join(stay, "row", "left_anti")
-    return staged.join(written(gone, "near-copies"), "row", "left_anti").select("carried.*")
+    return without(whole, written(gone, "near-copies")).select("carried.*")

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.data import packed, text_of
+from lectern.llm.data import text_of
+from lectern.llm.rows import marked, numbered
 from lectern.sources.storage import written
 
 WEIGHTS = (3, 1, 2)
@@ -127,20 +128,21 @@ def planned(staged: DataFrame, weights: Iterable[float], share: float, repeats:
     return staged.sparkSession.createDataFrame(out, schema)
 
 
-def sized(df: DataFrame, members: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """All columns packed, with size, pattern (sorted set of sources), a seeded order `key` and a row number."""
-    of = F.col(members)
-    if not isinstance(df.schema[members].dataType, T.ArrayType):
+def sized(rows: DataFrame, members: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """Numbered rows with size, pattern (sorted set of sources), a seeded order `key` and its bucket."""
+    of = F.col(f"carried.`{members}`")
+    if not isinstance(rows.select(of.alias("of")).schema["of"].dataType, T.ArrayType):
         of = F.array(of)
+    body = text_of(f"carried.`{text}`")
     nowhere = F.array(F.lit(None).cast("string"))
     pattern = F.array_sort(F.array_distinct(F.transform(of, lambda m: m.cast("string"))))
-    return df.select(
-        packed(df),
-        F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+    return rows.select(
+        "carried",
+        "row",
+        F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.when(F.coalesce(F.size(pattern), F.lit(0)) < 1, nowhere).otherwise(pattern).alias("pattern"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), text_of(text)).alias("key"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+        F.xxhash64(F.lit(seed), F.col(f"carried.`{doc_id}`"), body).alias("key"),
+    ).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
 
 
 def chosen(staged: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
@@ -184,16 +186,15 @@ def mixed(
 
     `members` is a column of one source or of a list of sources.
     """
-    staged = written(sized(df, members, text, doc_id, seed).withColumn("bucket", F.pmod("key", F.lit(BUCKETS))), "sized")
-    light = staged.drop("carried")
+    rows = sized(numbered(df), members, text, doc_id, seed)
+    light = written(rows.drop("carried"), "sized")
     plan = planned(light, weights, share, repeats)
     edges, extra = chosen(light, plan)
-    more = extra.withColumn("extra", F.lit(1))
     ends = plan.join(edges, "pattern", "left").drop("gap")
     # Everything below is decided where a row lies; `extra` holds rows of one bucket in BUCKETS and one per pattern.
     below = F.when(F.col("rest") == 0, False).otherwise(F.col("bucket") < F.col("edge"))
-    named = staged.join(F.broadcast(ends), "pattern").join(more, "row", "left")
-    copies = F.col("whole") + below.cast("int") + F.coalesce("extra", F.lit(0))
+    named = marked(rows.join(F.broadcast(ends), "pattern"), extra, "extra")
+    copies = F.col("whole") + below.cast("int") + F.col("extra").cast("int")
     return named.select(
         "carried", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies")
     )

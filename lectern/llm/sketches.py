@@ -4,7 +4,7 @@ A shingle is a run of SHINGLE code points. Since the threshold is the same for a
 together is the union of their fingerprints, and the part of a small one that lies in a large one estimates
 containment, however unequal the texts are. Where no hash is below the threshold the least one stands alone, so that only
 the empty text has an empty fingerprint; a union drops it as soon as another hash is below the threshold. The fingerprint is
-written as its sorted 32-bit hashes in base 64.
+written as its sorted 64-bit hashes in base 64, from which `read_back`, `together` and `contained` go on.
 
 For the text that follows in descending order of ids, rows are dealt to ranges of ids; the first row of each range also
 goes to the range before it, and each range is passed once in order.
@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.arrays import mixed, powers, prefix_hashes, slices
 from lectern.llm.data import partitions, text_of
@@ -73,7 +74,27 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written_out(found: np.ndarray) -> str:
-    return base64.b64encode(np.unique((found & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes()).decode()
+    return base64.b64encode(np.unique(found).astype("<u8").tobytes()).decode()
+
+
+def read_back(fingerprint: str | None) -> np.ndarray:
+    """The hashes of a written fingerprint, none of a NULL one."""
+    return np.frombuffer(base64.b64decode(fingerprint or ""), "<u8").astype(np.uint64)
+
+
+@F.pandas_udf(T.StringType())
+def together(fingerprints_: pd.Series) -> str:
+    """An aggregate: the fingerprint of the texts of a group together, from their written fingerprints."""
+    found = np.empty(0, np.uint64)
+    for fingerprint in fingerprints_:
+        found = merged(found, read_back(fingerprint))
+    return written_out(found)
+
+
+@F.pandas_udf(T.DoubleType())
+def contained(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How much of the text with fewer hashes lies in the other, from their written fingerprints."""
+    return pd.Series([containment(read_back(x), read_back(y)) for x, y in zip(a, b)], dtype=float)
 
 
 def edited_hashes(own: np.ndarray, text: str, after: np.ndarray, next_text: str, size: int = SHINGLE) -> tuple[str, np.ndarray]:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from conftest_llm import AWKWARD
 
 from lectern.llm import chats, language, sketches, toxicity
@@ -141,6 +142,37 @@ def test_sketches(documents):
     assert set(sketches.merged(*(sketches.kept(sketches.hashes(t)) for t in (x, y)))) <= set(sketches.kept(sketches.hashes(x + y)))
 
 
+def plain_sketch(text, size=10, fraction=16):
+    """Shingles of a text whose hash is below the fraction, by sets of strings and one hash at a time."""
+    runs = {text[i : i + size] for i in range(max(len(text) - size + 1, 1))} if text else set()
+    values = {int(sketches.hashes(run, size)[0]) for run in runs}
+    below = {v for v in values if v < (1 << 64) // fraction}
+    return below or ({min(values)} if values else set())
+
+
+def test_stored_sketches_merge_and_contain(spark, documents):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé日") for _ in range(5)) for _ in range(400)]
+    long = " ".join(rng.choices(words, k=3000))
+    rows = [(1, long), (2, long[4000:6000]), (3, " ".join(rng.choices(words, k=300))), (4, "tiny"), (5, ""), (6, None), (7, long[100:130])]
+    stored = sketches.fingerprints(documents(rows)).select("doc_id", "fingerprint")
+    found = {r["doc_id"]: set(sketches.read_back(r["fingerprint"]).tolist()) for r in stored.collect()}
+    assert found == {d: plain_sketch(t or "") for d, t in rows}
+    groups = stored.selectExpr("doc_id % 2 as part", "fingerprint").groupBy("part").agg(sketches.together("fingerprint").alias("whole"))
+    for row in groups.collect():
+        values = set().union(*(found[d] for d, _ in rows if d % 2 == row["part"]))
+        below = {v for v in values if v < (1 << 64) // 16}
+        assert set(sketches.read_back(row["whole"]).tolist()) == (below or {min(values)})
+    pairs = stored.alias("a").join(stored.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).select(
+        F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), sketches.contained("a.fingerprint", "b.fingerprint").alias("part")
+    )
+    got = {(r["x"], r["y"]): r["part"] for r in pairs.collect()}
+    assert got[1, 2] > 0.95 and got[1, 3] < 0.2 and got[5, 6] == 1.0 and got[1, 5] == 0.0
+    for (x, y), part in got.items():
+        a, b = found[x], found[y]
+        assert part == (len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b)))
+
+
 def test_chats(spark):
     def log(conv, *turns):
         return [(conv, i, "user" if i % 2 == 0 else None, text) for i, text in enumerate(turns)]

@@ -83,6 +83,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
+def write_index(spark: SparkSession, path: str) -> None:
+    """Beside the files at `path`: one row per file with its first and last id and the ids before it, from metadata columns alone."""
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    bounds = rows.groupBy(F.col("_metadata.file_name").alias("file"), "shard").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("start") + F.col("n_tokens")).alias("size")
+    )
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    bounds.select("file", "first", "last", before.alias("before")).coalesce(1).write.mode("overwrite").parquet(f"{path}-index")
+
+
+def read_some(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The rows of `read` with these ids, from the files that the index says may hold them; inside a file, row groups and pages
+    without one of the ids are passed over."""
+    if not ids:
+        return read(spark, path).limit(0)
+    index = spark.read.parquet(f"{path}-index")
+    covers = [F.col("first").isNotNull() & F.lit(i).between(F.col("first"), F.col("last")) for i in (min(ids), max(ids))]
+    wide = index.where(covers[0] | covers[1] | F.col("first").between(min(ids), max(ids))).collect()  # a row per file
+    named = [row for row in wide if any(row["first"] <= i <= row["last"] for i in ids)]
+    if not named:
+        return read(spark, path).limit(0)
+    rows = spark.read.schema(SCHEMA).parquet(*(f"{path}/{row['file']}" for row in named)).where(F.col("doc_id").isin(ids))
+    before = spark.createDataFrame([(row["file"], row["before"]) for row in named], "file string, before long")
+    joined = rows.withColumn("file", F.col("_metadata.file_name")).join(F.broadcast(before), "file")
+    return joined.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+
+
 def checksums(df: DataFrame) -> DataFrame:
     """The `ids` column of `df` replaced by the crc32 of the ids as little-endian 32-bit integers."""
 

@@ -77,3 +77,23 @@ def test_files(spark, library, awkward):
 def test_empty_table(spark, awkward):
     none = awkward.where("false")
     assert token_files.round_trip(none, PATH).count() == 0 and bpe.round_trip(none, PATH).count() == 0
+
+
+def test_some_documents_are_read_from_their_files_only(spark, documents, tmp_path):
+    rows = [(i, f"document number {i} " * (i % 7)) for i in range(400)] + [(None, "without"), (5, "again")]
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(documents(rows), path, PATH)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    token_files.write_index(spark, path)
+    whole = {(r["doc_id"], r["start"]): (r["n_tokens"], r["ids"]) for r in token_files.read(spark, path).collect()}
+    for wanted in ([5], [0, 399], [17, 18, 250], [1_000], []):
+        found = token_files.read_some(spark, path, wanted)
+        got = {(r["doc_id"], r["start"]): (r["n_tokens"], r["ids"]) for r in found.collect()}
+        assert got == {k: v for k, v in whole.items() if k[0] in wanted}
+    one = token_files.read_some(spark, path, [250])
+    assert len(one.inputFiles()) == 1 < len(token_files.read(spark, path).inputFiles())
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(doc_id,250)" in plan.replace("In(doc_id, [250])", "EqualTo(doc_id,250)")

@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrays import releasing, slices
-from lectern.llm.data import held_out, packed, text_of
+from lectern.llm.data import held_out, text_of
+from lectern.llm.rows import numbered, without
 from lectern.llm.wordtable import Ragged, WordTable
 from lectern.sources.storage import written
 
@@ -43,7 +43,7 @@ STEPS = 400
 BEGINNINGS = (4, 5, 6)   # letters
 REMEMBERED = 1 << 18     # costs that a task remembers
 RUN = 3                  # single letters in a row that may be a word
-LONGEST = 4096           # characters of a lattice; longer ones go on as another
+SETTLED = 4096           # characters of a lattice after which what all open paths share is settled
 
 # Letters that signs may stand for.
 SIGNS = {
@@ -62,11 +62,15 @@ LETTER = (1 << 21) - 1  # of packed letters, the last one
 
 
 class Counts:
-    """How often letters, packed into a number, occur: sorted arrays."""
+    """How often letters, packed into a number, occur: sorted arrays. Numbers that are in order are not sorted again."""
 
     def __init__(self, packed_: np.ndarray, times: np.ndarray):
-        self.keys, where = np.unique(packed_, return_inverse=True)
-        self.times = np.bincount(where, times, minlength=len(self.keys))
+        if (packed_[1:] < packed_[:-1]).any():
+            order = np.argsort(packed_, kind="stable")
+            packed_, times = packed_[order], times[order]
+        first = np.flatnonzero(np.append(True, packed_[1:] != packed_[:-1])[: len(packed_)])
+        self.keys = packed_ if len(first) == len(packed_) else packed_[first]
+        self.times = times if len(first) == len(packed_) else np.add.reduceat(times, first)
 
     def of(self, key: int) -> float:
         at = int(np.searchsorted(self.keys, key))
@@ -80,8 +84,9 @@ class Characters:
         self.doubled = doubled
         self.three = Counts(triples, times)
         triples, times = self.three.keys, self.three.times
-        self.two, self.one = Counts(triples & ((LETTER << 21) | LETTER), times), Counts(triples & LETTER, times)
-        self.after_two, self.after_one = Counts(triples >> 21, times), Counts((triples >> 21) & LETTER, times)
+        self.two, self.after_two = Counts(triples & ((LETTER << 21) | LETTER), times), Counts(triples >> 21, times)
+        self.one = Counts(self.two.keys & LETTER, self.two.times)
+        self.after_one = Counts(self.after_two.keys & LETTER, self.after_two.times)
         self.total = float(times.sum())
         self.kept: dict[str, float] = {}
 
@@ -106,9 +111,14 @@ class Characters:
         return [(EDGE, 0.0), ("", NOISE), *((letter, STAND_IN) for letter in SIGNS.get(sign, ""))]
 
     def restored(self, text: str) -> str:
-        """The cheapest path through the lattice of `text`: letters, with EDGE between words."""
+        """The cheapest path through the lattice of `text`: letters, with EDGE between words. However long the text is, only what
+        open paths do not share is kept of them."""
         paths: dict[tuple[str, str], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+        before: list[str] = []
         for i in range(len(text)):
+            if i and i % SETTLED == 0:
+                shared, paths = settled(paths)
+                before += shared
             found: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in paths.items():
                 for letter, extra in self.options(text, i):
@@ -126,7 +136,7 @@ class Characters:
         while path is not None:
             path, letter = path
             letters.append(letter)
-        return "".join(reversed(letters))
+        return "".join([*before, *reversed(letters)])
 
     def plain(self, word: str) -> str:
         """A word of letters, without the doubled ones that the corpus mostly has once."""
@@ -135,16 +145,36 @@ class Characters:
         return self.single_letters(word)
 
     def single_letters(self, word: str) -> str:
-        return "".join(self.restored(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
+        return self.restored(word)
 
     def words(self, token: str) -> list[str]:
         """The words a token stands for."""
         token = token.lower()
         if not SUSPECT.search(token):
             return [self.plain(w) for w in LETTERS.findall(token)]
-        parts = [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
         plain = [self.plain(w) for w in LETTERS.findall(token) if not SUSPECT.search(w)]
-        return plain + [w for part in parts for w in self.restored(part).split(EDGE) if w]
+        return plain + [w for w in self.restored(token).split(EDGE) if w]
+
+
+def settled(paths: dict) -> tuple[list[str], dict]:
+    """The letters with which all open paths begin, and the paths without them."""
+    chains = []
+    for _, way in paths.values():
+        chain = []
+        while way is not None:
+            chain.append(way)
+            way = way[0]
+        chains.append(chain[::-1])
+    n = 0
+    while all(len(chain) > n and chain[n] is chains[0][n] for chain in chains):
+        n += 1
+    rest = {}
+    for (state, (cost, _)), chain in zip(paths.items(), chains):
+        way = None
+        for _, letter in chain[n:]:
+            way = (way, letter)
+        rest[state] = (cost, way)
+    return [letter for _, letter in chains[0][:n]], rest
 
 
 def mark(word: str) -> int:
@@ -204,50 +234,42 @@ class Tokens(WordTable):
         cuts = np.flatnonzero((np.diff(run) != 1) | (of[run[1:]] != of[run[:-1]])) + 1
         more, owner = [], []
         for part in np.split(run, cuts):
-            for at in range(0, len(part) if len(part) >= RUN else 0, LONGEST):
-                line = " ".join(map(chr, chars[part[at : at + LONGEST]].tolist()))
-                words = self.characters.restored(line).split(EDGE)
-                found = [v for w in words if len(w) > 1 for f in features(w) if (v := self.value(f)) is not None]
-                more += found
-                owner += [int(of[part[0]])] * len(found)
+            if len(part) < RUN:
+                continue
+            words = self.characters.restored(" ".join(map(chr, chars[part].tolist()))).split(EDGE)
+            found = [v for w in words if len(w) > 1 for f in features(w) if (v := self.value(f)) is not None]
+            more += found
+            owner += [int(of[part[0]])] * len(found)
         return np.concatenate([values, more]), np.concatenate([text, np.array(owner, np.int64)])
 
 
-class Trigrams(WordTable):
-    """Per distinct token the triples of code points of its letters, packed into a number each."""
+def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The triples of code points of words between EDGEs, packed into a number each, and how many each word has."""
+    line = "".join(f"{EDGE}{EDGE}{word}{EDGE}" for word in words)
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(word) + 3 for word in words], np.int64)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    three = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    return three[inside[:-2]], sizes - 2
 
-    def forget(self) -> None:
-        self.packed = Ragged(np.int64)
-
-    def fresh(self, tokens: list[str]) -> None:
-        lower = [token.lower() if token.isalpha() else "" for token in tokens]
-        line = "".join(f"{EDGE}{EDGE}{word}{EDGE}" for word in lower)
-        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
-        sizes = np.array([len(word) + 3 for word in lower])
-        inside = np.ones(len(codes), bool)
-        ends = np.cumsum(sizes)
-        inside[ends - 1] = inside[ends - 2] = False
-        three = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-        self.packed.add(three[inside[:-2]], sizes - 2)
 
-
-def trigrams(rows: DataFrame) -> DataFrame:
-    """(letters, times): how often three letters or EDGEs, packed, follow each other in words of letters, over all texts."""
+def trigrams(known: DataFrame) -> DataFrame:
+    """(letters, times): how often three letters or EDGEs, packed, follow each other in the tokens of letters of a vocabulary."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Trigrams()
         keys, times = np.empty(0, np.int64), np.empty(0, np.float64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                used, n = np.unique(table.places(part.column(0))[0], return_counts=True)
-                found, before = table.packed.gathered(used)
-                keys = np.concatenate([keys, found])
-                times = np.concatenate([times, np.repeat(n, np.diff(before))])
-                keys, where = np.unique(keys, return_inverse=True)
-                times = np.bincount(where, times)
+            found, sizes = triples(batch.column(0).to_pylist())
+            keys = np.concatenate([keys, found])
+            times = np.concatenate([times, np.repeat(batch.column(1).to_numpy(), sizes)])
+            keys, where = np.unique(keys, return_inverse=True)
+            times = np.bincount(where, times)
         yield pa.RecordBatch.from_pydict({"letters": pa.array(keys), "times": pa.array(times, pa.float64())})
 
-    return rows.select("text").mapInArrow(releasing(task), "letters long, times double").groupBy("letters").agg(F.sum("times").alias("times"))
+    alone = known.where("alone > 0").select("word", "alone")
+    return alone.mapInArrow(releasing(task), "letters long, times double").groupBy("letters").agg(F.sum("times").alias("times"))
 
 
 def sent(numbers: DataFrame, chunk: int) -> list[Broadcast]:
@@ -274,7 +296,7 @@ class Vocabulary(WordTable):
     """The distinct tokens of a task and how often they were met."""
 
     def __init__(self):
-        self.full: list[Counter] = []
+        self.full: list[dict[str, list[float]]] = []
         self.tokens: list[str] = []
         super().__init__(1 << 17)
 
@@ -287,23 +309,28 @@ class Vocabulary(WordTable):
         self.tokens += tokens
         self.times = np.concatenate([self.times, np.zeros(len(tokens))])
 
-    def words(self) -> Counter:
-        found: Counter = Counter()
+    def words(self) -> dict[str, list[float]]:
+        """How often each run of letters was met, and how often as a token of letters only."""
+        found: dict[str, list[float]] = {}
         for token, times in zip(self.tokens, self.times.tolist()):
-            for word in LETTERS.findall(token.lower()):
-                found[word] += times
+            lower = token.lower()
+            for word in LETTERS.findall(lower):
+                found.setdefault(word, [0.0, 0.0])[0] += times
+            if token.isalpha():
+                found.setdefault(lower, [0.0, 0.0])[1] += times
         return found
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word, times): how often each run of letters occurs, over all texts."""
+    """(word, times, alone): how often each run of letters occurs, and how often as a token of letters only, over all texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Vocabulary()
 
-        def counted(words: Counter) -> pa.RecordBatch:
-            columns = [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.float64())]
-            return pa.RecordBatch.from_arrays(columns, ["word", "times"])
+        def counted(words: dict[str, list[float]]) -> pa.RecordBatch:
+            times, alone = zip(*words.values()) if words else ((), ())
+            columns = [pa.array(list(words), pa.string()), pa.array(times, pa.float64()), pa.array(alone, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "times", "alone"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -313,10 +340,11 @@ def vocabulary(rows: DataFrame) -> DataFrame:
                     yield counted(table.full.pop())
         yield counted(table.words())
 
-    return rows.select("text").mapInArrow(releasing(task), "word string, times double").groupBy("word").agg(F.sum("times").alias("times"))
+    counts = rows.select("text").mapInArrow(releasing(task), "word string, times double, alone double")
+    return counts.groupBy("word").agg(F.sum("times").alias("times"), F.sum("alone").alias("alone"))
 
 
-def doubled(rows: DataFrame, model: Model) -> DataFrame:
+def doubled(known: DataFrame, model: Model) -> DataFrame:
     """(word, times): marks of words with a doubled letter that occur less often than what they are restored to."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,19 +358,21 @@ def doubled(rows: DataFrame, model: Model) -> DataFrame:
             kinds = (pa.int64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["mark", "times", "other"])
 
-    known = written(vocabulary(rows), "vocabulary")
+    known = known.where("times > 0").select("word", "times")
     found = known.mapInArrow(releasing(task), "mark long, times double, other string")
     more = known.select(F.col("word").alias("other"), F.col("times").alias("more"))
     return found.join(more, "other").where("more > times").select("mark", "times")
 
 
 class Model:
-    """The character model, and the words that lose doubled letters, as they are sent."""
+    """The character model, and the words that lose doubled letters, as they are sent: in order, so that a task does not
+    sort them. Both come from one vocabulary, which one pass over the texts counts."""
 
     def __init__(self, rows: DataFrame, chunk: int = CHUNK):
+        known = written(vocabulary(rows), "vocabulary")
         self.doubled: list[Broadcast] = []
-        self.chunks = sent(trigrams(rows), chunk)
-        self.doubled = sent(doubled(rows, self), chunk)
+        self.chunks = sent(trigrams(known).orderBy("letters"), chunk)
+        self.doubled = sent(doubled(known, self).orderBy("mark"), chunk)
 
     def characters(self) -> Characters:
         return Characters(*received(self.chunks), Counts(*received(self.doubled)))
@@ -476,15 +506,16 @@ def scored(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
 
 
 def accepted(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `df` with a score below LEAST, all columns."""
+    """The rows of `df` with a score below LEAST, all columns. Only the numbers of the others leave the tasks that score."""
     model, shared = fitted(texts_of(df, text, doc_id), labels)
+    rows = numbered(df)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
         tokens = Tokens(model.characters(), scorer.known.get)
         for batch in batches:
-            for part in slices(batch, "scored"):
-                yield part.filter(pa.array(scorer.scores(tokens, part.column(1)) < LEAST)).select([0])
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(scorer.scores(tokens, part.column(1)) >= LEAST)).select([0])
 
-    carried = df.select(packed(df), text_of(text).alias("scored"))
-    return carried.mapInArrow(releasing(task), carried.select("carried").schema).select("carried.*")
+    scored_ = rows.select("row", text_of(f"carried.`{text}`").alias("text"))
+    return without(rows, written(scored_.mapInArrow(releasing(task), "row long"), "toxic")).select("carried.*")

@@ -11,3 +11,8 @@ def titles(spark, small):
 def test_media_urls_title_books_by_their_texts(spark, small):
     found = {r["id"]: r["title"] for r in QUERIES["media_urls"](spark, small).collect()}
     assert found == titles(spark, small)
+
+
+def test_transform_new_titles_books_by_their_texts(spark, small):
+    found = {r["id"]: r["title"] for r in QUERIES["transform_new"](spark, small).collect()}
+    assert found and found == {number: title for number, title in titles(spark, small).items() if number in found}

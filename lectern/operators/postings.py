@@ -39,6 +39,7 @@ BLOCK_WORDS = 1 << 20       # words of a block, a single longer book aside
 QUESTIONS_PER_TASK = 2_048  # questions that meet a block in one task
 SCORES_PER_STEP = 4_000_000
 MARGIN = 1e-9               # scores are ranked to this precision
+ALL = 1 << 62               # more books than a block holds
 
 LISTS = ["ids", "tfs", "lengths"]
 NUMBERS = ["max_tf", "min_length", "books", "words"]
@@ -244,6 +245,25 @@ def bm25_top(
     return _ranked(opened.unionByName(score(rest.select("query_id", "block"))), n)
 
 
+def bm25_all(
+    queries: DataFrame,
+    index: Index,
+    k1: float = K1,
+    b: float = B,
+    epsilon: float = EPSILON,
+    per_task: int = QUESTIONS_PER_TASK,
+) -> DataFrame:
+    """(query_id, id, bm25_score): every book that shares a word with a question, each block scored by itself.
+
+    Rows of an id that several blocks hold are added up.
+    """
+    pairs, score = _prepared(queries, index, ALL, k1, b, epsilon, per_task)
+    scored = score(pairs.select("query_id", "block"))
+    if index.books().groupBy("id").count().where("count > 1").isEmpty():
+        return scored
+    return scored.groupBy("query_id", "id").agg(F.sum("bm25_score").alias("bm25_score"))
+
+
 def _ranked(found: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

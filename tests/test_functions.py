@@ -118,3 +118,20 @@ def test_weighted_distance(spark):
 def test_vector_text_round_trip(spark):
     assert one(spark, "[0.5, -1.25]", vectors.parse_vector) == [0.5, -1.25]
     assert one(spark, [0.5, -1.25], vectors.to_json_vector, "array<float>") == "[0.5,-1.25]"
+
+
+def test_vectors_are_handed_on_some_texts_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import embedding
+
+    lists = [[n, -n, 1 << 33] for n in range(600)] + [[]]
+    found = list(embedding.added_up(iter([pa.array(lists, pa.list_(pa.int64()))]), 8))
+    assert [len(part) for part in found] == [256, 256, 89]
+    vectors = [v for part in found for v in part.to_pylist()]
+    for own, vector in zip(lists, vectors):
+        want = np.zeros(8)
+        for h in own:
+            want[h % 8] += -1 if (h >> 32) & 1 else 1
+        assert np.allclose(vector, want / (np.linalg.norm(want) or 1))

@@ -145,6 +145,37 @@ def indexed(books: DataFrame, **settings) -> Index:
     return Index(rows, written(stats_of(rows), "corpus"))
 
 
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, term, ids, tfs, lengths, gone) of postings without the books named in `gone`, a list that all rows of a block
+    share; a term that no book is left of goes, the row of the empty term stays."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, term, gone = (batch.column(c) for c in ("block", "term", "gone"))
+        ids, tfs, lengths = (batch.column(c).flatten() for c in LISTS)
+        size = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(size)
+        number = block.to_numpy(zero_copy_only=False)
+        keep = pc.is_valid(ids).to_numpy(zero_copy_only=False).copy()
+        first = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist()
+        for a, z in zip(first, [*first[1:], len(number)]):
+            low, high = end[a] - size[a], end[z - 1]
+            keep[low:high] &= ~pc.is_in(ids.slice(low, high - low), value_set=gone[a].values).to_numpy(zero_copy_only=False)
+        before = np.append(0, np.cumsum(keep))
+        left = before[end] - before[end - size]
+        offsets = np.append(0, np.cumsum(left))
+        ids, tf, length = ids.filter(pa.array(keep)), tfs.to_numpy()[keep], lengths.to_numpy()[keep]
+        whole, some = pc.equal(term, "").to_numpy(zero_copy_only=False), left > 0
+        most, least = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        if some.any():
+            most[some], least[some] = np.maximum.reduceat(tf, offsets[:-1][some]), np.minimum.reduceat(length, offsets[:-1][some])
+        sums = np.append(0, np.cumsum(np.where(np.repeat(whole, left), length, tf), dtype=np.int64))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (ids, pa.array(tf, pa.int32()), pa.array(length, pa.int32()))]
+        numbers = [pa.array(x, pa.int32()) for x in (most, least, left)] + [pa.array(sums[offsets[1:]] - sums[offsets[:-1]])]
+        out = pa.RecordBatch.from_arrays([block, term, *lists, *numbers], ["block", "term", *LISTS, *NUMBERS])
+        yield out.filter(pa.array(some | whole))
+
+
 def updated(index: Index, added: DataFrame, removed: DataFrame, **settings) -> Index:
     """The index after the books of `added` came and those named in `removed` (id) left.
 
@@ -159,17 +190,7 @@ def updated(index: Index, added: DataFrame, removed: DataFrame, **settings) -> I
     touched = written(touched, "touched-blocks")
     few = F.broadcast(touched) if fits(touched) else touched
     before = index.postings.join(few, "block")
-    entries = F.filter(F.arrays_zip("ids", "tfs", "lengths"), lambda e: ~F.array_contains("gone", e["ids"]))
-    after = before.select("block", "term", entries.alias("entries")).where((F.size("entries") > 0) | (F.col("term") == ""))
-    after = after.select("block", "term", *(F.col("entries")[c].alias(c) for c in LISTS))
-    counted = F.when(F.col("term") == "", F.col("lengths")).otherwise(F.col("tfs"))
-    after = after.select(
-        "*",
-        F.coalesce(F.array_max("tfs"), F.lit(0)).alias("max_tf"),
-        F.coalesce(F.array_min("lengths"), F.lit(0)).alias("min_length"),
-        F.size("ids").alias("books"),
-        F.aggregate(counted, F.lit(0).cast("long"), lambda a, x: a + x).alias("words"),
-    )
+    after = before.select("block", "term", *LISTS, "gone").mapInArrow(_left_over, fresh.schema)
     changed = written(after.unionByName(fresh), "postings")
     signed = [index.stats, stats_of(changed), stats_of(before.drop("gone")).select("term", (-F.col("df")).alias("df"), (-F.col("length")).alias("length"))]
     sums = signed[0].unionByName(signed[1]).unionByName(signed[2])

@@ -123,3 +123,26 @@ def test_empty_corpus_and_no_questions(spark, questions):
     assert postings.bm25_top(questions.where("false"), postings.indexed(df)).count() == 0
     pairs = questions.selectExpr("query_id", "1 as id")
     assert postings.pair_scores(pairs, questions, empty).count() == 0
+
+
+def test_books_that_left_are_taken_out_block_by_block():
+    import pyarrow as pa
+
+    rows = [  # (block, term, ids, tfs, lengths, gone); repeated and missing ids, blocks in turn
+        (1, "", [1, 2, 2, 3], [0, 0, 0, 0], [5, 6, 7, 8], [2, 9]),
+        (1, "a", [2, 3], [4, 1], [6, 8], [2, 9]),
+        (2, "b", [2, 9], [1, 2], [3, 4], [9]),
+        (1, "c", [2], [1], [7], [2, 9]),
+        (2, "", [9, None], [0, 0], [4, 4], [9]),
+    ]
+    names = ["block", "term", "ids", "tfs", "lengths", "gone"]
+    numbers = pa.list_(pa.int32())
+    kinds = [pa.int64(), pa.string(), numbers, numbers, numbers, numbers]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    found = [tuple(r.values()) for out in postings._left_over(iter([batch.slice(0, 0), batch])) for r in out.to_pylist()]
+    assert found == [
+        (1, "", [1, 3], [0, 0], [5, 8], 0, 5, 2, 13),
+        (1, "a", [3], [1], [8], 1, 8, 1, 1),
+        (2, "b", [2], [1], [3], 1, 3, 1, 1),
+        (2, "", [], [], [], 0, 0, 0, 0),
+    ]

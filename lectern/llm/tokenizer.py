@@ -42,6 +42,18 @@ def special(path: str) -> tuple[str, int] | None:
     return None
 
 
+@lru_cache(maxsize=2)
+def piece_ends(path: str) -> np.ndarray | None:
+    """Which ids end a piece, for a tokenizer whose tokens show it; None for others."""
+    suffix = getattr(loaded(path).model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    known = loaded(path).get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(known.values()) + 1, bool)
+    ends[[i for token, i in known.items() if token.endswith(suffix)]] = True
+    return ends
+
+
 @contextmanager
 def bare(encoder) -> Iterator[None]:
     """The tokenizer without its normaliser and pattern, for words that they leave as they are."""
@@ -61,28 +73,50 @@ class WordIds(WordTable):
     """Ids of texts from the ids of their words."""
 
     def __init__(self, path: str):
-        self.encoder, self.mark = loaded(path), special(path)
+        self.encoder, self.mark, self.last = loaded(path), special(path), piece_ends(path)
         super().__init__(1 << 20)
 
     def forget(self) -> None:
         self.ids = Ragged(np.int32)
 
     def fresh(self, words: list[str]) -> None:
-        plain = [word for word in words if PLAIN.fullmatch(word)]
+        plain = np.fromiter((PLAIN.fullmatch(word) is not None for word in words), bool, len(words))
+        if self.last is None:
+            plain[:] = False
+        sizes = np.zeros(len(words), np.int64)
+        ids, sizes[plain] = self.of_plain([word for word, alike in zip(words, plain.tolist()) if alike])
+        others, sizes[~plain] = self.of_others([word for word, alike in zip(words, plain.tolist()) if not alike])
+        out = np.empty(len(ids) + len(others), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids, others
+        self.ids.add(out, sizes)
+
+    def of_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that are one piece each, and how many each has: a piece ends with the only token that may end one."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        with bare(self.encoder):
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+    def of_others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         found: dict[str, np.ndarray] = {}
-        if plain and self.mark is not None:
-            with bare(self.encoder):
-                found |= self.of_line(plain)
-        if len(found) < len(words):
-            rest = [word for word in words if word not in found]
-            alone = [word for word in rest if self.mark is None or ODD.search(word)]
-            encoded = self.encoder.encode_batch_fast(alone, add_special_tokens=False)
-            found |= {word: np.array(e.ids, np.int32) for word, e in zip(alone, encoded)}
-            line = [word for word in rest if word not in found]
-            if line:
-                found |= self.of_line(line)
+        if self.mark is not None:
+            plain = [word for word in words if PLAIN.fullmatch(word)]
+            if plain:
+                with bare(self.encoder):
+                    found |= self.of_line(plain)
+        rest = [word for word in words if word not in found]
+        alone = [word for word in rest if self.mark is None or ODD.search(word)]
+        encoded = self.encoder.encode_batch_fast(alone, add_special_tokens=False)
+        found |= {word: np.array(e.ids, np.int32) for word, e in zip(alone, encoded)}
+        line = [word for word in rest if word not in found]
+        if line:
+            found |= self.of_line(line)
         lists = [found[word] for word in words]
-        self.ids.add(np.concatenate(lists), np.array([len(ids) for ids in lists]))
+        return np.concatenate(lists), np.array([len(ids) for ids in lists])
 
     def of_line(self, words: list[str]) -> dict[str, np.ndarray]:
         """Ids of words that are encoded in one line, with a mark between them."""

@@ -97,3 +97,24 @@ def test_some_documents_are_read_from_their_files_only(spark, documents, tmp_pat
     assert len(one.inputFiles()) == 1 < len(token_files.read(spark, path).inputFiles())
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(doc_id,250)" in plan.replace("In(doc_id, [250])", "EqualTo(doc_id,250)")
+
+
+def test_plain_words_of_a_task_are_encoded_without_marks_between_them(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+    from lectern.llm.tokenizer import WordIds, loaded
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["the water supply", "", "été Water, WATER's 12 supply zzqxj é", "中文 the <|endoftext|> of  x\ty", "naïve!! a"]
+    marked = []
+    of_line = WordIds.of_line
+    monkeypatch.setattr(WordIds, "of_line", lambda self, words: marked.extend(words) or of_line(self, words))
+    words = WordIds(path)
+    ids, counts = words.encode(pa.array(texts), 1)
+    whole = [[*loaded(path).encode(text, add_special_tokens=False).ids, 1] for text in texts]
+    assert [ids[a:b].tolist() for a, b in zip(counts, counts[1:])] == whole
+    assert not {"the", "water", "supply", "été"} & set(marked)
+    words.last = None  # a tokenizer whose tokens do not show where a piece ends
+    assert words.of_others(["the", "mn"])[0].tolist() == words.of_line(["the"])["the"].tolist() + words.of_line(["mn"])["mn"].tolist()
+    more, counts = words.encode(pa.array(["gathering the harvest"]))
+    assert more.tolist() == loaded(path).encode("gathering the harvest", add_special_tokens=False).ids

@@ -52,7 +52,9 @@ SIGNS = {
 }
 STAND_IN, REPEATED, NOISE = 1.5, 1.0, 1.0  # costs of the channel, as negative logs
 EDGE = "#"
+EDGES = (EDGE, EDGE)
 LETTERS = re.compile(r"[^\W\d_]+")
+MARKS = ".,;:!?"
 PIECES = re.compile(r"[^.,;:?!]+|!")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][\W\d_]+[^\W\d_]|[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$|+€£]")
@@ -113,23 +115,29 @@ class Characters:
     def restored(self, text: str) -> str:
         """The cheapest path through the lattice of `text`: letters, with EDGE between words. However long the text is, only what
         open paths do not share is kept of them."""
-        paths: dict[tuple[str, str], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+        kept = self.kept
+        paths: dict[tuple[str, str], tuple[float, tuple | None]] = {EDGES: (0.0, None)}
         before: list[str] = []
         for i in range(len(text)):
             if i and i % SETTLED == 0:
                 shared, paths = settled(paths)
                 before += shared
             found: dict[tuple[str, str], tuple[float, tuple | None]] = {}
-            for (a, b), (cost, path) in paths.items():
-                for letter, extra in self.options(text, i):
+            options = self.options(text, i)
+            for here, (cost, path) in paths.items():
+                a, b = here
+                for letter, extra in options:
                     if letter == "" or (letter == EDGE and b == EDGE):
-                        state, total, way = (a, b), cost + extra, path
-                    else:
-                        total, way = cost + extra + self.cost(a, b, letter), (path, letter)
-                        state = (EDGE, EDGE) if letter == EDGE else (b, letter)
+                        best = found.get(here)
+                        if best is None or cost + extra < best[0]:
+                            found[here] = (cost + extra, path)
+                        continue
+                    step = kept.get(a + b + letter)
+                    total = cost + extra + (self.cost(a, b, letter) if step is None else step)
+                    state = EDGES if letter == EDGE else (b, letter)
                     best = found.get(state)
                     if best is None or total < best[0]:
-                        found[state] = (total, way)
+                        found[state] = (total, (path, letter))
             paths = found
         ends = ((cost + (self.cost(a, b, EDGE) if b != EDGE else 0.0), path) for (a, b), (cost, path) in paths.items())
         path, letters = min(ends, key=lambda end: end[0])[1], []
@@ -150,6 +158,9 @@ class Characters:
     def words(self, token: str) -> list[str]:
         """The words a token stands for."""
         token = token.lower()
+        core = token.rstrip(MARKS)
+        if core.isalpha() and not DOUBLED.search(core):  # most tokens: nothing to restore
+            return [core]
         if not SUSPECT.search(token):
             return [self.plain(w) for w in LETTERS.findall(token)]
         plain = [self.plain(w) for w in LETTERS.findall(token) if not SUSPECT.search(w)]
@@ -197,7 +208,10 @@ def single(piece: str) -> int:
 def singles(token: str) -> list[int]:
     """`single` of each piece of a token between marks, where "!" inside may be a letter, too; [0] without pieces."""
     token = token.lower()
-    return [single(piece) for piece in PIECES.findall(token.rstrip(".,;:!?") or token)] or [0]
+    core = token.rstrip(MARKS)
+    if len(core) > 1 and core.isalpha():  # one piece of several letters
+        return [0]
+    return [single(piece) for piece in PIECES.findall(core or token)] or [0]
 
 
 class Tokens(WordTable):
@@ -314,6 +328,11 @@ class Vocabulary(WordTable):
         found: dict[str, list[float]] = {}
         for token, times in zip(self.tokens, self.times.tolist()):
             lower = token.lower()
+            if lower.isalpha() and token.isalpha():  # one run of letters
+                known = found.setdefault(lower, [0.0, 0.0])
+                known[0] += times
+                known[1] += times
+                continue
             for word in LETTERS.findall(lower):
                 found.setdefault(word, [0.0, 0.0])[0] += times
             if token.isalpha():

@@ -74,3 +74,17 @@ def test_counts_equal_plain_ones():
         assert counts.keys.tolist() == sorted(set(keys.tolist()))
         assert all(counts.of(int(k)) == times[keys == k].sum() for k in range(-1, 52))
     assert toxicity.Counts(np.empty(0, np.int64), np.empty(0)).of(3) == 0.0
+
+
+def test_ordinary_tokens_pass_without_looking_for_disguise(characters, monkeypatch):
+    model = characters
+    slow = {token: (model.words(token), toxicity.singles(token)) for token in ("İ", "a!", "k!ll", "aaa", "x.y", "...", "")}
+    assert slow["x.y"][1] == [ord("x"), ord("y")] and slow["aaa"][1] == [0] and slow["a!"][1] == [ord("a")]
+
+    def unexpected(*_):
+        raise AssertionError("looked at")
+
+    monkeypatch.setattr(toxicity, "single", unexpected)
+    monkeypatch.setattr(toxicity, "SUSPECT", None)
+    for token, word in (("Plain", "plain"), ("word,", "word"), ("ÉTAIT?!", "était")):
+        assert toxicity.singles(token) == [0] and model.words(token) == [word]

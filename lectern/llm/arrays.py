@@ -6,6 +6,7 @@ different short strings share a value with a chance of about 2 to the power of -
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 20
+LIGHT_SLICE_BYTES = 1 << 18  # where workers of several stages share an executor's memory
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -40,7 +42,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 .. n-1, modulo 2^64; kept, and made anew where more are asked for."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 3))
+        size = max(n, LIGHT_SLICE_BYTES) + (max(n, LIGHT_SLICE_BYTES) >> 3)
         for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             series = np.full(size, factor, np.uint64)
             series[0] = 1
@@ -66,11 +68,15 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def releasing(task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """`task`, after which Arrow gives back what it holds unused: the worker lives on beside the next stage's."""
+    """`task`, after which Arrow and the C library give back what they hold unused: the worker lives on beside the next
+    stage's."""
 
     def run(batches: Batches) -> Batches:
         yield from task(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
 
     return run
 

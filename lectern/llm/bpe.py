@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import releasing, slices
+from lectern.llm.arrays import LIGHT_SLICE_BYTES, releasing, slices
 from lectern.llm.data import text_of
 from lectern.llm.tokenizer import ODD, loaded
 from lectern.llm.wordtable import Ragged, WordTable
@@ -212,7 +212,7 @@ def digested(rows: DataFrame, tokenizer: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 n, ids, decoded = words.digests(part.column(1))
                 columns = [part.column(0), pa.array(n), pa.array(ids), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

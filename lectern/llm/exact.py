@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.arrays import releasing
 from lectern.llm.data import text_of
 from lectern.llm.rows import numbered, without
 from lectern.sources.storage import written
@@ -58,7 +59,7 @@ def summaries(digests: DataFrame, counters: int) -> DataFrame:
             {"digest": pa.array(list(counts), pa.binary()), "least": pa.array(list(counts.values()), pa.int64())}
         )
 
-    return digests.select("digest").mapInArrow(task, "digest binary, least long")
+    return digests.select("digest").mapInArrow(releasing(task), "digest binary, least long")
 
 
 def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -72,7 +73,7 @@ def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
     enough = rows.count() / counters
     found = verified.where(F.col("group_size") > enough)
-    return rows.sparkSession.createDataFrame(found.collect(), found.schema)
+    return written(found, "frequent")  # rows handed over as a Python list would start more workers on every executor
 
 
 def decided(staged: DataFrame, counters: int = COUNTERS) -> DataFrame:

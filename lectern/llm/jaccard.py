@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import graph
-from lectern.llm.arrays import as_long, mixed, shingles, slices, utf8, word_hashes, words
+from lectern.llm.arrays import LIGHT_SLICE_BYTES, as_long, mixed, releasing, shingles, slices, utf8, word_hashes, words
 from lectern.llm.data import text_of
 from lectern.llm.rows import numbered, without
 from lectern.sources.storage import written
@@ -65,7 +65,7 @@ def common(df: DataFrame, size: int, percent: int) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"shingle": pa.array(as_long(values[often])), "times": pa.array(times[often])})
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 found = [own[: kept(len(own), percent)] for own in sets_of(part, 0, size)[0]]
                 held += found
                 n += sum(map(len, found))
@@ -75,7 +75,7 @@ def common(df: DataFrame, size: int, percent: int) -> np.ndarray:
         if held:
             yield counted()
 
-    counts = df.select("text").mapInArrow(task, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    counts = df.select("text").mapInArrow(releasing(task), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = counts.orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
     return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -92,7 +92,7 @@ def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFr
         sorted_last = spread.value[by_value]
         sent: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 sets, flat = sets_of(part, 2, size)
                 n = np.array([len(s) for s in sets], np.int64)
                 ends = np.cumsum(n)
@@ -119,7 +119,7 @@ def prefixed(df: DataFrame, size: int, percent: int, last: np.ndarray) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "vertex", "prefix", "bits"])
 
     schema = "row long, doc_id long, n long, vertex long, prefix array<long>, bits binary"
-    return df.select("row", "doc_id", "text").mapInArrow(task, schema)
+    return df.select("row", "doc_id", "text").mapInArrow(releasing(task), schema)
 
 
 def digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def ties(base: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = base.select(F.posexplode("prefix").alias("place", "shingle"), "n", "vertex")
     rows = rows.select("shingle", "n", "vertex", (F.col("n") - F.col("place")).alias("left"))
     ordered = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "vertex")
-    tied = ordered.mapInArrow(task, "a long, b long, ask boolean").groupBy("a", "b").agg(F.min("ask").alias("ask"))
+    tied = ordered.mapInArrow(releasing(task), "a long, b long, ask boolean").groupBy("a", "b").agg(F.min("ask").alias("ask"))
     tied = written(tied.where("a <> b"), "ties")
     return tied.where("not ask").select("a", "b").unionByName(possible(tied.where("ask"), sets, percent))
 
@@ -191,7 +191,7 @@ def possible(tied: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("vertex").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
     two = sets.select(F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     rows = tied.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y")
-    return rows.mapInArrow(task, "a long, b long")
+    return rows.mapInArrow(releasing(task), "a long, b long")
 
 
 def slots(n: int) -> int:
@@ -280,7 +280,7 @@ def links(df: DataFrame, tiled: DataFrame, size: int, percent: int) -> DataFrame
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # copies without an id are sent once a task
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 sets, flat = sets_of(part, 0, size)
                 n = np.array([len(s) for s in sets], np.int64)
                 vertex = as_long(digests(flat, n)).tolist()
@@ -306,7 +306,7 @@ def links(df: DataFrame, tiled: DataFrame, size: int, percent: int) -> DataFrame
     if named.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
     rows = df.join(named, df["doc_id"] == named["named"], "left_semi").unionByName(df.where("doc_id is null"))
-    sets = rows.select("text").mapInArrow(arrays, "vertex long, members array<long>")
+    sets = rows.select("text").mapInArrow(releasing(arrays), "vertex long, members array<long>")
     return sets.join(tiled, "vertex").groupBy("component", "i", "j").applyInArrow(compared, "a long, b long")
 
 

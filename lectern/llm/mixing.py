@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,7 +126,11 @@ def planned(staged: DataFrame, weights: Iterable[float], share: float, repeats:
         whole, rest = divmod(taken, words) if words else (0, 0)
         out.append((row["pattern"], whole, rest, sizes[first], wanted[first]))
     schema = "pattern array<string>, whole long, rest long, source_size long, target double"
-    return staged.sparkSession.createDataFrame(out, schema)
+    # As an Arrow table: a list of rows would start more Python workers on every executor.
+    columns = [list(column) for column in zip(*out)] or [[]] * 5
+    kinds = [pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    table = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["pattern", "whole", "rest", "source_size", "target"])
+    return staged.sparkSession.createDataFrame(table, schema)
 
 
 def sized(rows: DataFrame, members: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:

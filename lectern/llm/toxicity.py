@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import releasing, slices
+from lectern.llm.arrays import LIGHT_SLICE_BYTES, releasing, slices
 from lectern.llm.data import held_out, text_of
 from lectern.llm.rows import numbered, without
 from lectern.llm.wordtable import Ragged, WordTable
@@ -296,7 +296,7 @@ def sent(numbers: DataFrame, chunk: int) -> list[Broadcast]:
             yield pa.RecordBatch.from_arrays([pa.array([column], pa.binary()) for column in columns], ["keys", "times"])
 
     stored = written(numbers, "numbers")
-    parts = stored.coalesce(max(1, math.ceil(stored.count() / chunk))).mapInArrow(task, "keys binary, times binary")
+    parts = stored.coalesce(max(1, math.ceil(stored.count() / chunk))).mapInArrow(releasing(task), "keys binary, times binary")
     context = numbers.sparkSession.sparkContext
     return [context.broadcast((bytes(row["keys"]), bytes(row["times"]))) for row in parts.toLocalIterator()]
 
@@ -352,7 +352,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["word", "times", "alone"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 places = table.places(part.column(0))[0]
                 table.times += np.bincount(places, minlength=len(table.times))
                 while table.full:
@@ -405,7 +405,7 @@ def evidence(rows: DataFrame, model: Model, deviations: float = DEVIATIONS) -> d
         tokens = Tokens(model.characters(), lambda feature: known.setdefault(feature, len(known)))
         with_it, toxic = np.zeros(0), np.zeros(0)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 values, text = tokens.texts(part.column(0))
                 flags = part.column(1).to_numpy()
                 pairs = np.unique(text * (len(known) + 1) + values.astype(np.int64))
@@ -443,7 +443,7 @@ def weighed(rows: DataFrame, model: Model, known: dict[str, int]) -> np.ndarray:
         found = shared.value
         tokens = Tokens(model.characters(), found.get)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 text, feature = evidence_of(tokens, part.column(0), len(found))
                 ends = np.searchsorted(text, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
@@ -511,7 +511,7 @@ def scored(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
         scorer = shared.value
         tokens = Tokens(model.characters(), scorer.known.get)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 score = scorer.scores(tokens, part.column(2))
                 columns = [part.column(0), part.column(1), pa.array(score), pa.array((score >= LEAST).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
@@ -533,7 +533,7 @@ def accepted(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         scorer = shared.value
         tokens = Tokens(model.characters(), scorer.known.get)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LIGHT_SLICE_BYTES):
                 yield part.filter(pa.array(scorer.scores(tokens, part.column(1)) >= LEAST)).select([0])
 
     scored_ = rows.select("row", text_of(f"carried.`{text}`").alias("text"))

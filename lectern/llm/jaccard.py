@@ -30,10 +30,11 @@ from lectern.sources.storage import written
 
 WORDS = 4
 PERCENT = 85
-COMMON = 1 << 16        # shingles that are put last, most frequent ones last of all
+COMMON = 1 << 20        # shingles that are put last, most frequent ones last of all: enough for those of more than FEW sets
+OFTEN = 4               # times a shingle is counted to be put last
 SEEN = 2                # times a shingle is met in a stretch of prefixes to be counted for that
 STRETCH = 1 << 21       # shingles of a stretch
-FEW = 8                 # sets at a shingle that are tied pair by pair
+FEW = 32                # sets at a shingle that are tied pair by pair; more of them make a group, linked or not
 TILE_BYTES = 16 << 20   # of arrays in a tile
 BROADCAST_ROWS = 1 << 20
 
@@ -76,7 +77,7 @@ def common(df: DataFrame, size: int, percent: int) -> np.ndarray:
             yield counted()
 
     counts = df.select("text").mapInArrow(releasing(task), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = counts.orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
+    top = counts.where(F.col("times") >= OFTEN).orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
     return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
@@ -155,13 +156,15 @@ def ties(base: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             run = np.cumsum(new)
             long = (length > FEW) & (first != vertex)
             found = [(vertex[long], first[long], np.zeros(int(long.sum()), bool))]
+            i = np.flatnonzero((length > 1) & (length <= FEW))
             for step in range(1, FEW):
-                i = np.flatnonzero((run[:-step] == run[step:]) & (length[:-step] <= FEW)) if step < len(n) else []
+                i = i[i + step < len(n)]
+                i = i[run[i] == run[i + step]]
                 if len(i):
                     j = i + step
                     most, both = np.minimum(left[i], left[j]), n[i] + n[j]
-                    i, j = (k[100 * most >= percent * (both - most)] for k in (i, j))
-                    found.append((vertex[i], vertex[j], np.ones(len(i), bool)))
+                    ok = 100 * most >= percent * (both - most)
+                    found.append((vertex[i[ok]], vertex[j[ok]], np.ones(int(ok.sum()), bool)))
             a, b, ask = (np.concatenate(columns) for columns in zip(*found))
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), "ask": pa.array(ask)})
             at, k = int(starts[-1]), int(lengths[-1])  # the run may go on: its first set and its last ones stand for it

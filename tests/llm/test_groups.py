@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest_llm import AWKWARD
+from pyspark.sql import functions as F
 
 from lectern.llm import exact, jaccard, mixing, substrings
 
@@ -164,3 +166,14 @@ def test_mix(documents):
     mix = mixing.mixed_documents(df)
     assert mix.columns == df.columns and mix.count() == sum(r["copies"] for r in got)
     assert mixing.mixed(df.where("false")).count() == 0
+
+
+def test_unrelated_sets_that_share_one_shingle_make_no_group(spark):
+    rng = np.random.default_rng(11)
+    sets = [np.sort(np.append(rng.integers(1, 2**63, 39).astype(np.uint64), np.uint64(5))) for _ in range(30)]
+    rows = [(v, 40, [5, v + 100], jaccard.bitmap(own, jaccard.slots(40)).tobytes()) for v, own in enumerate(sets)]
+    base = spark.createDataFrame(rows, "vertex long, n long, prefix array<long>, bits binary")
+    assert jaccard.ties(base, base.select("vertex", "n", "bits"), 85).count() == 0
+    copies = base.withColumn("vertex", F.col("vertex") + 100).union(base)  # of each set one that is linked
+    found = {tuple(r) for r in jaccard.ties(copies.where("vertex % 100 < 15"), copies.select("vertex", "n", "bits"), 85).collect()}
+    assert found == {(v + 100, v) for v in range(15)}

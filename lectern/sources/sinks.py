@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +51,39 @@ def current_version(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     return spark.read.parquet(f"{root}/version={newest}"), newest
 
 
+def write_texts(texts: DataFrame, folder: str, key: str) -> None:
+    """(`key`, a whole number, and text) as a file for each key, in a folder named by it; texts of one key are lines of its file.
+
+    In a mounted folder tasks write files themselves, with the names and lines of Spark's text writer: without Hadoop's native
+    library that one starts a process for the permissions of each file. Other file systems are left to it.
+    """
+    dealt = texts.repartition(key)
+    if re.match("[a-z0-9]+:", folder) and not folder.startswith("file:"):
+        # Tasks move their files to their places themselves: the driver would move all of them one by one.
+        writer = dealt.write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        writer.text(folder)
+        return
+    base = re.sub("^file:/*", "/", folder.rstrip("/"))
+    os.makedirs(base, exist_ok=True)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        count = 0
+        for number, same in groupby(rows, key=lambda row: row[0]):
+            place = f"{base}/{key}={'__HIVE_DEFAULT_PARTITION__' if number is None else number}"
+            os.makedirs(place, exist_ok=True)
+            part = f"{place}/.part-{os.getpid()}"
+            with open(part, "wb") as file:
+                file.writelines((text or "").encode() + b"\n" for _, text in same)
+            os.replace(part, f"{place}/part-0.txt")  # done again, a task leaves the same files
+            count += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([count], pa.int64())})
+
+    text = next(name for name in texts.columns if name != key)
+    ordered = dealt.select(key, text).sortWithinPartitions(key)
+    ordered.mapInArrow(task, "files long").write.format("noop").mode("overwrite").save()
+
+
 def event_messages(events: DataFrame) -> DataFrame:
     """Key (session) and JSON value of each event, as a topic takes them."""
     fields = ["sid", "uid", "bid", "action", "timestamp"]

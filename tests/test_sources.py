@@ -84,3 +84,20 @@ def test_tables_are_created_once(spark):
 def test_jdbc_needs_a_driver(spark):
     with pytest.raises(Exception, match="(?i)driver"):
         tables.read_jdbc(spark, "jdbc:none:x", "books", "id", (0, 10))
+
+
+def test_a_file_for_each_key_is_what_the_text_writer_makes_of_it(spark, tmp_path):
+    rows = [(n, f"<t>é{n}\n{n}</t>") for n in range(40)] + [(7, "again"), (7, None), (None, "no key"), (-3, ""), (2**40, "far")]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    texts.repartition("doc").write.partitionBy("doc").text(f"{tmp_path}/spark")
+    for folder in (f"{tmp_path}/own", f"file://{tmp_path}/named"):
+        sinks.write_texts(texts, folder, "doc")
+        sinks.write_texts(texts, folder, "doc")  # done again, as by a task that is tried twice
+
+    def lines(name):
+        found = list((tmp_path / name).glob("*/*.txt"))
+        assert len(found) == 43
+        return {file.parent.name: sorted(file.read_bytes().split(b"\n")) for file in found}
+
+    assert lines("spark") == lines("own") == lines("named")
+    assert not list((tmp_path / "own").glob("*/*.crc"))

@@ -289,11 +289,20 @@ def trigrams(known: DataFrame) -> DataFrame:
 def sent(numbers: DataFrame, chunk: int) -> list[Broadcast]:
     """The (long, double) rows as packed arrays in broadcasts of about `chunk` rows; the driver holds one at a time."""
 
+    def packed(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(column).tobytes() for column in zip(*found)]
+        return pa.RecordBatch.from_arrays([pa.array([column], pa.binary()) for column in columns], ["keys", "times"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [[batch.column(i).to_numpy() for i in (0, 1)] for batch in batches]
+        found, rows = [], 0
+        for batch in batches:
+            found.append([batch.column(i).to_numpy() for i in (0, 1)])
+            rows += batch.num_rows
+            if rows >= chunk:  # a file may hold many chunks
+                yield packed(found)
+                found, rows = [], 0
         if found:
-            columns = [np.concatenate(column).tobytes() for column in zip(*found)]
-            yield pa.RecordBatch.from_arrays([pa.array([column], pa.binary()) for column in columns], ["keys", "times"])
+            yield packed(found)
 
     stored = written(numbers, "numbers")
     parts = stored.coalesce(max(1, math.ceil(stored.count() / chunk))).mapInArrow(releasing(task), "keys binary, times binary")
